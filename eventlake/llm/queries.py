@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import packing, sharding, urls
+from eventlake.llm import neardup, packing, sharding, urls
 from eventlake.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,11 @@ def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
@@ -29,5 +34,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op5_url_trees, op9_power_of_two_packing, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op5_url_trees, op6_segment_popcount, op9_power_of_two_packing, op10_virtual_slots)}
 ORACLE_SQL: dict[str, str] = {}
