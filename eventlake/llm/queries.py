@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import neardup, packing, sharding, urls
+from eventlake.llm import langid, media, neardup, packing, sharding, urls
 from eventlake.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    found = langid.identify(docs.withColumn("held_out", langid.held_out()), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -26,6 +33,10 @@ def op6_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.encode(table(spark, sf_dir, "documents")))
+
+
 def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
@@ -34,5 +45,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op5_url_trees, op6_segment_popcount, op9_power_of_two_packing, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op4_output_codes, op5_url_trees, op6_segment_popcount, op7_audio_features, op9_power_of_two_packing, op10_virtual_slots)}
 ORACLE_SQL: dict[str, str] = {}
