@@ -4,8 +4,8 @@ A document of n tokens is cut into full sequences of ``width`` tokens and, for t
 Every piece is a sequence of its own: its length is a power of two, so it needs no padding, and no sequence crosses
 documents. Sequences of one length share a bucket, and ids count buckets from the longest, gapless.
 
-Token ids are exactly those of the tokenizer. It drops white space and treats what stands between separately, so that the ids of a
-text are the ids of its words in order; those of short words are kept in a bounded table by each Python worker.
+Token ids are exactly those of the tokenizer. It encodes every word of a text alone, so that the ids of a text are those of its
+words in order; each Python worker keeps the ids of words in a bounded table.
 
 Nulls and ties: a null text is empty; an empty text is one piece that holds the end id alone. Repeated rows are packed each.
 A text of any length is cut the same way. No rows: no rows out. Other columns are not read.
@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,39 +28,71 @@ WIDTH = 2048
 END_ID = 1
 #: Salts of a bucket; a group of (bucket, salt) is numbered in one task.
 SALTS = 1024
-#: Words kept by a worker, and the longest that is kept.
-WORDS, LONGEST = 400_000, 48
+#: Token runs kept by a worker.
+WORDS = 400_000
+
+
+#: Letters and digits below U+0250 in lower case, and white space; what is none of these makes runs.
+_L, _N, _S = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \t-\r\u0085\u00a0"
 
 
 class Words(dict):
-    """Word (bytes without ASCII white space) to token ids."""
+    """Token run to its ids, as little-endian unsigned 32-bit numbers.
+
+    The tokenizer lowers case, drops white space and splits a text in contractions, runs of letters, single digits and runs of
+    anything else, and encodes each alone. Texts of characters below U+0250 are split so here. In others each word between
+    ASCII white space stands for itself, if it has a higher character or the mark of a special token.
+    """
 
-    #: What follows a letter or digit and never joins it in one token (an apostrophe may).
-    tail = re.compile(rb"(?<=[a-z0-9])[^a-z0-9']+\Z")
+    split = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_L}{_N}{_S}]+")
+    beyond = re.compile("[\u0130\u0250-\U0010ffff]|<\\|")
+    blank = re.compile(r"[ \t-\r]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(word) <= LONGEST and word.isascii() and b"<|" not in word:
-            low = word.lower()
-            cut = self.tail.search(low)
-            if cut:
-                ids = self[low[: cut.start()]] + self[low[cut.start() :]]
-            elif low != word:
-                ids = self[low]
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def runs(self, text: str) -> list[str]:
+        """Texts whose ids in order are those of text."""
+        if not self.beyond.search(text):
+            return self.split.findall(text.lower())
+        out = []
+        for word in filter(None, self.blank.split(text)):
+            out += [word] if self.beyond.search(word) else self.split.findall(word.lower())
+        return out
+
+    def learn(self, found: set[str]) -> None:
+        """Enter runs. Those of letters below U+0250 end in one word-end token each, so they are encoded as one text."""
+        plain = []
+        for t in found:
+            if t.isalpha() and not self.beyond.search(t):
+                plain.append(t)
             else:
-                ids = tuple(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-        else:
-            ids = tuple(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-        if len(word) <= LONGEST and len(self) < WORDS:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, text.encode().split())))
+                self[t] = self.ids(t).tobytes()
+        ids = self.ids(" ".join(plain))
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(plain):
+            raise ValueError("a run of letters is not one run of tokens")
+        raw, start = ids.tobytes(), 0
+        for t, end in zip(plain, (4 * at).tolist(), strict=True):
+            self[t] = raw[start:end]
+            start = end
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. The runs met first, so the commonest, are kept for later calls."""
+        runs = [self.runs(t or "") for t in texts]
+        self.learn(set().union(*runs).difference(self))
+        out = [b"".join(map(self.__getitem__, r)) for r in runs]
+        for t in list(self)[WORDS:] if len(self) > WORDS else ():
+            del self[t]
+        return out
 
 
 _words: dict[str, Words] = {}
@@ -90,22 +121,20 @@ def pieces(df: DataFrame, tokenizer: str, width: int = WIDTH, end_id: int = END_
     df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words(tokenizer)
+        known, ending = words(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows, start, length, crc, total, held = [], [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = known.encode(text or "")
-                ids.append(end_id)
-                array = np.array(ids, dtype="<u4")
-                raw = memoryview(array.tobytes())
-                for s, n in cuts(len(ids), width):
+            for row, ids in enumerate(known.encode(batch.column("text").to_pylist())):
+                ids += ending
+                raw, n_ids = memoryview(ids), len(ids) // 4
+                for s, n in cuts(n_ids, width):
                     rows.append(row)
                     start.append(s)
                     length.append(n)
                     crc.append(zlib.crc32(raw[4 * s : 4 * (s + n)]))
-                    total.append(len(ids))
+                    total.append(n_ids)
                     if with_ids:
-                        held.append(array[s : s + n])
+                        held.append(np.frombuffer(raw[4 * s : 4 * (s + n)], "<u4"))
             numbers = [pa.array(c, pa.int64()) for c in (start, length, crc, total)]
             ids = [pa.array(held, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *numbers, *ids], names=[*"doc_id start length ids_crc32 doc_tokens".split(), *["ids"] * with_ids])
