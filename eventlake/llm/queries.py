@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import fingerprints, langid, media, neardup, packing, sharding, urls
+from eventlake.llm import fingerprints, langid, media, neardup, packing, pii, sharding, urls
 from eventlake.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -49,5 +53,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_improbable_features, op4_output_codes, op5_url_trees, op6_segment_popcount, op7_audio_features, op9_power_of_two_packing, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_bootstrapped_pii, op4_output_codes, op5_url_trees, op6_segment_popcount, op7_audio_features, op9_power_of_two_packing, op10_virtual_slots)}
 ORACLE_SQL: dict[str, str] = {}
