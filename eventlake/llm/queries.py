@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import fingerprints, langid, media, neardup, packing, pii, sharding, urls
+from eventlake.llm import fingerprints, langid, media, neardup, packing, pii, quality, sharding, urls
 from eventlake.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,15 @@ def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def site_of_source() -> tuple:
+    """Host and path of a document: its source, and the part of it in one language, as in the pages' URLs."""
+    return F.col("source"), F.concat_ws("/", "source", "lang")
+
+
+def op3_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), *site_of_source())
+
+
 def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -53,5 +62,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_bootstrapped_pii, op4_output_codes, op5_url_trees, op6_segment_popcount, op7_audio_features, op9_power_of_two_packing, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_bootstrapped_pii, op3_hierarchical_quality, op4_output_codes, op5_url_trees, op6_segment_popcount, op7_audio_features, op9_power_of_two_packing, op10_virtual_slots)}
 ORACLE_SQL: dict[str, str] = {}
