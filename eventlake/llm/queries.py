@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import fingerprints, langid, media, neardup, packing, pii, quality, sharding, urls
+from eventlake.llm import fingerprints, langid, media, neardup, packing, pieces, pii, quality, sharding, urls
 from eventlake.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,6 +55,12 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.encode(table(spark, sf_dir, "documents")))
 
 
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path(PIECE_MODEL)
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
@@ -62,5 +69,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_bootstrapped_pii, op3_hierarchical_quality, op4_output_codes, op5_url_trees, op6_segment_popcount, op7_audio_features, op9_power_of_two_packing, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op1_improbable_features, op2_bootstrapped_pii, op3_hierarchical_quality, op4_output_codes, op5_url_trees, op6_segment_popcount, op7_audio_features, op8_sampled_pieces, op9_power_of_two_packing, op10_virtual_slots)}
 ORACLE_SQL: dict[str, str] = {}
