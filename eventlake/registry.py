@@ -1,15 +1,495 @@
-"""All queries over the shared tables, with the SQL that computes the same."""
+"""All queries over the shared tables, with the SQL that computes the same from the flat columns."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from eventlake import tables
+from eventlake.functions import jsonx, stats, vectors
+from eventlake.operators import cdc, compaction, infer, joins, predicates, windows
+from eventlake.operators.aggs import aggregate
+from eventlake.plans import views
+from eventlake.tables import EVENTS_SQL
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+E = f"WITH {EVENTS_SQL} "
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with DuckDB SQL of its rows."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def dialect(name: str, sql: str, oracle: str, *topics: str, digits: dict[str, int] | None = None, casts: dict[str, str] | None = None) -> None:
+    """Register a query in the engine's dialect. JSON paths read as text are cast for comparison; sums are rounded."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = tables.engine(spark, sf_dir, *(topics or ("events",))).sql(sql)
+        for c, t in (casts or {}).items():
+            out = out.withColumn(c, F.col(c).cast(t))
+        for c, n in (digits or {}).items():
+            out = out.withColumn(c, F.round(c, n))
+        return out
+
+    run.__name__ = name
+    query(oracle)(run)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly purchases: payload filter, tumbling window, aggregates."""
+    return _QUERIES["tumble_purchases_1h"](spark, sf_dir)
+
+
+# Scans, filters, projections, sorting
+
+ENVELOPE_SQL = """topic, partition, "offset", "key", "timestamp" """
+dialect("scan_offset_range", "SELECT topic, partition, offset, key, timestamp FROM events WHERE partition = 0 AND offset >= 10 AND offset < 50",
+        E + f"SELECT {ENVELOPE_SQL} FROM e WHERE partition = 0 AND \"offset\" >= 10 AND \"offset\" < 50")
+dialect("scan_star_payload", "SELECT *, json_extract(value, '$.event_id') AS event_id FROM events WHERE offset <= 20 AND partition > 1",
+        E + f"""SELECT {ENVELOPE_SQL}, '{{"event_id":' || event_id || ',"event_type":"' || event_type || '","value":' || value || ',"props":{{"k":' || k || '}}}}' AS "value", event_id
+        FROM e WHERE "offset" <= 20 AND partition > 1""", casts={"event_id": "bigint"})
+dialect("filter_key", "SELECT partition, offset, timestamp FROM events WHERE key = '3'", E + """SELECT partition, "offset", "timestamp" FROM e WHERE user_id = 3""")
+dialect("filter_time_range", "SELECT partition, offset FROM events WHERE timestamp >= '2024-01-05T00:00:00Z' AND timestamp < '2024-01-06T12:00:00Z'",
+        E + """SELECT partition, "offset" FROM e WHERE "timestamp" >= 1704412800000 AND "timestamp" < 1704542400000""")
+dialect("filter_json_number", "SELECT key, json_extract(value, '$.value') AS v FROM events WHERE json_extract(value, '$.value') >= 100.5 AND json_extract(value, '$.value') <= 150",
+        E + """SELECT "key", value AS v FROM e WHERE value >= 100.5 AND value <= 150""", casts={"v": "double"})
+dialect("filter_json_text", "SELECT offset, partition FROM events WHERE json_extract(value, '$.event_type') = 'error' AND value->>'event_type' != 'view'",
+        E + """SELECT "offset", partition FROM e WHERE event_type = 'error'""")
+dialect("filter_or_in_between", "SELECT key, offset FROM events WHERE (event_type IN ('click', 'view') OR json_extract(value, '$.props.k') BETWEEN 10 AND 12) AND NOT partition = 2 AND key LIKE '1%'",
+        E + """SELECT "key", "offset" FROM e WHERE (event_type IN ('click', 'view') OR k BETWEEN 10 AND 12) AND partition <> 2 AND "key" LIKE '1%'""")
+dialect("filter_missing_is_null", "SELECT COUNT(*) AS n FROM events WHERE json_extract(value, '$.nothing') = NULL", "SELECT count(*) AS n FROM events")
+dialect("json_nested_path", "SELECT partition, offset, json_extract(value, '$.props.k') AS k, value->'props'->>'k' AS k2, props AS props FROM events WHERE json_extract(value, '$.props.k') > 90",
+        E + """SELECT partition, "offset", k, k AS k2, '{"k":' || k || '}' AS props FROM e WHERE k > 90""", casts={"k": "bigint", "k2": "bigint"})
+dialect("order_by_payload_number", "SELECT json_extract(value, '$.event_id') AS id, json_extract(value, '$.value') AS v FROM events ORDER BY v DESC, id LIMIT 25 OFFSET 5",
+        E + "SELECT event_id AS id, value AS v FROM e ORDER BY value DESC, event_id LIMIT 25 OFFSET 5", casts={"id": "bigint", "v": "double"})
+dialect("order_by_offset_paged", "SELECT partition, offset, key FROM events WHERE partition = 1 ORDER BY offset LIMIT 10 OFFSET 20",
+        E + """SELECT partition, "offset", "key" FROM e WHERE partition = 1 ORDER BY "offset" LIMIT 10 OFFSET 20""")
+dialect("distinct_types", "SELECT DISTINCT event_type AS t, partition FROM events", E + "SELECT DISTINCT event_type AS t, partition FROM e")
+dialect("count_all", "SELECT COUNT(*) FROM events", 'SELECT count(*) AS "count" FROM events')
+dialect("count_filtered", "SELECT COUNT(*) AS n FROM events WHERE event_type = 'purchase' AND json_extract(value, '$.value') > 20.25",
+        "SELECT count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 20.25")
+dialect("expressions_and_functions", """SELECT upper(event_type) AS t, CASE WHEN json_extract(value, '$.value') > 50 THEN 'high' ELSE 'low' END AS band,
+        round(json_extract(value, '$.value') * 2 + 1, 1) AS twice, length(key) AS n FROM events WHERE partition = 3 AND offset < 40""",
+        E + """SELECT upper(event_type) AS t, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS band, round(value * 2 + 1, 1) AS twice, CAST(length("key") AS INTEGER) AS n
+        FROM e WHERE partition = 3 AND "offset" < 40""")
+
+
+@query(E + """SELECT partition, "offset", "key", "timestamp" FROM e WHERE partition = 2 AND "offset" >= 100 ORDER BY "offset" LIMIT 50""")
+def consume_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.sources.topics import consume
+
+    return consume(tables.events(spark, sf_dir), 2, 100, 50).select("partition", "offset", "key", "timestamp")
+
+
+@query(E + """SELECT "key", "offset" FROM e WHERE (event_type = 'click' AND value > 30) OR event_type LIKE '%sign%'""")
+def predicate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = {"op": "or", "args": [
+        {"op": "and", "args": [{"op": "equals", "field": "event_type", "value": "click"}, {"op": "greater_than", "field": "value", "value": 30}]},
+        {"op": "contains", "field": "event_type", "value": "sign"},
+    ]}
+    return predicates.keep(tables.events(spark, sf_dir), {"op": "and", "args": [tree, {"op": "not", "arg": {"op": "equals", "field": "nothing", "value": 1}}]}).select("key", "offset")
+
+
+@query(E + """SELECT partition, "offset", '{"type":"' || event_type || '","k":{"k":' || k || '}}' AS "value" FROM e WHERE partition = 1""")
+def project_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables.events(spark, sf_dir).where("partition = 1")
+    return predicates.project(df, {"event_type": "type", "props": "k", "nothing": "nothing"}).select("partition", "offset", "value")
+
+
+# Aggregates
+
+_GROUP = """count(*) AS count_0, round(sum(value), 2) AS sum_1, round(avg(value), 6) AS avg_2, min(value) AS min_3, max(value) AS max_4"""
+_AGGS = "COUNT(*), SUM(json_extract(value, '$.value')), AVG('$.value'), MIN(json_extract(value, '$.value')), MAX($.value)"
+dialect("group_by_payload", f"SELECT json_extract(value, '$.event_type'), {_AGGS} FROM events GROUP BY json_extract(value, '$.event_type')",
+        f"SELECT event_type, {_GROUP} FROM events GROUP BY event_type", digits={"sum_1": 2, "avg_2": 6})
+dialect("group_by_nested_and_key", "SELECT key, json_extract(value, '$.props.k') AS k, COUNT(*) AS n, SUM('$.value') AS s FROM events GROUP BY key, json_extract(value, '$.props.k') HAVING COUNT(*) > 1",
+        E + """SELECT "key", k, count(*) AS n, round(sum(value), 2) AS s FROM e GROUP BY "key", k HAVING count(*) > 1""", digits={"s": 2}, casts={"k": "bigint"})
+dialect("group_by_partition", "SELECT partition, COUNT(*) AS n, MIN(offset) AS lo, MAX(offset) AS hi FROM events GROUP BY partition ORDER BY partition",
+        E + """SELECT partition, count(*) AS n, CAST(min("offset") AS DOUBLE) AS lo, CAST(max("offset") AS DOUBLE) AS hi FROM e GROUP BY partition""")
+dialect("global_aggregates", "SELECT SUM('$.value') AS s, AVG('$.value') AS a, COUNT(*) AS n, SUM('$.nothing') AS none, MIN('$.nothing') AS nothing FROM events",
+        "SELECT round(sum(value), 2) AS s, round(avg(value), 6) AS a, count(*) AS n, 0.0::DOUBLE AS none, NULL::DOUBLE AS nothing FROM events", digits={"s": 2, "a": 6})
+dialect("count_distinct", "SELECT event_type, COUNT(DISTINCT key) AS users, COUNT(DISTINCT '$.props.k') AS ks, COUNT(DISTINCT *) AS n FROM events GROUP BY event_type",
+        "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT json_extract(props, '$.k')) AS ks, count(*) AS n FROM events GROUP BY event_type")
+dialect("first_last", "SELECT key, FIRST('$.event_id') AS f, LAST('$.event_type') AS l FROM events GROUP BY key",
+        E + """SELECT "key", arg_min(event_id, ("timestamp", partition, "offset")) AS f, arg_max(event_type, ("timestamp", partition, "offset")) AS l FROM e GROUP BY "key" """, casts={"f": "bigint"})
+
+
+@query("SELECT event_type, count(DISTINCT user_id) > 0 AS some FROM events GROUP BY event_type")
+def approx_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tables.engine(spark, sf_dir, "events").sql("SELECT event_type, APPROX_COUNT_DISTINCT(key) AS n FROM events GROUP BY event_type")
+    return out.select("event_type", (F.col("n") > 0).alias("some"))
+
+
+# Windows
+
+_HOUR = 3_600_000
+dialect("tumble_purchases_1h", "SELECT window_start, window_end, COUNT(*) AS cnt, SUM(json_extract(value, '$.value')) AS total FROM events WHERE json_extract(value, '$.event_type') = 'purchase' GROUP BY TUMBLE(timestamp, INTERVAL '1 hour')",
+        E + f"""SELECT ("timestamp" // {_HOUR}) * {_HOUR} AS window_start, ("timestamp" // {_HOUR}) * {_HOUR} + {_HOUR} AS window_end, count(*) AS cnt, round(sum(value), 2) AS total
+        FROM e WHERE event_type = 'purchase' GROUP BY ALL""", digits={"total": 2})
+dialect("tumble_by_type", "SELECT TUMBLE(timestamp, INTERVAL '6' HOUR) AS w, event_type, COUNT(*) AS n, MAX('$.value') AS top FROM events GROUP BY w, event_type",
+        E + """SELECT ("timestamp" // 21600000) * 21600000 AS window_start, ("timestamp" // 21600000) * 21600000 + 21600000 AS window_end, ("timestamp" // 21600000) * 21600000 AS w,
+        event_type, count(*) AS n, max(value) AS top FROM e GROUP BY ALL""")
+dialect("tumble_limit", "SELECT window_start, window_end, COUNT(*) AS n FROM events GROUP BY TUMBLE(timestamp, '1 day') ORDER BY window_start LIMIT 5",
+        E + """SELECT ("timestamp" // 86400000) * 86400000 AS window_start, ("timestamp" // 86400000) * 86400000 + 86400000 AS window_end, count(*) AS n FROM e GROUP BY ALL ORDER BY 1 LIMIT 5""")
+_HOP = """w AS (SELECT CAST(unnest(generate_series(("timestamp" // 1800000) * 1800000 - 5400000, ("timestamp" // 1800000) * 1800000, 1800000)) AS BIGINT) AS window_start, value FROM e)
+    SELECT window_start, window_start + 7200000 AS window_end, count(*) AS n, round(sum(value), 2) AS s FROM w"""
+dialect("hop_2h_30m", "SELECT window_start, window_end, COUNT(*) AS n, SUM('$.value') AS s FROM events GROUP BY HOP(timestamp, INTERVAL '2 hours', INTERVAL '30 minutes')",
+        f"WITH {EVENTS_SQL}, {_HOP} GROUP BY window_start", digits={"s": 2})
+
+
+@query(f"WITH {EVENTS_SQL}, {_HOP} WHERE window_start >= (SELECT min(\"timestamp\") // 1800000 * 1800000 FROM e) GROUP BY window_start")
+def hop_without_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = jsonx.parsed(tables.events(spark, sf_dir))
+    total = F.round(aggregate("sum", jsonx.json_num("$.value")), 2).alias("s")
+    return windows.hop(df, 7_200_000, 1_800_000, [], [aggregate("count").alias("n"), total], leading=False)
+
+
+@query(E + """SELECT ("timestamp" // 7200000) * 7200000 AS window_start, ("timestamp" // 7200000) * 7200000 + 1800000 AS window_end, count(*) AS n FROM e
+    WHERE "timestamp" % 7200000 < 1800000 GROUP BY ALL""")
+def hop_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.hop(tables.events(spark, sf_dir), 1_800_000, 7_200_000, [], [aggregate("count").alias("n")])
+
+
+_SESSIONS = """g AS (SELECT *, CASE WHEN "timestamp" - lag("timestamp") OVER (PARTITION BY "key" ORDER BY "timestamp", event_id) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM e),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY "key" ORDER BY "timestamp", event_id) AS n FROM g)"""
+dialect("session_30m_by_user", "SELECT window_start, window_end, key, COUNT(*) AS c, MAX('$.value') AS top FROM events GROUP BY SESSION(timestamp, '30 minutes'), key",
+        f"""WITH {EVENTS_SQL}, {_SESSIONS} SELECT min("timestamp") AS window_start, max("timestamp") AS window_end, "key", count(*) AS c, max(value) AS top FROM s GROUP BY "key", n""")
+
+
+@query(f"""WITH {EVENTS_SQL}, o AS (SELECT *, max("timestamp") OVER (PARTITION BY partition ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5000 AS wm FROM e)
+    SELECT CASE WHEN wm IS NULL OR "timestamp" >= wm THEN 'on_time' WHEN wm - "timestamp" <= 5000 THEN 'late' ELSE 'too_late' END AS lateness, count(*) AS n FROM o GROUP BY 1""")
+def watermark_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.late_classes(tables.events(spark, sf_dir)).groupBy("lateness").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(E + """SELECT 'events' AS topic, min(m) - 5000 AS watermark FROM (SELECT max("timestamp") AS m FROM e GROUP BY partition)""")
+def watermark_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.global_watermark(tables.events(spark, sf_dir))
+
+
+# Joins
+
+_OC = """o AS (SELECT CAST(o_orderkey AS VARCHAR) AS ok, CAST(o_custkey AS VARCHAR) AS ck, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0),
+    c AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_name, c_mktsegment FROM customer WHERE c_custkey % 2 = 0)"""
+for _how in ("INNER", "LEFT", "RIGHT", "FULL"):
+
+    def _join(spark: SparkSession, sf_dir: str, how: str = _how) -> DataFrame:
+        engine = tables.engine(spark, sf_dir)
+        engine.catalog.add("orders", tables.orders(spark, sf_dir).where("cast(key as bigint) % 3 <> 0"))
+        engine.catalog.add("customers", tables.customers(spark, sf_dir).where("cast(key as bigint) % 2 = 0"))
+        # the sides of ON may stand in any order
+        return engine.sql(f"SELECT o.key AS ok, c.key AS ck, json_extract(c.value, '$.c_name') AS name, o.o_orderstatus AS st FROM orders o {how} JOIN customers c ON c.key = json_extract(o.value, '$.o_custkey')")
+
+    _join.__name__ = f"join_{_how.lower()}"
+    query(f"WITH {_OC} SELECT ok, c.key AS ck, c_name AS name, o_orderstatus AS st FROM o {_how} JOIN c ON o.ck = c.key")(_join)
+
+dialect("join_filtered_ordered", """SELECT o.key, c.c_mktsegment AS seg, json_extract(o.value, '$.o_totalprice') AS p FROM orders o JOIN customers c ON o.o_custkey = c.key
+        WHERE json_extract(o.value, '$.o_totalprice') > 200000 AND json_extract(c.value, '$.c_mktsegment') = 'BUILDING' ORDER BY p DESC, o.key LIMIT 20""",
+        """SELECT CAST(o_orderkey AS VARCHAR) AS "o.key", c_mktsegment AS seg, o_totalprice AS p FROM orders JOIN customer ON o_custkey = c_custkey
+        WHERE o_totalprice > 200000 AND c_mktsegment = 'BUILDING' ORDER BY p DESC, 1 LIMIT 20""", "orders", "customers", casts={"p": "double"})
+dialect("join_grouped", "SELECT c.c_mktsegment AS seg, COUNT(*) AS n, SUM(json_extract(o.value, '$.o_totalprice')) AS s FROM orders o JOIN customers c ON o.o_custkey = c.key GROUP BY c.c_mktsegment",
+        "SELECT c_mktsegment AS seg, count(*) AS n, round(sum(o_totalprice), 1) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1", "orders", "customers", digits={"s": 1})
+_LATEST = """l AS (SELECT "key", arg_max(event_id, ("timestamp", partition, "offset")) AS event_id, arg_max(event_type, ("timestamp", partition, "offset")) AS event_type FROM e GROUP BY "key")"""
+dialect("stream_table_join", "SELECT a.key AS k, json_extract(a.value, '$.event_id') AS id, t.event_id AS last_id, t.event_type AS last_type FROM events a JOIN TABLE(events) t ON a.key = t.key WHERE a.partition = 1",
+        f"""WITH {EVENTS_SQL}, {_LATEST} SELECT e."key" AS k, e.event_id AS id, l.event_id AS last_id, l.event_type AS last_type FROM e JOIN l ON e."key" = l."key" WHERE e.partition = 1""",
+        casts={"id": "bigint", "last_id": "bigint"})
+dialect("table_stream_join", "SELECT t.key AS k, t.event_id AS last_id, o.key AS ok FROM TABLE(events) t RIGHT JOIN orders o ON t.key = o.o_custkey WHERE o.offset < 100",
+        f"""WITH {EVENTS_SQL}, {_LATEST}, o AS (SELECT CAST(o_orderkey AS VARCHAR) AS ok, CAST(o_custkey AS VARCHAR) AS ck, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS off FROM orders)
+        SELECT l."key" AS k, l.event_id AS last_id, ok FROM o LEFT JOIN l ON l."key" = ck WHERE off < 100""", "events", "orders", casts={"last_id": "bigint"})
+dialect("join_three_topics", "SELECT o.key AS ok, c.c_name AS name, e.event_id AS id FROM orders o JOIN customers c ON o.o_custkey = c.key JOIN events e ON e.key = c.key WHERE e.partition = 0 AND o.offset < 200",
+        f"""WITH {EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS off FROM orders)
+        SELECT CAST(o_orderkey AS VARCHAR) AS ok, c_name AS name, event_id AS id FROM o JOIN customer ON o_custkey = c_custkey JOIN e ON e.user_id = c_custkey WHERE e.partition = 0 AND off < 200""",
+        "orders", "customers", "events", casts={"id": "bigint"})
+
+
+def _views_and_purchases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = tables.events(spark, sf_dir)
+    kind = jsonx.json_text("$.event_type")
+    return events.where(kind == "view"), events.where(kind == "purchase")
+
+
+_SIDES = "a AS (SELECT * FROM e WHERE event_type = 'view'), b AS (SELECT * FROM e WHERE event_type = 'purchase')"
+for _how in ("inner", "left", "right", "full"):
+
+    def _interval(spark: SparkSession, sf_dir: str, how: str = _how) -> DataFrame:
+        a, b = _views_and_purchases(spark, sf_dir)
+        out = joins.interval_join(a, b, F.col("key"), F.col("key"), _HOUR, how)
+        return out.select(F.expr("get_json_object(`l.value`, '$.event_id')").cast("bigint").alias("l_id"), F.expr("get_json_object(`r.value`, '$.event_id')").cast("bigint").alias("r_id"))
+
+    _interval.__name__ = f"interval_join_{_how}"
+    query(f"""WITH {EVENTS_SQL}, {_SIDES} SELECT a.event_id AS l_id, b.event_id AS r_id FROM a {_how.upper()} JOIN b ON a."key" = b."key" AND abs(a."timestamp" - b."timestamp") <= {_HOUR}""")(_interval)
+
+
+# Statistical columns and vectors
+
+_Z = "(value - (SELECT avg(value) FROM events)) / (SELECT stddev_pop(value) FROM events)"
+dialect("stats_zscore", "SELECT json_extract(value, '$.event_id') AS id, ZSCORE('$.value') AS z FROM events WHERE ZSCORE('$.value') > 2.0",
+        f"SELECT event_id AS id, round({_Z}, 6) AS z FROM events WHERE {_Z} > 2.0", digits={"z": 6}, casts={"id": "bigint"})
+dialect("stats_anomaly", "SELECT json_extract(value, '$.event_id') AS id, ANOMALY('$.value', 2.5) AS odd FROM events WHERE ANOMALY('$.value') = true",
+        f"SELECT event_id AS id, abs({_Z}) > 2.5 AS odd FROM events WHERE abs({_Z}) > 2.0", casts={"id": "bigint"})
+dialect("stats_columns", "SELECT key, offset, partition, AVG('$.value') AS a, STDDEV('$.value') AS sd FROM events WHERE partition = 0",
+        E + """SELECT "key", "offset", partition, round(avg(value) OVER (), 6) AS a, round(stddev_pop(value) OVER (), 6) AS sd FROM e WHERE partition = 0""", digits={"a": 6, "sd": 6})
+dialect("stats_moving_avg", "SELECT partition, offset, MOVING_AVG('$.value', 5) AS m FROM events",
+        E + """SELECT partition, "offset", round(avg(value) OVER (ORDER BY partition, "offset" ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS m FROM e""", digits={"m": 6})
+
+
+@query(E + """SELECT "key", "offset", round(avg(value) OVER (PARTITION BY "key" ORDER BY "timestamp", "offset" ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS m FROM e""")
+def stats_moving_avg_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = jsonx.parsed(tables.events(spark, sf_dir))
+    m = stats.moving_avg(jsonx.json_num("$.value"), 10, ("timestamp", "offset"), ("key",))
+    return df.select("key", "offset", F.round(m, 6).alias("m"))
+
+
+_Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+_V = "CAST(embedding AS DOUBLE[])"
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
+    return [float(x) for x in tables.table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]]
+
+
+def _round_for_order(c: str) -> str:
+    return f"round({c}, 9)"
+
+
+@query(f"""SELECT vec_id, round(list_cosine_similarity({_V}, CAST({_Q} AS DOUBLE[])), 6) AS sim FROM embeddings
+    ORDER BY round(list_cosine_similarity({_V}, CAST({_Q} AS DOUBLE[])), 9) DESC, vec_id LIMIT 10""")
+def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = tables.engine(spark, sf_dir, "vectors")
+    vector = "[" + ", ".join(map(repr, _probe(spark, sf_dir))) + "]"
+    out = engine.sql(f"SELECT offset AS vec_id, COSINE_SIMILARITY('$.embedding', '{vector}') AS sim FROM vectors")
+    out = out.orderBy(F.round("sim", 9).desc(), "vec_id").limit(10)
+    return out.withColumn("sim", F.round("sim", 6))
+
+
+@query(f"SELECT vec_id, round(list_distance({_V}, CAST({_Q} AS DOUBLE[])), 6) AS d FROM embeddings WHERE list_distance({_V}, CAST({_Q} AS DOUBLE[])) < 1.3")
+def vector_euclidean_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables.table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    d = vectors.euclidean_distance("v", _probe(spark, sf_dir))
+    return df.select("vec_id", d.alias("d")).where("d < 1.3").withColumn("d", F.round("d", 6))
+
+
+@query(f"SELECT vec_id, round(list_inner_product({_V}, CAST({_Q} AS DOUBLE[])), 6) AS dot, round(sqrt(list_inner_product({_V}, {_V})), 6) AS norm FROM embeddings")
+def vector_dot_and_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables.table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    return df.select("vec_id", F.round(vectors.dot_product("v", _probe(spark, sf_dir)), 6).alias("dot"), F.round(vectors.vector_norm("v"), 6).alias("norm"))
+
+
+# Statements on topics and views
+
+
+@query("SELECT * FROM (VALUES ('customers', 4), ('events', 4), ('orders', 4)) t(name, partitions)")
+def show_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.engine(spark, sf_dir, "events", "orders", "customers").sql("SHOW TOPICS")
+
+
+@query(E + """, p AS (SELECT partition, max("offset") + 1 AS h FROM e GROUP BY partition)
+    SELECT CAST(partition AS VARCHAR) AS partition_id, h AS high_watermark FROM p UNION ALL SELECT 'TOTAL (' || count(*) || ' partitions)', CAST(sum(h) AS BIGINT) FROM p""")
+def describe_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.engine(spark, sf_dir, "events").sql("DESCRIBE events").select("partition_id", "high_watermark")
+
+
+_VIEW = "SELECT key, COUNT(*) AS n, SUM('$.value') AS s, MIN('$.value') AS lo, AVG('$.value') AS a, LAST('$.event_id') AS last, COUNT(DISTINCT '$.event_type') AS kinds FROM events GROUP BY TUMBLE(timestamp, '1 day'), key"
+
+
+@query(E + """SELECT ("timestamp" // 86400000) * 86400000 AS window_start, ("timestamp" // 86400000) * 86400000 + 86400000 AS window_end, "key", count(*) AS n, round(sum(value), 2) AS s,
+    min(value) AS lo, round(avg(value), 6) AS a, arg_max(event_id, ("timestamp", partition, "offset")) AS last, count(DISTINCT event_type) AS kinds FROM e GROUP BY ALL""")
+def view_incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view that is refreshed thrice, as its topic grows, equals the query over all records."""
+    engine, whole = tables.engine(spark, sf_dir), tables.events(spark, sf_dir)
+    for limit in (100, 1500, None):
+        engine.catalog.add("events", whole if limit is None else whole.where(F.col("offset") < limit))
+        if limit == 100:
+            engine.sql(f"CREATE MATERIALIZED VIEW daily WITH (refresh_mode = 'manual') AS {_VIEW}")
+        engine.sql("REFRESH MATERIALIZED VIEW daily")
+    out = engine.sql("SELECT * FROM daily")
+    return out.withColumns({"s": F.round("s", 2), "a": F.round("a", 6), "last": F.col("last").cast("bigint")})
+
+
+@query("SELECT 'hourly' AS name, 'events' AS source_topic, 'periodic (60000ms)' AS refresh_mode, 'running' AS status, count(DISTINCT epoch_us(ts) // 3600000000) AS row_count FROM events")
+def show_materialized_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = tables.engine(spark, sf_dir, "events")
+    engine.sql("CREATE MATERIALIZED VIEW hourly WITH (refresh_mode = 'periodic', interval = '1 minute') AS SELECT COUNT(*) AS n FROM events GROUP BY TUMBLE(timestamp, '1 hour')")
+    engine.maintain()
+    return engine.sql("SHOW MATERIALIZED VIEWS")
+
+
+# Log maintenance
+
+_CHANGES = """c AS (SELECT user_id AS u, 'p' || (event_id % 50) AS k, CASE WHEN event_type = 'error' THEN '' ELSE CAST(value AS VARCHAR) END AS v, event_id AS o, epoch_us(ts) // 1000 AS t FROM events),
+    l AS (SELECT k, arg_max(v, o) AS v, max(o) AS o, arg_max(t, o) AS t FROM c GROUP BY k)"""
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables.table(spark, sf_dir, "events")
+    key = F.concat(F.lit("p"), (F.col("event_id") % 50).cast("string"))
+    value = F.when(F.col("event_type") == "error", "").otherwise(F.col("value").cast("string"))
+    return df.select(F.lit("changes").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"), key.alias("key"), value.alias("value"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"))
+
+
+_NOW = 1_706_000_000_000
+
+
+@query(f"WITH {_CHANGES} SELECT k AS \"key\", v AS \"value\", o AS \"offset\" FROM l WHERE NOT (v = '' AND {_NOW} - t >= 86400000)")
+def compact_with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compact(_changes(spark, sf_dir), _NOW).select("key", "value", "offset")
+
+
+@query(E + """SELECT "key", max("offset") AS "offset" FROM e GROUP BY partition, "key" """)
+def compact_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compact(tables.events(spark, sf_dir), 0).select("key", "offset")
+
+
+@query(E + """SELECT topic, partition, count(*) AS records, count(DISTINCT "key") AS keys, round(1 - count(DISTINCT "key") / count(*), 9) AS dirty_ratio FROM e GROUP BY 1, 2""")
+def dirty_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.dirty_ratio(tables.events(spark, sf_dir)).withColumn("dirty_ratio", F.round("dirty_ratio", 9))
+
+
+@query(E + """SELECT "key", "offset" FROM e WHERE "timestamp" >= 1706000000000 - 259200000""")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.retain(tables.events(spark, sf_dir), _NOW, 3 * compaction.DAY_MS).select("key", "offset")
+
+
+@query(E + """, p AS (SELECT *, row_number() OVER (PARTITION BY "key" ORDER BY "offset") - 1 AS n FROM e)
+    SELECT "key", CASE WHEN n % 10 = 7 THEN 'duplicate' WHEN n % 10 = 9 THEN 'gap' ELSE 'ok' END AS status, count(*) AS c FROM p GROUP BY 1, 2""")
+def sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences with a repeat at every eighth record of ten and a leap at every tenth."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("partition", "key").orderBy("offset")) - 1
+    df = tables.events(spark, sf_dir).withColumn("n", n)
+    good = (F.floor(F.col("n") / 10) * 8 + F.least(F.col("n") % 10, F.lit(7)) + F.when(F.col("n") % 10 == 8, 0).otherwise(0)).cast("long")
+    seq = F.when(F.col("n") % 10 == 7, good - 1).when(F.col("n") % 10 == 8, good).when(F.col("n") % 10 == 9, good + 5).otherwise(good)
+    df = df.select("topic", "partition", "offset", F.col("key").alias("producer_id"), seq.alias("sequence"))
+    out = compaction.sequence_status(df)
+    return out.groupBy(F.col("producer_id").alias("key"), "status").agg(F.count(F.lit(1)).alias("c"))
+
+
+# Change data capture
+
+_CDC_SQL = """x AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'd' WHEN 1 THEN 'u' WHEN 2 THEN 'r' ELSE 'c' END AS op, c_name AS name, c_acctbal AS bal FROM customer)"""
+
+
+def _cdc_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables.table(spark, sf_dir, "customer").withColumn("row", F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))))
+    op = F.expr("CASE c_custkey % 5 WHEN 0 THEN 'd' WHEN 1 THEN 'u' WHEN 2 THEN 'r' ELSE 'c' END")
+    after = F.when(op == "d", F.lit("null")).otherwise(F.col("row"))
+    before = F.when(op.isin("d", "u"), F.col("row")).otherwise("null")
+    source = F.format_string('{"connector":"postgresql","db":"shop","table":"customer","lsn":%d}', "c_custkey")
+    value = F.concat(F.lit('{"before":'), before, F.lit(',"after":'), after, F.lit(',"source":'), source, F.lit(',"op":"'), op, F.lit('","ts_ms":'), F.col("c_custkey").cast("string"), F.lit("}"))
+    return df.select(F.lit("cdc").alias("topic"), F.lit(0).alias("partition"), F.col("c_custkey").alias("offset"), F.col("c_custkey").cast("string").alias("key"), value.alias("value"), F.col("c_custkey").alias("timestamp"))
+
+
+_OP = "CASE op WHEN 'd' THEN 'delete' WHEN 'u' THEN 'update' WHEN 'r' THEN 'read' ELSE 'insert' END"
+
+
+@query(f"""WITH {_CDC_SQL} SELECT id AS "offset", {_OP} AS op, 'customer' AS "table", CASE WHEN op <> 'd' THEN name END AS name, id AS ts_ms, id AS lsn FROM x WHERE op <> 'r'""")
+def cdc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cdc.keep_operations(cdc.parse(_cdc_topic(spark, sf_dir)), ["insert", "update", "delete"])
+    return found.select("offset", "op", "table", F.get_json_object("after", "$.name").alias("name"), "ts_ms", F.col("source.lsn").alias("lsn"))
+
+
+@query(f"WITH {_CDC_SQL} SELECT {_OP} AS op, count(*) AS changes, max(id) AS last_lsn FROM x GROUP BY 1")
+def cdc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.stats(cdc.parse(_cdc_topic(spark, sf_dir)))
+
+
+@query(f"WITH {_CDC_SQL} SELECT 'customer' AS \"table\", CAST(id AS VARCHAR) AS id, '{{\"id\":' || id || ',\"name\":\"' || name || '\"}}' AS \"row\" FROM x WHERE op <> 'd'")
+def cdc_table_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.table_state(cdc.parse(_cdc_topic(spark, sf_dir)), ["id"])
+
+
+# Schemas and costs
+
+
+@query("""SELECT * FROM (SELECT unnest(['$.event_id', '$.event_type', '$.value', '$.props', '$.props.k']) AS path, unnest(['BIGINT', 'VARCHAR', 'DOUBLE', 'JSON', 'BIGINT']) AS sql_type),
+    (SELECT count(*) AS occurrences FROM events)""")
+def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infer.infer_schema(tables.events(spark, sf_dir)).select("path", "sql_type", "occurrences")
+
+
+# SQL beyond the dialect, over topics
+
+_BASE = "SELECT CAST(key AS BIGINT) AS u, json_extract(value, '$.event_type') AS t, CAST(json_extract(value, '$.value') AS DOUBLE) AS v, CAST(json_extract(value, '$.event_id') AS BIGINT) AS id FROM events"
+_FLAT = "SELECT user_id AS u, event_type AS t, value AS v, event_id AS id FROM events"
+_PLAIN = {
+    "sql_cte_subquery": "SELECT u, count(*) AS n FROM b WHERE v > (SELECT avg(v) FROM b) GROUP BY u",
+    "sql_in_exists": "SELECT id FROM b WHERE u IN (SELECT u FROM b WHERE v > 300) AND EXISTS (SELECT 1 FROM b AS c WHERE c.u = b.u AND c.t = 'error')",
+    "sql_ranking": "SELECT * FROM (SELECT id, row_number() OVER (PARTITION BY u ORDER BY v DESC, id) AS rn, rank() OVER (PARTITION BY t ORDER BY u) AS rk, ntile(4) OVER (PARTITION BY u ORDER BY id) AS nt FROM b) AS x WHERE rn <= 3",
+    "sql_lag_lead": "SELECT id, lag(id) OVER (PARTITION BY u ORDER BY id) AS before, lead(t, 2) OVER (PARTITION BY u ORDER BY id) AS after FROM b",
+    "sql_frames": "SELECT id, max(v) OVER (PARTITION BY u ORDER BY id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS m, count(*) OVER (PARTITION BY u ORDER BY id RANGE BETWEEN 50 PRECEDING AND CURRENT ROW) AS c FROM b",
+    "sql_union_all": "SELECT u, t FROM b WHERE t = 'view' UNION ALL SELECT u, t FROM b WHERE t = 'click'",
+    "sql_set_operations": "(SELECT u FROM b WHERE t = 'view' INTERSECT SELECT u FROM b WHERE t = 'error') EXCEPT SELECT u FROM b WHERE v > 450",
+    "sql_rollup": "SELECT t, u % 3 AS g, count(*) AS n, max(v) AS m FROM b GROUP BY ROLLUP (t, u % 3)",
+    "sql_cube_grouping_sets": "SELECT t, u % 2 AS g, count(*) AS n FROM b GROUP BY GROUPING SETS ((t), (u % 2), ())",
+    "sql_self_join": "SELECT a.id AS i, c.id AS j FROM b AS a JOIN b AS c ON a.u = c.u AND a.id < c.id AND c.id - a.id <= 20 AND a.t = c.t",
+    "sql_semi_anti": "SELECT DISTINCT u FROM b WHERE u NOT IN (SELECT u FROM b WHERE v > 480)",
+    "sql_case_cast": "SELECT id, CASE WHEN v < 10 THEN 'low' WHEN v < 100 THEN 'mid' ELSE 'high' END AS band, CAST(floor(v) AS BIGINT) AS whole, coalesce(nullif(t, 'view'), 'seen') AS t2 FROM b",
+    "sql_strings": "SELECT DISTINCT upper(t) AS a, substring(t, 2, 3) AS s, length(t) AS n, replace(t, 'i', 'y') AS r, concat(t, '-', CAST(u % 2 AS VARCHAR(5))) AS c FROM b",
+    "sql_math": "SELECT id, round(sqrt(v), 6) AS q, abs(v - 50) > 25 AS far, u % 7 AS m, power(u, 2) AS p FROM b",
+    "sql_having_order": "SELECT t, count(*) AS n FROM b GROUP BY t HAVING count(*) > 10 ORDER BY n DESC NULLS LAST, t LIMIT 3",
+}
+for _name, _sql in _PLAIN.items():
+    dialect(_name, f"WITH b AS ({_BASE}) {_sql}", f"WITH b AS ({_FLAT}) {_sql}")
+
+
+@query("SELECT event_type, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM events GROUP BY event_type")
+def transform_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline's SQL over one batch, and its rows as records again."""
+    from eventlake.streaming.pipelines import to_records, transform
+
+    sql = "SELECT event_type, sum(CASE WHEN v > 50 THEN 1 ELSE 0 END) AS n FROM (SELECT json_extract(value, '$.event_type') AS event_type, json_number(value, '$.value') AS v FROM input) GROUP BY event_type"
+    out = to_records(transform(tables.events(spark, sf_dir), sql, "events"))
+    return out.select(jsonx.json_text("$.event_type").alias("event_type"), jsonx.json_text("$.n").cast("bigint").alias("n"))
+
+
+# Streams, each run to the end of its input
+
+
+@query(E + """SELECT ("timestamp" // 86400000) * 86400000 AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS s FROM e
+    GROUP BY ALL HAVING window_start + 86400000 <= (SELECT max("timestamp") FROM e) - 5000""")
+def stream_tumble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.streaming import flows
+
+    return flows.replay(tables.events(spark, sf_dir), lambda s: flows.tumble(jsonx.parsed(s), 86_400_000, [jsonx.json_text("$.event_type").alias("event_type")], [
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(jsonx.json_num("$.value")), 2).alias("s")]).drop("window_end"))
+
+
+@query(f"""WITH {EVENTS_SQL}, {_SIDES} SELECT a.event_id AS l_id, b.event_id AS r_id FROM a JOIN b ON a."key" = b."key" AND abs(a."timestamp" - b."timestamp") <= {_HOUR}""")
+def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.streaming import flows
+
+    def flow(stream: DataFrame) -> DataFrame:
+        kind = jsonx.json_text("$.event_type")
+        out = flows.interval_join(stream.where(kind == "view"), stream.where(kind == "purchase"), _HOUR)
+        return out.select(F.get_json_object("l_value", "$.event_id").cast("bigint").alias("l_id"), F.get_json_object("r_value", "$.event_id").cast("bigint").alias("r_id"))
+
+    return flows.replay(tables.events(spark, sf_dir), flow)
+
+
+@query(E + """SELECT "key", "offset", event_type FROM e WHERE event_type = 'signup'""")
+def pipeline_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.streaming import flows
+
+    return flows.pipeline_roundtrip(tables.events(spark, sf_dir), "SELECT key, offset, partition, timestamp, topic, json_extract(value, '$.event_type') AS value FROM input WHERE json_extract(value, '$.event_type') = 'signup'").select(
+        "key", "offset", F.col("value").alias("event_type"))
