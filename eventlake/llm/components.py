@@ -17,15 +17,17 @@ def connected(edges: DataFrame) -> DataFrame:
 
     edges: columns u, v. Each round hangs neighbours on the smallest one that either end sees (first the larger neighbours, then
     the smaller ones), until the edges are stars. Rounds grow with the logarithm of a component's width; each is written to the
-    shared folder. Loops, repeated edges and nulls are dropped first. No edges: no rows.
+    shared folder. Aggregated sides of joins are written first: a join of plain exchanges is one whose hot keys Spark splits. Loops, repeated edges and nulls are dropped first. No edges: no rows.
     """
     now = spill(_ordered(edges), "edges")
     state = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = spill(low, "lowest")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = spill(large, "large-star")
+        least = spill(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = spill(_ordered(small.union(least.select("u", F.col("m").alias("v")))), "edges")
         found = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()

@@ -179,7 +179,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = spill(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = connected(links(cells(fps)))
     own = spill(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = spill(own.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     component = own.join(least, "root").select("fp", "component_id")
     return docs.join(component, "fp").select("doc_id", "fp", "component_id")
 
