@@ -435,7 +435,7 @@ _FLAT = "SELECT user_id AS u, event_type AS t, value AS v, event_id AS id FROM e
 _PLAIN = {
     "sql_cte_subquery": "SELECT u, count(*) AS n FROM b WHERE v > (SELECT avg(v) FROM b) GROUP BY u",
     "sql_in_exists": "SELECT id FROM b WHERE u IN (SELECT u FROM b WHERE v > 300) AND EXISTS (SELECT 1 FROM b AS c WHERE c.u = b.u AND c.t = 'error')",
-    "sql_ranking": "SELECT * FROM (SELECT id, row_number() OVER (PARTITION BY u ORDER BY v DESC, id) AS rn, rank() OVER (PARTITION BY t ORDER BY u) AS rk, ntile(4) OVER (PARTITION BY u ORDER BY id) AS nt FROM b) AS x WHERE rn <= 3",
+    "sql_ranking": "SELECT * FROM (SELECT id, CAST(row_number() OVER (PARTITION BY u ORDER BY v DESC, id) AS BIGINT) AS rn, CAST(rank() OVER (PARTITION BY t ORDER BY u) AS BIGINT) AS rk, CAST(ntile(4) OVER (PARTITION BY u ORDER BY id) AS BIGINT) AS nt FROM b) AS x WHERE rn <= 3",
     "sql_lag_lead": "SELECT id, lag(id) OVER (PARTITION BY u ORDER BY id) AS before, lead(t, 2) OVER (PARTITION BY u ORDER BY id) AS after FROM b",
     "sql_frames": "SELECT id, max(v) OVER (PARTITION BY u ORDER BY id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS m, count(*) OVER (PARTITION BY u ORDER BY id RANGE BETWEEN 50 PRECEDING AND CURRENT ROW) AS c FROM b",
     "sql_union_all": "SELECT u, t FROM b WHERE t = 'view' UNION ALL SELECT u, t FROM b WHERE t = 'click'",
@@ -445,7 +445,7 @@ _PLAIN = {
     "sql_self_join": "SELECT a.id AS i, c.id AS j FROM b AS a JOIN b AS c ON a.u = c.u AND a.id < c.id AND c.id - a.id <= 20 AND a.t = c.t",
     "sql_semi_anti": "SELECT DISTINCT u FROM b WHERE u NOT IN (SELECT u FROM b WHERE v > 480)",
     "sql_case_cast": "SELECT id, CASE WHEN v < 10 THEN 'low' WHEN v < 100 THEN 'mid' ELSE 'high' END AS band, CAST(floor(v) AS BIGINT) AS whole, coalesce(nullif(t, 'view'), 'seen') AS t2 FROM b",
-    "sql_strings": "SELECT DISTINCT upper(t) AS a, substring(t, 2, 3) AS s, length(t) AS n, replace(t, 'i', 'y') AS r, concat(t, '-', CAST(u % 2 AS VARCHAR(5))) AS c FROM b",
+    "sql_strings": "SELECT DISTINCT upper(t) AS a, substring(t, 2, 3) AS s, CAST(length(t) AS BIGINT) AS n, replace(t, 'i', 'y') AS r, concat(t, '-', CAST(u % 2 AS VARCHAR(5))) AS c FROM b",
     "sql_math": "SELECT id, round(sqrt(v), 6) AS q, abs(v - 50) > 25 AS far, u % 7 AS m, power(u, 2) AS p FROM b",
     "sql_having_order": "SELECT t, count(*) AS n FROM b GROUP BY t HAVING count(*) > 10 ORDER BY n DESC NULLS LAST, t LIMIT 3",
 }
@@ -466,8 +466,8 @@ def transform_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams, each run to the end of its input
 
 
-@query(E + """SELECT ("timestamp" // 86400000) * 86400000 AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS s FROM e
-    GROUP BY ALL HAVING window_start + 86400000 <= (SELECT max("timestamp") FROM e) - 5000""")
+@query(E + """, d AS (SELECT ("timestamp" // 86400000) * 86400000 AS window_start, event_type, value FROM e)
+    SELECT window_start, event_type, count(*) AS n, round(sum(value), 2) AS s FROM d WHERE window_start + 86400000 <= (SELECT max("timestamp") FROM e) - 5000 GROUP BY 1, 2""")
 def stream_tumble(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventlake.streaming import flows
 
