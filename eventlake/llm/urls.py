@@ -28,16 +28,16 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: The most labelled URLs that the trees are fitted on, taken in the order of a hash.
+#: The most labelled URLs that the trees are fitted on, picked by a hash of the row.
 SAMPLE = 20_000
 #: Suffixes are counted in so many hashed cells, so that the statistics have a fixed size.
 SUFFIX_CELLS = 4096
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = (
     "length", "host_length", "path_length", "depth", "host_labels", "digits", "digit_ratio", "entropy", "host_entropy",
     "params", "query_length", "hyphens", "dots", "escapes", "is_https", "has_fragment", "last_segment", "suffix_length",
     "log_suffix_count", "suffix_share",
 )
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_and_path(url) -> tuple:
@@ -161,8 +161,12 @@ class Trees:
 
 def fit(ruled: DataFrame, counts: np.ndarray, sample: int = SAMPLE) -> Trees:
     """Trees fitted on at most ``sample`` of the URLs that a rule decides; 1 stands for block."""
-    labelled = ruled.where("rule is not null").select("url", "host", "path", (F.col("rule_verdict") == "block").cast("int").alias("y"))
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    labelled = ruled.where("rule is not null").select("page_id", "url", "host", "path", (F.col("rule_verdict") == "block").cast("int").alias("y"))
+    n = labelled.count()
+    if n > sample:
+        # a share of all rows by hash, so that no task sends more than its part of the sample
+        labelled = labelled.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * sample / n))
+    rows = labelled.limit(sample).collect()
     x = np.array([features(r["url"], r["host"], r["path"], counts) for r in rows]).reshape(len(rows), len(FEATURES))
     return Trees().fit(x, np.array([r["y"] for r in rows], dtype=float))
 
