@@ -36,7 +36,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = (
     "length", "host_length", "path_length", "depth", "host_labels", "digits", "digit_ratio", "entropy", "host_entropy",
     "params", "query_length", "hyphens", "dots", "escapes", "is_https", "has_fragment", "last_segment", "suffix_length",
-    "log_suffix_count", "suffix_share",
+    "log_suffix_count", "suffix_share", "www", *(f"path_{c}" for c in LOWER),
 )
 
 
@@ -96,14 +96,14 @@ def features(url: str, host: str, path: str, counts: np.ndarray) -> list[float]:
         len(url), len(host), len(path), path.count("/"), host.count(".") + 1, digits, digits / max(1, len(url)), entropy(url),
         entropy(host), query.count("&") + 1 if query else 0, len(query), url.count("-"), url.count("."), url.count("%"),
         float(url[:6].lower() == "https:"), float("#" in url), len(path.rpartition("/")[2]), len(host.rpartition(".")[2]),
-        math.log1p(seen), seen / max(1.0, counts.sum()),
+        math.log1p(seen), seen / max(1.0, counts.sum()), float(host[:4] == "www."), *map(path.lower().count, LOWER),
     ]
 
 
 class Trees:
     """Gradient-boosted regression trees for logistic loss, grown on quantile bins."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: int = 5):
+    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: int = 5):
         self.rounds, self.depth, self.rate, self.bins, self.l2, self.least = rounds, depth, rate, bins, l2, least
         self.base, self.trees, self.edges = 0.0, [], []
 
