@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ BORDER, STAND_IN = "\U0010fffe", "\U0010ffff"
 ZIPF = 1.0
 SEED = 42
 #: Segments, and arcs of their lattices, above which a worker forgets some.
-KEPT, ARCS = 300_000, 8_000_000
+KEPT, ARCS = 150_000, 3_000_000
+#: Bytes of text that are segmented at once.
+SLICE = 1 << 20
 #: Below so many open segments, each is sampled to its end by itself.
 FEW = 24
 
@@ -59,11 +62,64 @@ class _Column:
         return self.held[: self.n]
 
 
+class _Table:
+    """Pieces by a 64-bit hash of their characters, in a sparse table that numpy probes."""
+
+    BITS = 20
+
+    def __init__(self, pieces: list[str]):
+        self.lengths = {len(p) for p in pieces}
+        self.keys, self.values = np.zeros((1 << self.BITS) + 64, np.uint64), np.zeros((1 << self.BITS) + 64, np.int32)
+        hashes = [int(self.whole(_codes(p))) for p in pieces]
+        if len({*hashes, 0}) <= len(hashes):
+            raise ValueError("two pieces share a hash")
+        self.probes = 1
+        for k, h in enumerate(hashes):
+            at = start = int(self._slot(np.uint64(h)))
+            while self.keys[at]:
+                at += 1
+            self.keys[at], self.values[at], self.probes = h, k, max(self.probes, at - start + 1)
+
+    @staticmethod
+    def longer(h: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+        """Hashes of spans that end in the characters x, from those without them."""
+        h = x if h is None else h * np.uint64(0x9E3779B97F4A7C15) + x
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def whole(self, x: np.ndarray) -> np.ndarray:
+        h = None
+        for c in x:
+            h = self.longer(h, np.array([c]))
+        return h[0]
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, x: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end, piece) of each piece in the characters x; left is how many of a segment's characters stand after each one."""
+        starts, h, found = np.arange(len(x)), None, []
+        for n in range(1, max(self.lengths) + 1):
+            if n > 1:
+                inside = left[starts] >= n - 1
+                starts, h = starts[inside], h[inside]
+            if not len(starts):
+                break
+            h = self.longer(h, x[starts + n - 1])
+            at = self._slot(h)
+            for probe in range(self.probes if n in self.lengths else 0):
+                hit = np.flatnonzero(self.keys[at + probe] == h)
+                found.append((starts[hit] + n - 1, self.values[at[hit] + probe]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
 class Lattices:
     """Filtered lattices of segments. Nodes and arcs are numbered through; an arc leads back to the node that it comes from."""
 
     def __init__(self, path: str, zipf: float = ZIPF):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -74,11 +130,6 @@ class Lattices:
         whole = np.all(scores == np.round(scores))
         self.pieces = [model.id_to_piece(i) for i in plain]
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
-        self.raw = [b""] * n
-        for piece, i in zip(self.pieces, plain, strict=True):
-            self.raw[i] = piece.replace(SPACE, " ").encode()
-        for b, i in self.bytes.items():
-            self.raw[i] = bytes([b])
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces, so that texts can't be restored")
         if any(BORDER in p or STAND_IN in p for p in self.pieces):
@@ -92,13 +143,10 @@ class Lattices:
         self.ids = np.array(plain, np.int32)
         self.log_weight = -zipf * np.log(np.arange(len(plain)) + 2.0) if whole else scores
         self.length = np.array([len(p) for p in self.pieces])
-        self.finder = ahocorasick.Automaton()
-        for k, piece in enumerate(self.pieces):
-            self.finder.add_word(piece, k)
-        self.finder.make_automaton()
+        self.table = _Table(self.pieces)
         self.known: dict[str, int] = {}
         #: The last node of each segment; the first arc of each node; an arc's cumulated share, source and id.
-        self.ends, self.first, self.share, self.back, self.piece = map(_Column, (np.int64, np.int64, np.float64, np.int64, np.int32))
+        self.ends, self.first, self.share, self.back, self.piece = map(_Column, (np.int32, np.int32, np.float32, np.int32, np.int32))
         self.marks: list[tuple[int, ...]] = []
 
     def learn(self, segments: list[str]) -> None:
@@ -108,68 +156,70 @@ class Lattices:
         # U+2581 itself is written as if it had no piece
         flat = BORDER.join(STAND_IN if s == SPACE else s.replace(" ", SPACE) for s in segments)
         sizes = np.array([len(s) for s in segments])
-        found = np.fromiter(chain.from_iterable(self.finder.iter(flat)), np.int64).reshape(-1, 2)
-        end, k = found[:, 0], found[:, 1]
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        # a node for each character, in order; separators have none
+        # a node for each character; first in order, then by place in the segment
         n_nodes, base = int(sizes.sum()), self.first.n
-        node_at = np.full(len(flat), -1, np.int64)
+        last = np.cumsum(sizes) - 1
         chars = np.arange(n_nodes) + np.repeat(np.arange(len(segments)), sizes)
-        node_at[chars] = np.arange(n_nodes)
-        place = np.arange(n_nodes) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        seen = node_at[end] >= 0
-        end, k = end[seen], k[seen]
-        node, n_chars = node_at[end], self.length[k]
-        inner = n_chars <= place[node]
-        source = np.where(inner, node - n_chars, -1)
-        back, ids, weight = source.copy(), self.ids[k], self.log_weight[k]
-        # characters without a piece of their own: a chain of bytes, whose last arc stands among the others
+        place = np.arange(n_nodes, dtype=np.int32) - np.repeat((last + 1 - sizes).astype(np.int32), sizes)
+        node, k = self.table.find(_codes(flat)[chars], np.repeat(sizes, sizes) - 1 - place)
+        by_place = np.argsort(place.astype(np.int16) if place.max() < 1 << 15 else place, kind="stable")
+        rank = np.empty(n_nodes + 1, np.int64)
+        rank[by_place], rank[-1] = np.arange(n_nodes), -1
+        n_chars = self.length[k]
+        # the order of a node's arcs is fixed by their lengths, so that samples don't hang on what was learnt beside
+        order = np.argsort(rank[node] * 64 + n_chars)
+        node, k, n_chars = node[order], k[order], n_chars[order]
+        source = rank[np.where(n_chars <= place[node], node - n_chars, -1)]
+        back, ids, weight, node = source.copy(), self.ids[k], self.log_weight[k], rank[node]
+        # characters without a piece of their own: a chain of bytes, whose last arc stands last at the character's node
         alone = np.ones(n_nodes, bool)
         alone[node[n_chars == 1]] = False
-        extra = {"node": [], "source": [], "back": [], "ids": [], "weight": []}
+        lone = by_place[np.flatnonzero(alone)]
+        chain_node, chain_back, chain_id, at, more = [], [], [], [], []
         n_all = n_nodes
-        for x in np.flatnonzero(alone).tolist():
+        for x in lone.tolist():
             c = flat[chars[x]]
-            before = x - 1 if place[x] else -1
-            *lead, last = (SPACE if c == STAND_IN and segments[int(np.searchsorted(starts, chars[x], side="right")) - 1] == SPACE else c).encode()
+            before = int(rank[x - 1]) if place[x] else -1
+            if c == STAND_IN and segments[int(np.searchsorted(last, x))] == SPACE:
+                c = SPACE
+            *lead, final = c.encode()
             through = before
-            for b in lead:
-                for name, v in zip(extra, (n_all, before, through, self.bytes[b], 0.0), strict=True):
-                    extra[name].append(v)
+            for byte in lead:
+                chain_node.append(n_all)
+                chain_back.append(through)
+                chain_id.append(self.bytes[byte])
                 through, n_all = n_all, n_all + 1
-            for name, v in zip(extra, (x, before, through, self.bytes[last], float(self.log_weight.min())), strict=True):
-                extra[name].append(v)
-        if extra["node"]:
-            node, source, back, ids, weight = (np.concatenate([a, np.array(extra[name], a.dtype)]) for name, a in zip(extra, (node, source, back, ids, weight), strict=True))
-        level = np.where(node < n_nodes, place[np.minimum(node, n_nodes - 1)], -1)
-        order = np.lexsort((node, level))
-        node, source, back, ids, weight, level = (a[order] for a in (node, source, back, ids, weight, level))
+            at.append(int(rank[x]))
+            more.append((before, through, self.bytes[final]))
+        if more:
+            where = np.searchsorted(node, at, side="right")
+            extra = np.array(more)
+            node, source, back = np.insert(node, where, at), np.insert(source, where, extra[:, 0]), np.insert(back, where, extra[:, 1])
+            ids, weight = np.insert(ids, where, extra[:, 2].astype(ids.dtype)), np.insert(weight, where, self.log_weight.min())
         head = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        of = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(node)]))
-        levels = level[head]
-        total = np.zeros(n_all + 1)  # log of the sum to each node; the last stands for the beginning
+        tail = np.r_[head[1:], len(node)]
+        total = np.zeros(n_nodes + 1)  # log of the sum to each node; the last stands for the beginning
         share = np.empty(len(node))
-        bounds = np.flatnonzero(np.r_[True, levels[1:] != levels[:-1], True])
-        for h0, h1 in zip(bounds[:-1], bounds[1:], strict=True):
-            a, b = head[h0], head[h1] if h1 < len(head) else len(node)
-            here, first = of[a:b] - h0, head[h0:h1] - a
+        for n0, n1 in _runs(place[by_place]):
+            a, b = head[n0], tail[n1 - 1]
+            first, here = head[n0:n1] - a, node[a:b] - n0
             value = total[source[a:b]] + weight[a:b]
             top = np.maximum.reduceat(value, first)
             part = np.exp(value - top[here])
             summed = np.add.reduceat(part, first)
-            if levels[h0] >= 0:
-                total[node[head[h0:h1]]] = top + np.log(summed)
-            run = np.cumsum(part / summed[here])
-            share[a:b] = run - (run[first] - part[first] / summed)[here]
-        share[np.r_[head[1:], len(node)] - 1] = 2.0  # rounding never leads past the last arc
-        order = np.argsort(node, kind="stable")
-        self.first.add(np.searchsorted(node[order], np.arange(n_all)) + self.share.n)
-        self.share.add(share[order])
-        self.back.add(np.where(back[order] >= 0, back[order] + base, -1))
-        self.piece.add(ids[order])
-        for i, s in enumerate(segments):
-            self.known[s] = self.ends.n + i
-        self.ends.add(np.cumsum(sizes) - 1 + base)
+            total[n0:n1] = top + np.log(summed)
+            part /= summed[here]
+            run = np.cumsum(part)
+            share[a:b] = run - (run[first] - part[first])[here]
+        share[tail - 1] = 2.0  # rounding never leads past the last arc
+        n_arcs = self.share.n
+        self.first.add(np.r_[head, len(node) + np.arange(len(chain_node))] + n_arcs)
+        self.share.add(np.r_[share, np.full(len(chain_node), 2.0)])
+        back = np.r_[back, np.array(chain_back, np.int64)]
+        self.back.add(np.where(back >= 0, back + base, -1))
+        self.piece.add(np.r_[ids, np.array(chain_id, ids.dtype)])
+        self.known.update(zip(segments, range(self.ends.n, self.ends.n + len(segments)), strict=True))
+        self.ends.add(rank[last] + base)
 
     def forget(self) -> None:
         """Keep the segments learnt first, so the commonest: about half of what may be kept."""
@@ -194,12 +244,14 @@ class Lattices:
         if self.ends.n > KEPT or self.share.n > ARCS:
             self.forget()
         cut = [self.segments(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if new:
-            self.learn(sorted(new))
-        known = self.known
         sizes = np.array([len(c) for c in cut])
-        which = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        flat = list(chain.from_iterable(cut))
+        which = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            met = [flat[i] for i in new.tolist()]
+            self.learn(list(set(met)))
+            which[new] = np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))
         row = np.repeat(np.array([xxhash.xxh64_intdigest(k.encode(), seed) for k in keys], np.uint64), sizes)
         begin = np.cumsum(sizes) - sizes
         place = np.arange(len(which), dtype=np.uint64) - np.repeat(begin, sizes).astype(np.uint64)
@@ -247,9 +299,11 @@ class Lattices:
             out[end[x] - counts[x] : end[x] - step] = path[::-1]
         return piece[out], counts
 
-    def decode(self, ids) -> str:
-        """The text of ids, exactly as it was encoded."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
+
+def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each run of equal values."""
+    cuts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1], True]).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -265,6 +319,45 @@ def _unit(x: np.ndarray) -> np.ndarray:
 _lattices: dict[tuple, Lattices] = {}
 
 
+def piece_bytes(path: str) -> list[bytes]:
+    """What each id stands for in a text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = []
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            out.append(bytes([int(piece[3:5], 16)]))
+        else:
+            out.append(b"" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else piece.replace(SPACE, " ").encode())
+    return out
+
+
+class Pieces:
+    """Bytes of the pieces, laid out so that numpy joins them."""
+
+    def __init__(self, path: str):
+        raw = piece_bytes(path)
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.length = np.array([len(r) for r in raw])
+        self.start = np.cumsum(self.length) - self.length
+
+    def join(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of ids, and where those of each id end."""
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[ids] - (ends - n), n)
+        return self.bytes[at].tobytes(), ends
+
+    def texts(self, ids: pa.ListArray) -> list[str | None]:
+        """The text of each row's ids, exactly as it was encoded."""
+        raw, ends = self.join(ids.flatten().to_numpy(zero_copy_only=False))
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]]
+        valid = ids.is_valid().to_pylist()
+        return [raw[a + 1 : b].decode() if ok else None for a, b, ok in zip(bounds[:-1].tolist(), bounds[1:].tolist(), valid, strict=True)]
+
+
 def lattices(path: str, zipf: float = ZIPF) -> Lattices:
     """A worker's table, kept from task to task."""
     if (path, zipf) not in _lattices:
@@ -278,7 +371,7 @@ def encode(df: DataFrame, model: str, seed: int = SEED, zipf: float = ZIPF, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lattices(model, zipf)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             ids = known.sample([t or "" for t in texts], [str(k) for k in keys], seed)
             ends = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32(), mask=np.r_[[t is None for t in texts], False])
@@ -287,16 +380,16 @@ def encode(df: DataFrame, model: str, seed: int = SEED, zipf: float = ZIPF, id_c
     return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, ids array<int>")
 
 
-def decode(df: DataFrame, model: str, zipf: float = ZIPF, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, ids and decoded (the text) of every row."""
     df = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lattices(model, zipf)
+        known = Pieces(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [None if ids is None else known.decode(ids) for ids in part.column("ids").to_pylist()]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = known.texts(part.column("ids"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, ids array<int>, decoded string")
