@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='eventlake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/eventlake"
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/eventlake"
+
+
+@functools.cache
+def _own() -> str:
+    """A local folder of this process, which is removed at its end."""
+    path = tempfile.mkdtemp(prefix="eventlake-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:

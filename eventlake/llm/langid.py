@@ -135,10 +135,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 3 == 1, F.lit(True))
 
 
-def identify(df: DataFrame, model: Codewords, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all of df, if not given), lang_pred, score and ambiguous of every row."""
+def identify(df: DataFrame, model: Codewords, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` (all of df, if not given), lang_pred, score and ambiguous of every row; a prefix keeps these names apart
+    from columns of df."""
     keep = df.columns if keep is None else keep
     source = df.select(*keep, F.col(text_col).alias("__text"))
+    names = [f"{prefix}{n}" for n in ("lang_pred", "score", "ambiguous")]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +154,7 @@ def identify(df: DataFrame, model: Codewords, text_col: str = "text", keep: list
                 for i, x in zip(known, best, strict=True):
                     lang[i] = model.langs[x]
             found = [pa.array(lang, pa.string()), pa.array(score), pa.array(unclear)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *found], names=[*keep, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *found], names=[*keep, *names])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
-    return source.mapInArrow(judge, f"{schema + ', ' if schema else ''}lang_pred string, score double, ambiguous boolean")
+    return source.mapInArrow(judge, f"{schema + ', ' if schema else ''}`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")

@@ -186,6 +186,6 @@ def keep_good(df: DataFrame, labels: DataFrame, host: Column, path: Column, text
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.log_odds(x), pa.float64())], names=[*columns, "__log_odds"])
 
     scored = marked.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in marked.dtypes) + ", `__log_odds` double")
-    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "p_path")
+    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("p_path").alias("__p_path"))
     joined = scored.join(sites, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")))
-    return joined.where(posterior(F.col("__log_odds"), F.col("p_path"), mean) >= KEEP).select(*df.columns)
+    return joined.where(posterior(F.col("__log_odds"), F.col("__p_path"), mean) >= KEEP).select(*df.columns)
