@@ -21,8 +21,8 @@ from eventlake.llm.queries import WORD_TOKENIZER, site_of_source, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where(~F.col("ambiguous") & (F.col("lang_pred") != langid.UNKNOWN)).select(*docs.columns)
+    found = langid.identify(docs, langid.fit(docs), prefix="__")
+    return found.where(~F.col("__ambiguous") & (F.col("__lang_pred") != langid.UNKNOWN)).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
