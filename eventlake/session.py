@@ -13,11 +13,11 @@ SETTINGS = {
 }
 
 
-def session(master: str | None = None, **settings: str) -> SparkSession:
-    """A session with SETTINGS; those given here (underscores for dots) come on top."""
+def session(master: str | None = None, settings: dict[str, str] | None = None) -> SparkSession:
+    """A session with SETTINGS; those given here come on top."""
     builder = SparkSession.builder.appName("eventlake")
     if master:
         builder = builder.master(master)
-    for key, value in (SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}).items():
+    for key, value in (SETTINGS | (settings or {})).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
