@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from eventlake.functions import vectors
 
-_INDEX = "regexp_replace(p, '\\\\\\\\.([0-9]+)(?=\\\\\\\\.|$)', '[$1]')"
+_INDEX = "regexp_replace(p, '[.]([0-9]+)(?=[.]|$)', '[$1]')"
 
 FUNCTIONS = {
     "json_extract": ("s STRING, p STRING", "STRING", f"coalesce(get_json_object(s, {_INDEX}), get_json_object(s, p))"),

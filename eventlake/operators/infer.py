@@ -62,10 +62,10 @@ def confidence(samples: int) -> float:
 def cost(df: DataFrame, limit: int | None = None, rows: int | None = None) -> dict:
     """Estimated rows and bytes of a query, from the optimizer's statistics (or a known row count), its tier and milliseconds."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    size = int(stats.sizeInBytes().toString())
+    size = int(str(stats.sizeInBytes()))
     if rows is None:
         known = stats.rowCount()
-        rows = int(known.get().toString()) if known.isDefined() else max(1, size // max(1, 8 * len(df.columns)))
+        rows = int(str(known.get())) if known.isDefined() else max(1, size // max(1, 8 * len(df.columns)))
     if limit is not None:
         rows = min(rows, limit)
     tier = "low" if rows < 10_000 else "medium" if rows < 100_000 else "high"

@@ -44,7 +44,8 @@ def interval_join(left: DataFrame, right: DataFrame, within_ms: int, how: str =
     for df, side in ((left, "l"), (right, "r")):
         df = df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
         sides.append(df.withColumn(f"{side}_time", F.timestamp_millis(f"{side}_timestamp")).withWatermark(f"{side}_time", delay))
-    near = F.expr(f"l_key = r_key AND r_time >= l_time - INTERVAL {within_ms} MILLISECONDS AND r_time <= l_time + INTERVAL {within_ms} MILLISECONDS".replace(f"INTERVAL {within_ms} MILLISECONDS", f"make_dt_interval(0, 0, 0, {within_ms / 1000})"))
+    step = f"INTERVAL '{within_ms // 1000}.{within_ms % 1000:03}' SECOND"
+    near = F.expr(f"l_key = r_key AND r_time >= l_time - {step} AND r_time <= l_time + {step}")
     out = sides[0].join(sides[1], near, {"inner": "inner", "left": "leftOuter", "right": "rightOuter", "full": "fullOuter"}[how])
     return out.drop("l_time", "r_time")
 

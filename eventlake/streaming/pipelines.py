@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,7 +48,7 @@ def to_records(rows: DataFrame) -> DataFrame:
     names = set(rows.columns)
     whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
 
-    def own(name: str, kind: str, default) -> F.Column:
+    def own(name: str, kind: str, default) -> Column:
         return (F.coalesce(F.expr(f"try_cast(`{name}` AS {kind})"), F.lit(default)) if name in names else F.lit(default)).cast(kind).alias(name)
 
     key = F.col("key").cast("string") if "key" in names else F.lit(None).cast("string")
@@ -77,8 +77,12 @@ class Pipeline:
 
     def _batch(self, df: DataFrame, batch_id: int) -> None:
         out = to_records(transform(df, self.sql, self.topic)) if self.sql else df
-        if not out.isEmpty():
-            self.sink.write(out, batch_id)
+        out = out.persist()  # the check and the sink read it; the source is read once
+        try:
+            if not out.isEmpty():
+                self.sink.write(out, batch_id)
+        finally:
+            out.unpersist()
 
     def _writer(self):
         return self.source.writeStream.foreachBatch(self._batch).option("checkpointLocation", self.checkpoint).queryName(self.name)

@@ -1,0 +1,142 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from eventlake.errors import IncompatibleSchema, InvalidQuery, MissingConnector, OffsetNotFound
+from eventlake.model import COLUMNS
+from eventlake.sources import connectors, schemas, topics
+
+from .helpers import records
+
+
+def test_topic_store(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    df = records(spark, [(i % 3, i // 3, f"k{i}", {"i": i}, i) for i in range(30)])
+    topics.write_topic(df, path)
+    back = topics.read_topic(spark, path, "t")
+    assert back.columns == COLUMNS and sorted(back.collect()) == sorted(df.collect())
+    plan = back.where("partition = 1 AND offset > 5")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "partition" in plan.split("PartitionFilters")[1][:200] and "GreaterThan(offset,5)" in plan
+
+
+def test_consume(spark):
+    df = records(spark, [(0, i, None, "", i) for i in range(10)])
+    assert [r["offset"] for r in topics.consume(df, 0, 4, 3).collect()] == [4, 5, 6]
+    with pytest.raises(OffsetNotFound):
+        topics.consume(df, 0, 99, strict=True)
+
+
+def test_lines(spark, tmp_path):
+    (tmp_path / "a.ndjson").write_text('{"key":"k","value":"{\\"x\\":1}","timestamp":5}\nplain text\n{"value":{"y":2}}\n')
+    (tmp_path / "b.ndjson").write_text('{"z": 3}\n')
+    got = topics.read_lines(spark, f"file://{tmp_path}", "t", 2, 100, 77).orderBy("offset").collect()
+    assert [(r["offset"], r["key"], r["value"], r["timestamp"]) for r in got] == [(100, "k", '{"x":1}', 5), (101, None, "plain text", 77), (102, None, '{"y":2}', 77), (103, None, '{"z": 3}', 77)]
+
+
+def test_produce(spark):
+    df = spark.createDataFrame([("a", "1", 1, None), ("a", "2", 2, None), ("b", "3", 3, 1), (None, "4", 4, None)], "key string, value string, timestamp long, partition int")
+    out = topics.produce(df, "t", 4, {1: 10}).collect()
+    assert len({r["partition"] for r in out if r["key"] == "a"}) == 1
+    b = next(r for r in out if r["key"] == "b")
+    assert b["partition"] == 1 and b["offset"] >= 10
+    for p in {r["partition"] for r in out}:
+        own = sorted(r["offset"] for r in out if r["partition"] == p)
+        assert own == list(range(own[0], own[0] + len(own)))
+
+
+def test_missing_connectors_say_so(spark, tmp_path):
+    with pytest.raises(MissingConnector):
+        connectors.read_broker(spark, "localhost:9092", ["t"])
+    with pytest.raises(MissingConnector):
+        connectors.FileSink(f"file://{tmp_path}/x", "avro").write(records(spark, [(0, 0, None, "", 0)]))
+
+
+def test_change_lines(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"op":"r","source":{"table":"x"},"ts_ms":3}\n{"op":"c","source":{"table":"y"}}\n')
+    assert sorted((r["key"], r["timestamp"]) for r in connectors.read_changes(spark, f"file://{tmp_path}").collect()) == [("x", 3), ("y", 0)]
+    assert connectors.read_changes(spark, f"file://{tmp_path}", snapshot="never").count() == 1
+
+
+def test_frames(spark):
+    df = spark.createDataFrame([(bytearray(b"\0\0\0\0\7body"),), (bytearray(b"none"),)], "v binary")
+    got = df.select(*[c.alias(n) for c, n in zip(connectors.framed("v"), "ib", strict=True)]).collect()
+    assert (got[0]["i"], bytes(got[0]["b"])) == (7, b"body") and got[1]["i"] is None
+    assert bytes(df.select(connectors.frame(258, F.lit("x"))).first()[0]) == b"\0\0\0\1\2x"
+
+
+@pytest.mark.parametrize("kind", ["json", "parquet", "csv"])
+def test_file_sink_partitions_by_each_record(spark, tmp_path, kind):
+    df = records(spark, [(0, 0, "k", {"a": 1}, 0), (0, 1, "k", {"a": 2}, 3_700_000), (0, 2, None, {"a": 3}, 90_000_000)])
+    sink = connectors.FileSink(f"file://{tmp_path}/{kind}", kind, "hourly")
+    sink.write(df, 7)
+    sink.write(df, 7)  # a repeated batch replaces itself
+    found = sorted(str(p.relative_to(tmp_path / kind)) for p in (tmp_path / kind / "batch=7").rglob("hour=*"))
+    assert found == [f"batch=7/topic=t/year=1970/month=01/day={d}/hour={h}" for d, h in (("01", "00"), ("01", "01"), ("02", "01"))]
+    assert (spark.read.format(kind).load(f"file://{tmp_path}/{kind}")).count() == 3
+    with pytest.raises(InvalidQuery):
+        connectors.FileSink("x", "xml")
+
+
+def test_table_sink(spark):
+    df = records(spark, [(0, 0, None, {"id": 1, "n": "a"}, 0), (0, 1, None, {"n": "only"}, 1), (0, 2, None, {"id": 1, "n": "b"}, 2), (0, 3, None, "bad", 3)])
+    rows = connectors.TableSink("jdbc:x", "tab", "id bigint, n string").rows(df).collect()
+    assert [tuple(r) for r in rows] == [(1, "a"), (None, "only"), (1, "b")]
+    upsert = connectors.TableSink("jdbc:x", "tab", "id bigint, n string", "upsert", ["id"])
+    assert sorted(map(str, upsert.rows(df).collect())) == ["Row(id=1, n='b')", "Row(id=None, n='only')"]
+    assert upsert.merge_sql(["id", "n"], "st") == 'INSERT INTO tab ("id", "n") SELECT "id", "n" FROM st ON CONFLICT ("id") DO UPDATE SET "n" = EXCLUDED."n"'
+    with pytest.raises(InvalidQuery):
+        connectors.TableSink("jdbc:x", "tab", "id bigint", "upsert").merge_sql(["id"], "st")
+
+
+def test_bulk_bodies(spark):
+    df = records(spark, [(0, 0, None, {"id": 5}, 0), (0, 1, None, {"id": {"x": 1}}, 0), (0, 2, None, {"id": "s"}, 0)])
+    lines = [r["line"].split("\n") for r in connectors.BulkSink("index", "idx", id_field="id").lines(df).collect()]
+    assert [json.loads(a)["index"].get("_id") for a, _ in lines] == ["5", None, "s"] and lines[0][1] == '{"id": 5}'
+    plain = records(spark, [(0, 0, "k", "text", 0)])
+    assert json.loads(connectors.BulkSink("rows", "tab").lines(plain).first()["line"])["value"] == "text"
+
+
+V1 = '{"type":"record","name":"U","fields":[{"name":"name","type":"string"},{"name":"age","type":"int"}]}'
+V2 = '{"type":"record","name":"U","fields":[{"name":"name","type":"string"},{"name":"age","type":"long"},{"name":"phone","type":["null","string"],"default":null}]}'
+BROKEN = '{"type":"record","name":"U","fields":[{"name":"username","type":"string"},{"name":"age","type":"int"}]}'
+
+
+def test_avro_compatibility():
+    assert schemas.check("avro", V2, [V1], "backward") == []
+    assert schemas.check("avro", V2, [V1], "forward") != []  # int doesn't read long
+    assert schemas.check("avro", BROKEN, [V1], "backward") == ["username: new field without a default"]
+    assert schemas.check("avro", BROKEN, [V1], "none") == []
+    assert schemas.avro_reads(["null", "string"], "string") == [] and schemas.avro_reads("string", ["null", "string"]) != []
+    enum = lambda *s: {"type": "enum", "name": "e", "symbols": list(s)}
+    assert schemas.avro_reads(enum("a"), enum("a", "b")) == ["no symbol b"] and schemas.avro_reads(enum("a", "b"), enum("a")) == []
+    assert schemas.avro_reads({"type": "array", "items": "double"}, {"type": "array", "items": "int"}) == []
+
+
+def test_transitive_modes_look_at_all_versions():
+    with_default = V1.replace('"type":"int"', '"type":"int","default":0')
+    gone = '{"type":"record","name":"U","fields":[{"name":"name","type":"string"}]}'
+    assert schemas.check("avro", V1, [V1, with_default], "backward") == []
+    assert schemas.check("avro", V1, [gone, with_default], "backward") == [] and schemas.check("avro", V1, [gone, with_default], "backward_transitive") != []
+
+
+def test_json_and_proto_compatibility():
+    old = '{"type":"object","properties":{"a":{"type":"integer"}},"required":["a"]}'
+    assert schemas.check("json", '{"type":"object","properties":{"a":{"type":"number"}},"required":["a"]}', [old], "backward") == []
+    assert schemas.check("json", '{"type":"object","properties":{"a":{"type":"integer"},"b":{}},"required":["a","b"]}', [old], "backward") == ["b: newly required"]
+    assert schemas.check("json", '{"type":"object","properties":{"a":{"type":["integer","null"]}}}', [old], "backward") == []
+    assert schemas.check("json", old, ['{"type":"object","properties":{"a":{"type":"string"}},"required":["a"]}'], "full") != []
+    a, b = "message M { int32 x = 1; string y = 2; }", "message M { int64 x = 1; bytes y = 2; repeated string z = 3; }"
+    assert schemas.check("protobuf", b, [a], "full") == [] and schemas.check("protobuf", "message M { string x = 1; }", [a], "backward") == ["x: type of number 1 changed"]
+
+
+def test_registry():
+    r = schemas.Registry()
+    one = r.register("u", V1)
+    assert r.register("u", V1.replace(" ", "")) == one and r.register("other", V1) == one
+    two = r.register("u", V2)
+    assert two != one and r.version("u", 1) == r.get(one) and r.version("u") == r.get(two)
+    with pytest.raises(IncompatibleSchema):
+        r.register("u", BROKEN)
+    r.modes["u"] = "none"
+    assert r.register("u", BROKEN) == 3
