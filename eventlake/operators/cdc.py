@@ -52,7 +52,7 @@ def table_state(df: DataFrame, keys: Sequence[str], order: Column | None = None)
     order = F.struct("ts_ms", "partition", "offset") if order is None else order
     df = df.where("valid").withColumn("__order", order)
     cut = df.where("op = 'truncate'").groupBy("table").agg(F.max("__order").alias("__cut"))
-    df = df.where("op not in ('truncate', 'schema_change')").join(F.broadcast(cut), "table", "left")
+    df = df.where("op not in ('truncate', 'schema_change')").join(cut, "table", "left")
     df = df.where(F.col("__cut").isNull() | (F.col("__order") > F.col("__cut")))
     image = F.coalesce("after", "before")
     named = [F.get_json_object(image, f"$['{k}']").alias(k) for k in keys]

@@ -67,5 +67,5 @@ def global_watermark(df: DataFrame, delay_ms: int = 5000, idle_ms: int | None =
     per = df.groupBy("topic", "partition").agg(F.max("timestamp").alias("last"))
     if idle_ms is not None:
         newest = per.groupBy("topic").agg(F.max("last").alias("newest"))
-        per = per.join(F.broadcast(newest), "topic").where(F.col("newest") - F.col("last") <= idle_ms)
+        per = per.join(newest, "topic").where(F.col("newest") - F.col("last") <= idle_ms)
     return per.groupBy("topic").agg((F.min("last") - delay_ms).alias("watermark"))

@@ -1,8 +1,9 @@
 """Materialized views: aggregates of a topic, kept as mergeable parts, so that refreshing reads new records only.
 
 A view's table holds one row per group and window with parts of each aggregate: counts and sums add up, minima and maxima combine,
-first and last carry their order, distinct counts carry the set of groups' values as rows of their own. Reading finishes
-the parts. Each refresh writes a new version beside a file of offsets and then moves the pointer, so that rows and offsets agree.
+first and last carry their order. For a distinct count, the values of each group are rows of a second table, so that no
+group's values are ever held in one row. Reading finishes the parts. Each refresh writes a new version and then moves the
+view's pointer and offsets together.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class Aggregate:
         if self.kind in ("min", "max"):
             return [getattr(F, self.kind)(v).alias(f"{n}__v")]
         if self.kind == "count_distinct":
-            return [F.collect_set(v).alias(f"{n}__set")]
+            return []
         pick = F.min if self.kind == "first" else F.max
         return [pick(F.struct(F.struct(*ORDER).alias("at"), v.alias("v"))).alias(f"{n}__o")]
 
@@ -59,7 +60,7 @@ class Aggregate:
         if self.kind in ("min", "max"):
             return [getattr(F, self.kind)(f"{n}__v").alias(f"{n}__v")]
         if self.kind == "count_distinct":
-            return [F.array_distinct(F.flatten(F.collect_list(f"{n}__set"))).alias(f"{n}__set")]
+            return []
         return [(F.min if self.kind == "first" else F.max)(f"{n}__o").alias(f"{n}__o")]
 
     def finished(self) -> Column:
@@ -73,16 +74,21 @@ class Aggregate:
         if self.kind in ("min", "max"):
             return F.col(f"{n}__v").alias(n)
         if self.kind == "count_distinct":
-            return F.size(f"{n}__set").cast("long").alias(n)
+            return F.coalesce(f"{n}__d", F.lit(0)).cast("long").alias(n)
         return F.col(f"{n}__o.v").alias(n)
 
 
 def partial(df: DataFrame, keys: Sequence[Column], aggregates: Sequence[Aggregate]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[p for a in aggregates for p in a.parts()])
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *[p for a in aggregates for p in a.parts()])
 
 
 def merge(parts: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate]) -> DataFrame:
-    return parts.groupBy(*keys).agg(*[p for a in aggregates for p in a.merged()])
+    return parts.groupBy(*keys).agg(F.sum("__rows").alias("__rows"), *[p for a in aggregates for p in a.merged()])
+
+
+def distinct_values(df: DataFrame, keys: Sequence[Column], aggregate: Aggregate) -> DataFrame:
+    """Keys and value, a row for each different value of a group."""
+    return df.select(*keys, aggregate.value.alias("__value")).where("__value is not null").distinct()
 
 
 def finish(parts: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggregate]) -> DataFrame:
@@ -183,6 +189,12 @@ class Views:
         if view.version:
             parts = merge(self.spark.read.parquet(self.path(view)).unionByName(parts), names, view.aggregates)
         parts.write.mode("overwrite").parquet(self.path(view, view.version + 1))
+        for a in view.aggregates:
+            if a.kind == "count_distinct":
+                values = distinct_values(fresh, view.keys, a)
+                if view.version:
+                    values = self.spark.read.parquet(self._values(view, a)).unionByName(values).distinct()
+                values.write.mode("overwrite").parquet(self._values(view, a, view.version + 1))
         view.version, view.offsets = view.version + 1, view.offsets | ends
 
     def read(self, name: str) -> DataFrame:
@@ -194,8 +206,17 @@ class Views:
         if not view.aggregates:
             return stored
         names = [c for c in stored.columns if "__" not in c]
+        for a in view.aggregates:
+            if a.kind == "count_distinct":
+                counts = self.spark.read.parquet(self._values(view, a)).groupBy(*names).agg(F.count(F.lit(1)).alias(f"{a.name}__d"))
+                counts = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], f"{a.name}__d")
+                same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)]
+                stored = stored.join(counts, same, "left").drop(*[f"__k{i}" for i in range(len(names))])
         return finish(stored, names, view.aggregates)
 
+    def _values(self, view: View, aggregate: Aggregate, version: int | None = None) -> str:
+        return f"{self.path(view, version)}-values-{aggregate.name}"
+
     def rows(self, view: View) -> int:
         return self.spark.read.parquet(self.path(view)).count() if view.version else 0
 

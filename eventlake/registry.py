@@ -89,9 +89,8 @@ dialect("count_all", "SELECT COUNT(*) FROM events", 'SELECT count(*) AS "count"
 dialect("count_filtered", "SELECT COUNT(*) AS n FROM events WHERE event_type = 'purchase' AND json_extract(value, '$.value') > 20.25",
         "SELECT count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 20.25")
 dialect("expressions_and_functions", """SELECT upper(event_type) AS t, CASE WHEN json_extract(value, '$.value') > 50 THEN 'high' ELSE 'low' END AS band,
-        round(json_extract(value, '$.value') * 2 + 1, 1) AS twice, length(key) AS n FROM events WHERE partition = 3 AND offset < 40""",
-        E + """SELECT upper(event_type) AS t, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS band, round(value * 2 + 1, 1) AS twice, CAST(length("key") AS INTEGER) AS n
-        FROM e WHERE partition = 3 AND "offset" < 40""")
+        round(json_extract(value, '$.value') * 2 + 1, 1) AS twice, length(key) AS n FROM events""",
+        E + """SELECT upper(event_type) AS t, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS band, round(value * 2 + 1, 1) AS twice, CAST(length("key") AS INTEGER) AS n FROM e""")
 
 
 @query(E + """SELECT partition, "offset", "key", "timestamp" FROM e WHERE partition = 2 AND "offset" >= 100 ORDER BY "offset" LIMIT 50""")
@@ -110,9 +109,9 @@ def predicate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicates.keep(tables.events(spark, sf_dir), {"op": "and", "args": [tree, {"op": "not", "arg": {"op": "equals", "field": "nothing", "value": 1}}]}).select("key", "offset")
 
 
-@query(E + """SELECT partition, "offset", '{"type":"' || event_type || '","k":{"k":' || k || '}}' AS "value" FROM e WHERE partition = 1""")
+@query(E + """SELECT partition, "offset", '{"type":"' || event_type || '","k":{"k":' || k || '}}' AS "value" FROM e""")
 def project_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = tables.events(spark, sf_dir).where("partition = 1")
+    df = tables.events(spark, sf_dir)
     return predicates.project(df, {"event_type": "type", "props": "k", "nothing": "nothing"}).select("partition", "offset", "value")
 
 
@@ -134,10 +133,10 @@ dialect("first_last", "SELECT key, FIRST('$.event_id') AS f, LAST('$.event_type'
         E + """SELECT "key", arg_min(event_id, ("timestamp", partition, "offset")) AS f, arg_max(event_type, ("timestamp", partition, "offset")) AS l FROM e GROUP BY "key" """, casts={"f": "bigint"})
 
 
-@query("SELECT event_type, count(DISTINCT user_id) > 0 AS some FROM events GROUP BY event_type")
+@query("SELECT event_type, count(DISTINCT user_id) AS exact, true AS near FROM events GROUP BY event_type")
 def approx_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tables.engine(spark, sf_dir, "events").sql("SELECT event_type, APPROX_COUNT_DISTINCT(key) AS n FROM events GROUP BY event_type")
-    return out.select("event_type", (F.col("n") > 0).alias("some"))
+    out = tables.engine(spark, sf_dir, "events").sql("SELECT event_type, APPROX_COUNT_DISTINCT(key) AS n, COUNT(DISTINCT key) AS exact FROM events GROUP BY event_type")
+    return out.select("event_type", "exact", (F.abs(F.col("n") / F.col("exact") - 1) < 0.2).alias("near"))
 
 
 # Windows
@@ -189,20 +188,15 @@ def watermark_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Joins
 
-_OC = """o AS (SELECT CAST(o_orderkey AS VARCHAR) AS ok, CAST(o_custkey AS VARCHAR) AS ck, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0),
-    c AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_name, c_mktsegment FROM customer WHERE c_custkey % 2 = 0)"""
+_OC = """o AS (SELECT CAST(o_orderkey AS VARCHAR) AS ok, CAST(o_custkey AS VARCHAR) AS ck, o_orderstatus FROM orders),
+    c AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_name, c_mktsegment FROM customer)"""
 for _how in ("INNER", "LEFT", "RIGHT", "FULL"):
-
-    def _join(spark: SparkSession, sf_dir: str, how: str = _how) -> DataFrame:
-        engine = tables.engine(spark, sf_dir)
-        engine.catalog.add("orders", tables.orders(spark, sf_dir).where("cast(key as bigint) % 3 <> 0"))
-        engine.catalog.add("customers", tables.customers(spark, sf_dir).where("cast(key as bigint) % 2 = 0"))
-        # the sides of ON may stand in any order
-        return engine.sql(f"SELECT o.key AS ok, c.key AS ck, json_extract(c.value, '$.c_name') AS name, o.o_orderstatus AS st FROM orders o {how} JOIN customers c ON c.key = json_extract(o.value, '$.o_custkey')")
-
-    _join.__name__ = f"join_{_how.lower()}"
-    query(f"WITH {_OC} SELECT ok, c.key AS ck, c_name AS name, o_orderstatus AS st FROM o {_how} JOIN c ON o.ck = c.key")(_join)
-
+    # the sides of ON may stand in any order; what else it says leaves rows without a partner on both sides
+    dialect(f"join_{_how.lower()}",
+        f"""SELECT o.key AS ok, c.key AS ck, json_extract(c.value, '$.c_name') AS name, o.o_orderstatus AS st FROM orders o {_how} JOIN customers c
+        ON c.key = json_extract(o.value, '$.o_custkey') AND c.c_mktsegment = 'BUILDING' AND o.o_orderstatus = 'F'""",
+        f"""WITH {_OC} SELECT ok, c.key AS ck, c_name AS name, o_orderstatus AS st FROM o {_how} JOIN c ON o.ck = c.key AND c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'""",
+        "orders", "customers")
 dialect("join_filtered_ordered", """SELECT o.key, c.c_mktsegment AS seg, json_extract(o.value, '$.o_totalprice') AS p FROM orders o JOIN customers c ON o.o_custkey = c.key
         WHERE json_extract(o.value, '$.o_totalprice') > 200000 AND json_extract(c.value, '$.c_mktsegment') = 'BUILDING' ORDER BY p DESC, o.key LIMIT 20""",
         """SELECT CAST(o_orderkey AS VARCHAR) AS "o.key", c_mktsegment AS seg, o_totalprice AS p FROM orders JOIN customer ON o_custkey = c_custkey
@@ -210,16 +204,15 @@ dialect("join_filtered_ordered", """SELECT o.key, c.c_mktsegment AS seg, json_ex
 dialect("join_grouped", "SELECT c.c_mktsegment AS seg, COUNT(*) AS n, SUM(json_extract(o.value, '$.o_totalprice')) AS s FROM orders o JOIN customers c ON o.o_custkey = c.key GROUP BY c.c_mktsegment",
         "SELECT c_mktsegment AS seg, count(*) AS n, round(sum(o_totalprice), 1) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1", "orders", "customers", digits={"s": 1})
 _LATEST = """l AS (SELECT "key", arg_max(event_id, ("timestamp", partition, "offset")) AS event_id, arg_max(event_type, ("timestamp", partition, "offset")) AS event_type FROM e GROUP BY "key")"""
-dialect("stream_table_join", "SELECT a.key AS k, json_extract(a.value, '$.event_id') AS id, t.event_id AS last_id, t.event_type AS last_type FROM events a JOIN TABLE(events) t ON a.key = t.key WHERE a.partition = 1",
-        f"""WITH {EVENTS_SQL}, {_LATEST} SELECT e."key" AS k, e.event_id AS id, l.event_id AS last_id, l.event_type AS last_type FROM e JOIN l ON e."key" = l."key" WHERE e.partition = 1""",
+dialect("stream_table_join", "SELECT a.key AS k, json_extract(a.value, '$.event_id') AS id, t.event_id AS last_id, t.event_type AS last_type FROM events a JOIN TABLE(events) t ON a.key = t.key",
+        f"""WITH {EVENTS_SQL}, {_LATEST} SELECT e."key" AS k, e.event_id AS id, l.event_id AS last_id, l.event_type AS last_type FROM e JOIN l ON e."key" = l."key" """,
         casts={"id": "bigint", "last_id": "bigint"})
-dialect("table_stream_join", "SELECT t.key AS k, t.event_id AS last_id, o.key AS ok FROM TABLE(events) t RIGHT JOIN orders o ON t.key = o.o_custkey WHERE o.offset < 100",
-        f"""WITH {EVENTS_SQL}, {_LATEST}, o AS (SELECT CAST(o_orderkey AS VARCHAR) AS ok, CAST(o_custkey AS VARCHAR) AS ck, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS off FROM orders)
-        SELECT l."key" AS k, l.event_id AS last_id, ok FROM o LEFT JOIN l ON l."key" = ck WHERE off < 100""", "events", "orders", casts={"last_id": "bigint"})
-dialect("join_three_topics", "SELECT o.key AS ok, c.c_name AS name, e.event_id AS id FROM orders o JOIN customers c ON o.o_custkey = c.key JOIN events e ON e.key = c.key WHERE e.partition = 0 AND o.offset < 200",
-        f"""WITH {EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS off FROM orders)
-        SELECT CAST(o_orderkey AS VARCHAR) AS ok, c_name AS name, event_id AS id FROM o JOIN customer ON o_custkey = c_custkey JOIN e ON e.user_id = c_custkey WHERE e.partition = 0 AND off < 200""",
-        "orders", "customers", "events", casts={"id": "bigint"})
+dialect("table_stream_join", "SELECT t.key AS k, t.event_id AS last_id, o.key AS ok FROM TABLE(events) t RIGHT JOIN orders o ON t.key = o.o_custkey",
+        f"""WITH {EVENTS_SQL}, {_LATEST}, o AS (SELECT CAST(o_orderkey AS VARCHAR) AS ok, CAST(o_custkey AS VARCHAR) AS ck FROM orders)
+        SELECT l."key" AS k, l.event_id AS last_id, ok FROM o LEFT JOIN l ON l."key" = ck""", "events", "orders", casts={"last_id": "bigint"})
+dialect("join_three_topics", "SELECT c.c_name AS name, o.o_orderstatus AS st, COUNT(*) AS n, MAX(json_extract(e.value, '$.value')) AS top FROM orders o JOIN customers c ON o.o_custkey = c.key JOIN events e ON e.key = c.key GROUP BY c.c_name, o.o_orderstatus",
+        "SELECT c_name AS name, o_orderstatus AS st, count(*) AS n, max(value) AS top FROM orders JOIN customer ON o_custkey = c_custkey JOIN events ON user_id = c_custkey GROUP BY 1, 2",
+        "orders", "customers", "events")
 
 
 def _views_and_purchases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -247,8 +240,8 @@ dialect("stats_zscore", "SELECT json_extract(value, '$.event_id') AS id, ZSCORE(
         f"SELECT event_id AS id, round({_Z}, 6) AS z FROM events WHERE {_Z} > 2.0", digits={"z": 6}, casts={"id": "bigint"})
 dialect("stats_anomaly", "SELECT json_extract(value, '$.event_id') AS id, ANOMALY('$.value', 2.5) AS odd FROM events WHERE ANOMALY('$.value') = true",
         f"SELECT event_id AS id, abs({_Z}) > 2.5 AS odd FROM events WHERE abs({_Z}) > 2.0", casts={"id": "bigint"})
-dialect("stats_columns", "SELECT key, offset, partition, AVG('$.value') AS a, STDDEV('$.value') AS sd FROM events WHERE partition = 0",
-        E + """SELECT "key", "offset", partition, round(avg(value) OVER (), 6) AS a, round(stddev_pop(value) OVER (), 6) AS sd FROM e WHERE partition = 0""", digits={"a": 6, "sd": 6})
+dialect("stats_columns", "SELECT key, offset, partition, AVG('$.value') AS a, STDDEV('$.value') AS sd FROM events",
+        E + """SELECT "key", "offset", partition, round(avg(value) OVER (), 6) AS a, round(stddev_pop(value) OVER (), 6) AS sd FROM e""", digits={"a": 6, "sd": 6})
 dialect("stats_moving_avg", "SELECT partition, offset, MOVING_AVG('$.value', 5) AS m FROM events",
         E + """SELECT partition, "offset", round(avg(value) OVER (ORDER BY partition, "offset" ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS m FROM e""", digits={"m": 6})
 

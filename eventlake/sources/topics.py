@@ -39,11 +39,11 @@ def read_lines(spark: SparkSession, path: str, topic: str, partition: int = 0, b
     )
     from pyspark.sql import Window
 
-    # rows before each file come from one small aggregate, so that lines are numbered file by file
+    # rows before each file come from an aggregate with a row for each file, so that lines are numbered file by file
     counts = shaped.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
-    out = shaped.withColumn("rank", rank).join(F.broadcast(before), "file")
+    out = shaped.withColumn("rank", rank).join(before, "file")
     offset = (F.col("rank") + F.col("before") + base_offset).cast("long")
     return out.select(F.lit(topic).alias("topic"), F.lit(partition).alias("partition"), offset.alias("offset"), "key", "value", "timestamp")
 

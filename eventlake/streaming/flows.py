@@ -14,9 +14,21 @@ DELAY = "5 seconds"
 
 
 def _time(df: DataFrame, delay: str) -> DataFrame:
+    if "__time" in df.columns:
+        return df
     return df.withColumn("__time", F.timestamp_millis("timestamp")).withWatermark("__time", delay)
 
 
+def by_partition(stream: DataFrame, partitions: Sequence[int], delay: str = DELAY) -> DataFrame:
+    """A stream whose watermark is the least of its partitions': each is watermarked alone, and Spark takes the minimum of all
+    (spark.sql.streaming.multipleWatermarkPolicy, whose default that is). The time column is __time."""
+    out = None
+    for p in partitions:
+        own = _time(stream.where(F.col("partition") == p), delay)
+        out = own if out is None else out.union(own)
+    return out
+
+
 def tumble(stream: DataFrame, size_ms: int, keys: Sequence[Column], aggregates: Sequence[Column], delay: str = DELAY) -> DataFrame:
     """Windows that are emitted once, when the watermark passes their end; later records of a window are dropped and counted by
     Spark (numRowsDroppedByWatermark)."""

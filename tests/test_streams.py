@@ -27,6 +27,12 @@ def test_tumbling_emits_once_and_drops_late(spark, tmp_path):
     assert [tuple(r) for r in got.orderBy("window_start").collect()] == [(0, 1000, "a", 3.0), (20_000, 21_000, "a", 6.0)]
 
 
+def test_watermark_of_the_slowest_partition(spark, tmp_path):
+    batches = [records(spark, [(0, 0, "a", {}, 0), (1, 0, "b", {}, 0)]), records(spark, [(0, 1, "a", {}, 50_000)]), records(spark, [(1, 1, "b", {}, 500)]), records(spark, [(1, 2, "b", {}, 600)])]
+    got = replay_files(spark, tmp_path, batches, lambda s: flows.tumble(flows.by_partition(s, [0, 1]), 1000, [], [F.count(F.lit(1)).alias("n")]))
+    assert got.collect() == []  # partition 1 holds the watermark back
+
+
 def test_hop_and_session(spark):
     df = records(spark, [(0, 0, "a", {}, 0), (0, 1, "a", {}, 1000), (0, 2, "a", {}, 2001), (0, 3, "z", {}, 100_000)])
     n = F.count(F.lit(1)).alias("n")
