@@ -44,8 +44,12 @@ def needs_compaction(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def replace_partition(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Overwrite only those (topic, partition) folders of a topic store that df has rows of."""
-    (df.sortWithinPartitions("offset").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("topic", "partition").parquet(path))
+    """Overwrite only those (topic, partition) folders of a topic store that df has rows of.
+
+    df must not be read from the same folder at that time: write a compacted partition elsewhere first, and read it from there.
+    """
+    laid = df.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("topic", "partition").parquet(path)
 
 
 def sequence_status(df: DataFrame, producer: str = "producer_id", sequence: str = "sequence", order: str = "offset") -> DataFrame:

@@ -486,3 +486,82 @@ def pipeline_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return flows.pipeline_roundtrip(tables.events(spark, sf_dir), "SELECT key, offset, partition, timestamp, topic, json_extract(value, '$.event_type') AS value FROM input WHERE json_extract(value, '$.event_type') = 'signup'").select(
         "key", "offset", F.col("value").alias("event_type"))
+
+
+@query(f"WITH {EVENTS_SQL}, {_HOP} WHERE window_start + 7200000 <= (SELECT max(\"timestamp\") FROM e) - 5000 GROUP BY window_start")
+def stream_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.streaming import flows
+
+    n, s = F.count(F.lit(1)).alias("n"), F.round(F.sum(jsonx.json_num("$.value")), 2).alias("s")
+    return flows.replay(tables.events(spark, sf_dir), lambda stream: flows.hop(jsonx.parsed(stream), 7_200_000, 1_800_000, [], [n, s]))
+
+
+@query(f"""WITH {EVENTS_SQL}, {_SESSIONS} SELECT min("timestamp") AS window_start, max("timestamp") AS window_end, "key", count(*) AS c FROM s GROUP BY "key", n
+    HAVING max("timestamp") + 1800000 <= (SELECT max("timestamp") FROM e) - 5000""")
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.streaming import flows
+
+    return flows.replay(tables.events(spark, sf_dir), lambda stream: flows.session(stream, 1_800_000, [F.col("key")], [F.count(F.lit(1)).alias("c")]))
+
+
+@query(E + 'SELECT DISTINCT "key", event_type FROM e')
+def stream_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.streaming import flows
+
+    def flow(stream: DataFrame) -> DataFrame:
+        typed = stream.select("key", jsonx.json_text("$.event_type").alias("event_type"), "timestamp")
+        return flows.deduplicated(typed, ["key", "event_type"], "400 days").select("key", "event_type")
+
+    return flows.replay(tables.events(spark, sf_dir), flow)
+
+
+# Sources and sinks, written and read back
+
+
+@query(E + f"""SELECT {ENVELOPE_SQL}, event_id FROM e WHERE partition IN (1, 3) AND "offset" BETWEEN 50 AND 700""")
+def topic_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.sources.topics import read_topic, write_topic
+    from eventlake.streaming.flows import work_folder
+
+    path = f"{work_folder(spark)}/store"
+    write_topic(tables.events(spark, sf_dir), path)
+    stored = read_topic(spark, path, "events").where("partition in (1, 3) and offset between 50 and 700")
+    return stored.select("topic", "partition", "offset", "key", "timestamp", jsonx.json_text("$.event_id").cast("bigint").alias("event_id"))
+
+
+@query(E + """SELECT "key", "timestamp", event_id FROM e""")
+def ndjson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.sources.topics import read_lines
+    from eventlake.streaming.flows import work_folder
+
+    path = f"{work_folder(spark)}/lines"
+    tables.events(spark, sf_dir).select(F.to_json(F.struct("key", "value", "timestamp"))).write.text(path)
+    return read_lines(spark, path, "events").select("key", "timestamp", jsonx.json_text("$.event_id").cast("bigint").alias("event_id"))
+
+
+@query("""SELECT CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d, CAST(hour(ts) AS INTEGER) AS h, count(*) AS n FROM events GROUP BY ALL""")
+def file_sink_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.sources.connectors import FileSink
+    from eventlake.streaming.flows import work_folder
+
+    path = f"{work_folder(spark)}/sink"
+    FileSink(path, "parquet", "hourly").write(tables.events(spark, sf_dir))
+    parts = [F.col(c).cast("int").alias(a) for c, a in (("year", "y"), ("month", "m"), ("day", "d"), ("hour", "h"))]
+    return spark.read.parquet(path).groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(E + """SELECT k, arg_max(event_id, ("timestamp", partition, "offset")) AS event_id, arg_max(event_type, ("timestamp", partition, "offset")) AS event_type FROM e GROUP BY k""")
+def table_sink_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an upsert by props.k would merge: the last record of each key."""
+    from eventlake.sources.connectors import TableSink
+
+    flat = tables.events(spark, sf_dir).withColumn("value", F.expr("to_json(struct(cast(get_json_object(value, '$.props.k') as bigint) as k, cast(get_json_object(value, '$.event_id') as bigint) as event_id, get_json_object(value, '$.event_type') as event_type))"))
+    return TableSink("jdbc:none", "events", "k bigint, event_id bigint, event_type string", "upsert", ["k"]).rows(flat)
+
+
+@query(E + """SELECT '{"index":{"_index":"events","_id":"' || event_id || '"}}' AS action FROM e""")
+def bulk_sink_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.sources.connectors import BulkSink
+
+    lines = BulkSink("index", "events", id_field="event_id").lines(tables.events(spark, sf_dir))
+    return lines.select(F.split("line", "\n")[0].alias("action"))
