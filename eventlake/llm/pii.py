@@ -35,7 +35,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Candidates: what looks roughly like a kind. An address may be written out; numbers may lack a prefix or a check digit.
+#: Candidates: what looks roughly like a kind. An address may be written out, a phone number lack its prefix, a card number (with a
+#: valid check digit) have dots.
 _NAME = re.compile(r"[A-Za-z0-9_%+-]{1,64}(?:\.[A-Za-z0-9_%+-]{1,64}){0,4}\Z")
 _AT = re.compile(r"(?: ?[\[(] ?at ?[\])] ?| at )(?=[a-z0-9-]{1,63}(?: ?[\[(.]| dot ))(?:[a-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?| dot |\.)){1,4}[a-z0-9-]{1,63}", re.I)
 LOOSE = (
@@ -96,7 +97,8 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     if "dot" in text or "[at" in text or "(at" in text:
         found += [(a, 0, b) for a, b in _written_out(text)]
     if _MAYBE.search(text):
-        found += [(m.start(), KINDS.index(kind), m.end()) for kind, shape in LOOSE for m in shape.finditer(text)]
+        shaped = ((kind, m) for kind, shape in LOOSE for m in shape.finditer(text))
+        found += [(m.start(), KINDS.index(kind), m.end()) for kind, m in shaped if kind != "card" or luhn(_NOT_DIGIT.sub("", m.group()))]
     # ends of base matches up to each start grow with it, once the largest so far is taken
     starts, reach, out, taken = [a for a, _, _ in base], [0], [], 0
     for _, _, b in base:

@@ -74,6 +74,17 @@ def test_patterns_find_unseen_identifiers(spark):
     assert clean[200] == stray[0][1]
 
 
+def test_candidates():
+    def found(text):
+        return [(pii.KINDS[k], text[a:b]) for a, k, b in pii.loose_spans(text, pii.base_spans(text))]
+
+    assert found("call (555) 010-9999 or 555.010.9998 now") == [("phone", "(555) 010-9999"), ("phone", "555.010.9998")]
+    assert found("paid by 4111.1111.1111.1111, order 4111.1111.1111.1112") == [("card", "4111.1111.1111.1111")]
+    assert found("host 10[.]0[.]0[.]1 and fe80:0:0:0:1:2:3:4") == [("ip", "10[.]0[.]0[.]1"), ("ip", "fe80:0:0:0:1:2:3:4")]
+    assert found("a.b (at) c (dot) d, x at y dot z, look at example.com") == [("email", "a.b (at) c (dot) d"), ("email", "x at y dot z")]
+    assert found("a@b.com, 4111111111111111 and 1.2.3.4 or +15550109999") == []  # base matches are no candidates
+
+
 def test_scores_match_brute_force(spark):
     import math
 
