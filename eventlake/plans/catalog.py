@@ -47,7 +47,7 @@ class Catalog:
     def _view(self, name: str, frame: DataFrame) -> None:
         # the same plan in this catalog's own session, so that views of other organisations aren't seen
         plan = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, frame._jdf.logicalPlan())
-        DataFrame(plan, self.spark).createOrReplaceTempView(name)
+        DataFrame(plan, self.spark).createOrReplaceTempView(f"`{name}`")
 
     def open(self, name: str, path: str, **options) -> Topic:
         """Register a topic by its folder of Parquet files."""

@@ -38,7 +38,7 @@ def transform(batch: DataFrame, sql: str, topic: str | None = None) -> DataFrame
     register(spark)
     batch.createOrReplaceTempView("input")
     if topic:
-        batch.createOrReplaceTempView(topic)
+        batch.createOrReplaceTempView(f"`{topic}`")
     return spark.sql(validate(sql))
 
 

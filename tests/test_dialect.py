@@ -161,6 +161,12 @@ def test_topics(engine):
     assert [r[:2] for r in rows(engine, "DESCRIBE t")] == [("0", 10), ("1", 10), ("TOTAL (2 partitions)", 20)]
 
 
+def test_quoted_names(spark, tmp_path):
+    run = engine_of(spark, tmp_path, **{"my-topic": records(spark, [(0, 0, "k", {"a b": 1}, 0)])})
+    assert rows(run, """SELECT t.key, json_extract(t.value, '$.a b') AS x FROM "my-topic" t""") == [("k", "1")]
+    assert rows(run, "SELECT COUNT(*) FROM `my-topic`") == [(1,)]
+
+
 def test_organisations_are_apart(spark, tmp_path, engine):
     other = engine_of(spark, tmp_path)
     with pytest.raises(TopicNotFound):
