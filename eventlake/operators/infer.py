@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: SQL types of JSON kinds, and bounds of confidence and of cost tiers.
 SQL_TYPES = {"string": "VARCHAR", "integer": "BIGINT", "number": "DOUBLE", "boolean": "BOOLEAN", "object": "JSON", "array": "JSON"}
-_KEYS = "from_json({0}, 'map<string,variant>')"
 
 
 def _kind(v: str) -> str:

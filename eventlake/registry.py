@@ -11,7 +11,6 @@ from eventlake import tables
 from eventlake.functions import jsonx, stats, vectors
 from eventlake.operators import cdc, compaction, infer, joins, predicates, windows
 from eventlake.operators.aggs import aggregate
-from eventlake.plans import views
 from eventlake.tables import EVENTS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,10 +260,6 @@ def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
     return [float(x) for x in tables.table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]]
 
 
-def _round_for_order(c: str) -> str:
-    return f"round({c}, 9)"
-
-
 @query(f"""SELECT vec_id, round(list_cosine_similarity({_V}, CAST({_Q} AS DOUBLE[])), 6) AS sim FROM embeddings
     ORDER BY round(list_cosine_similarity({_V}, CAST({_Q} AS DOUBLE[])), 9) DESC, vec_id LIMIT 10""")
 def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
