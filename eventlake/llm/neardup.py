@@ -34,9 +34,9 @@ SEED = 42
 #: Differing bits of linked fingerprints. The search is built for this number.
 BITS = 4
 #: Fingerprints in a cell above which it is split in blocks, and those in a block.
-HOT, BLOCK = 20_000, 5_000
-#: Groups up to this size are compared pair by pair.
-SMALL = 12
+HOT, BLOCK = 100_000, 50_000
+#: Groups up to SMALL are compared pair by pair, all groups of a batch at once; those up to MIDDLE as a matrix each.
+SMALL, MIDDLE = 24, 1024
 #: The lower bit of each two-bit segment of a half.
 EVEN = 0x55555555
 
@@ -136,7 +136,14 @@ def _group_links(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarra
         heads.append(fp[near])
         tails.append(fp[near + d])
     for at, n in zip(first[size > SMALL], size[size > SMALL], strict=True):
-        a, b = _forest(fp[at : at + n], bits)
+        own = fp[at : at + n]
+        if n <= MIDDLE:
+            i, j = np.nonzero(np.bitwise_count(own[:, None] ^ own) <= bits)
+            if len(i) <= 9 * n:  # of each pair twice and each member: so few links need no forest
+                heads.append(own[i[i < j]])
+                tails.append(own[j[i < j]])
+                continue
+        a, b = _forest(own, bits)
         heads += a
         tails += b
     return np.concatenate(heads), np.concatenate(tails)
