@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: The column that holds the parsed payload.
 PARSED = "_v"
+#: Kinds of variants, by the first six letters of their types.
+NUMBER, STRING, BOOLEAN = ("BIGINT", "DOUBLE", "DECIMA", "FLOAT"), ("STRING",), ("BOOLEA",)
 
 
 def segments(path: str) -> list[str]:
@@ -41,24 +43,26 @@ def text_sql(path: str, column: str = "value") -> str:
     return _first([f"get_json_object({column}, {literal(p)})" for p in spark_paths(path)])
 
 
-def _typed(path: str, kinds: str, target: str, parsed: str) -> str:
-    out = []
-    for p in map(literal, spark_paths(path)):
-        kind = f"schema_of_variant(try_variant_get({parsed}, {p}, 'variant'))"
-        out.append(f"CASE WHEN {kind} RLIKE '^({kinds})' THEN try_variant_get({parsed}, {p}, '{target}') END")
-    return _first(out)
+def is_kind(read: str, kinds: tuple[str, ...]) -> str:
+    """Whether a variant is of one of these kinds (the first six letters of their types' names)."""
+    return f"left(schema_of_variant({read}), 6) IN ({', '.join(map(literal, kinds))})"
+
+
+def _typed(path: str, kinds: tuple[str, ...], target: str, parsed: str) -> str:
+    reads = [(p, f"try_variant_get({parsed}, {p}, 'variant')") for p in map(literal, spark_paths(path))]
+    return _first([f"CASE WHEN {is_kind(r, kinds)} THEN try_variant_get({parsed}, {p}, '{target}') END" for p, r in reads])
 
 
 def num_sql(path: str, parsed: str = PARSED) -> str:
-    return _typed(path, "BIGINT|DOUBLE|DECIMAL|FLOAT", "double", parsed)
+    return _typed(path, NUMBER, "double", parsed)
 
 
 def str_sql(path: str, parsed: str = PARSED) -> str:
-    return _typed(path, "STRING", "string", parsed)
+    return _typed(path, STRING, "string", parsed)
 
 
 def bool_sql(path: str, parsed: str = PARSED) -> str:
-    return _typed(path, "BOOLEAN", "boolean", parsed)
+    return _typed(path, BOOLEAN, "boolean", parsed)
 
 
 def null_sql(path: str, parsed: str = PARSED) -> str:

@@ -18,9 +18,10 @@ def _field(name: str) -> str:
     return "$['" + name.replace("'", "\\'") + "']"
 
 
-def _typed(name: str, kinds: str, target: str) -> Column:
+def _typed(name: str, kinds: tuple[str, ...], target: str) -> Column:
     path = jsonx.literal(_field(name))
-    return F.expr(f"CASE WHEN schema_of_variant(try_variant_get({jsonx.PARSED}, {path}, 'variant')) RLIKE '^({kinds})' THEN try_variant_get({jsonx.PARSED}, {path}, '{target}') END")
+    kind = jsonx.is_kind(f"try_variant_get({jsonx.PARSED}, {path}, 'variant')", kinds)
+    return F.expr(f"CASE WHEN {kind} THEN try_variant_get({jsonx.PARSED}, {path}, '{target}') END")
 
 
 def _leaf(condition: Column) -> Column:
@@ -40,13 +41,13 @@ def predicate(tree: Mapping) -> Column:
     name, value = tree["field"], tree["value"]
     if op == "equals":
         if isinstance(value, bool):
-            return _leaf(_typed(name, "BOOLEAN", "boolean") == value)
+            return _leaf(_typed(name, jsonx.BOOLEAN, "boolean") == value)
         if isinstance(value, (int, float)):
-            return _leaf(_typed(name, "BIGINT|DOUBLE|DECIMAL", "double") == float(value))
-        return _leaf(_typed(name, "STRING", "string") == value)
+            return _leaf(_typed(name, jsonx.NUMBER, "double") == float(value))
+        return _leaf(_typed(name, jsonx.STRING, "string") == value)
     if op == "contains":
-        return _leaf(_typed(name, "STRING", "string").contains(value))
-    number = _typed(name, "BIGINT|DOUBLE|DECIMAL", "double")
+        return _leaf(_typed(name, jsonx.STRING, "string").contains(value))
+    number = _typed(name, jsonx.NUMBER, "double")
     return _leaf(number > float(value) if op == "greater_than" else number < float(value))
 
 

@@ -34,7 +34,13 @@ class Catalog:
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.organisation = organisation
         self.topics: dict[str, Topic] = {}
-        register(self.spark)
+        self._functions = False
+
+    def functions(self) -> None:
+        """Register the engine's SQL functions, once; the dialect needs none of them."""
+        if not self._functions:
+            register(self.spark)
+            self._functions = True
 
     def add(self, name: str, frame: DataFrame, **options) -> Topic:
         """Register a topic; an unknown cleanup policy counts as delete."""
