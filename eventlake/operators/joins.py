@@ -11,7 +11,7 @@ LATEST = ("timestamp", "partition", "offset")
 
 
 def latest_per_key(df: DataFrame, key: Column | str = "key", order: Sequence[str] = LATEST) -> DataFrame:
-    """The last record of each key, null keys left out. One shuffle with partial aggregation and no sort."""
+    """The last record of each key, null keys left out. One shuffle, after partial aggregation."""
     key = F.col(key) if isinstance(key, str) else key
     columns = df.columns
     last = df.where(key.isNotNull()).groupBy(key.alias("__key")).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r"))

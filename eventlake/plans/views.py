@@ -100,6 +100,10 @@ def tumbling_key(size_ms: int) -> list[Column]:
     return [start.alias("window_start"), (start + size_ms).alias("window_end")]
 
 
+#: What is stored of a view.
+SAVED = ("name", "topic", "sql", "mode", "interval_ms", "id", "status", "error", "created_at", "last_refresh_at", "version", "offsets")
+
+
 @dataclass
 class View:
     """A registered view. ``query`` computes it from scratch; with keys and aggregates it is refreshed by merging."""
@@ -232,7 +236,26 @@ class Views:
         ]
         return self.spark.createDataFrame(pairs, "property string, value string")
 
-    def state(self, name: str) -> str:
-        """What a restart needs, as JSON."""
-        v = self.get(name)
-        return json.dumps({"id": v.id, "version": v.version, "offsets": v.offsets, "last_refresh_at": v.last_refresh_at})
+    def save(self) -> None:
+        """Store what a restart needs: a new version of the registry, written whole."""
+        rows = [(json.dumps({f: getattr(v, f) for f in SAVED}),) for v in self.views.values()]
+        number = max(self._saved(), default=0) + 1
+        self.spark.createDataFrame(rows, "view string").coalesce(1).write.text(f"{self.root}/registry/{number}")
+
+    def saved(self) -> list[View]:
+        """The views of the last whole version; their keys and aggregates are to be planned anew."""
+        numbers = self._saved()
+        if not numbers:
+            return []
+        rows = self.spark.read.text(f"{self.root}/registry/{max(numbers)}").collect()
+        return [View(**json.loads(r["value"])) for r in rows]
+
+    def _saved(self) -> list[int]:
+        """Numbers of the registry's versions whose write was completed."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/registry")
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(path):
+            return []
+        found = [s.getPath() for s in fs.listStatus(path)]
+        return [int(p.getName()) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]

@@ -199,6 +199,12 @@ def test_views(spark, tmp_path):
     engine.sql("CREATE MATERIALIZED VIEW s WITH (refresh_mode = 'scheduled', interval = '1 minute') AS SELECT COUNT(*) AS n FROM t GROUP BY SESSION(timestamp, '1 s'), key")
     assert engine.maintain(1_000_000) == ["s"] and engine.maintain(1_030_000) == [] and engine.maintain(1_060_000) == ["s"]
     assert len(rows(engine, "SELECT * FROM s")) == 3
+    again = engine_of(spark, tmp_path, t=base.unionByName(more))
+    assert again.restore() == ["s", "v"]
+    assert sorted(rows(again, "SELECT * FROM v")) == [("a", 2), ("b", 1)] and dict(rows(again, "DESCRIBE MATERIALIZED VIEW v"))["status"] == "running"
+    again.catalog.add("t", base.unionByName(more).unionByName(records(spark, [(0, 3, "c", {"x": 9}, 7)])))
+    again.sql("REFRESH MATERIALIZED VIEW v")
+    assert sorted(rows(again, "SELECT * FROM v")) == [("a", 2), ("b", 1), ("c", 1)]
     assert rows(engine, "DROP MATERIALIZED VIEW v") == [("v", "dropped")]
     with pytest.raises(InvalidQuery):
         engine.sql("CREATE MATERIALIZED VIEW z AS SELECT COUNT(*) FROM t WHERE ZSCORE('$.x') > 1 GROUP BY key")
