@@ -6,7 +6,7 @@ sequence; none: fingerprint 0), XXH64 with seed 42; a bit is set where over half
 Search: the 64 bits are 32 segments of two, and a fingerprint maps to the vector of its segments' bit counts (0 to 2). The Manhattan
 distance of two such vectors is at most the Hamming distance of the fingerprints. So of two fingerprints within ``2 r`` bits,
 with the vector cut in two halves, one half differs by ``r`` at most; with r = 2 some cell of the grid lies within one step
-of both. Every distinct fingerprint is entered in the cells within one step of either half (51 at most), cells are joined, and
+of both. Every distinct fingerprint is entered in the cells within one step of either half (50 on average, 66 at most), cells are joined, and
 what meets is verified by the exact distance. No link is lost, and equal fingerprints are entered once.
 
 A cell gives a spanning forest of its links, not all pairs. Cells that may hold more than ``hot`` fingerprints are split in
