@@ -9,7 +9,7 @@ with the vector cut in two halves, one half differs by ``r`` at most; with r = 2
 of both. Every distinct fingerprint is entered in the cells within one step of either half (50 on average, 66 at most), cells are joined, and
 what meets is verified by the exact distance. No link is lost, and equal fingerprints are entered once.
 
-A cell gives a spanning forest of its links, not all pairs. Cells that may hold more than ``hot`` fingerprints are split in
+A cell of many links gives a spanning forest of them, not all pairs (cells of up to 24 members give their pairs). Cells that may hold more than ``hot`` fingerprints are split in
 blocks, and each pair of blocks is a group of its own, so that no task gets an unbounded group.
 
 Nulls and ties: a null text has fingerprint 0, as one without words; equal fingerprints are linked. The component's id is its
