@@ -154,8 +154,8 @@ class Lattices:
         columns = (self.ends, self.first, self.share, self.back, self.piece)
         self.marks.append(tuple(c.n for c in columns))
         # U+2581 itself is written as if it had no piece
-        flat = BORDER.join(STAND_IN if s == SPACE else s.replace(" ", SPACE) for s in segments)
-        sizes = np.array([len(s) for s in segments])
+        flat = BORDER.join(segments).replace(SPACE, STAND_IN).replace(" ", SPACE)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
         # a node for each character; first in order, then by place in the segment
         n_nodes, base = int(sizes.sum()), self.first.n
         last = np.cumsum(sizes) - 1
