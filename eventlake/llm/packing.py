@@ -29,7 +29,7 @@ END_ID = 1
 #: Salts of a bucket; a group of (bucket, salt) is numbered in one task.
 SALTS = 1024
 #: Token runs kept by a worker.
-WORDS = 400_000
+WORDS = 300_000
 
 
 #: Letters and digits below U+0250 in lower case, and white space; what is none of these makes runs.
