@@ -28,8 +28,8 @@ WIDTH = 2048
 END_ID = 1
 #: Salts of a bucket; a group of (bucket, salt) is numbered in one task.
 SALTS = 1024
-#: Token runs kept by a worker.
-WORDS = 300_000
+#: Token runs kept by a worker, and bytes of text whose new runs are learnt at once.
+WORDS, SLICE = 400_000, 4 << 20
 
 
 #: Letters and digits below U+0250 in lower case, and white space; what is none of these makes runs.
@@ -72,7 +72,7 @@ class Words(dict):
         """Enter runs. Those of letters below U+0250 end in one word-end token each, so they are encoded as one text."""
         plain = []
         for t in found:
-            if t.isalpha() and not self.beyond.search(t):
+            if t.isalpha() and (t.isascii() or not self.beyond.search(t)):
                 plain.append(t)
             else:
                 self[t] = self.ids(t).tobytes()
@@ -122,7 +122,7 @@ def pieces(df: DataFrame, tokenizer: str, width: int = WIDTH, end_id: int = END_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ending = words(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             rows, start, length, crc, total, held = [], [], [], [], [], []
             for row, ids in enumerate(known.encode(batch.column("text").to_pylist())):
                 ids += ending
