@@ -1,9 +1,10 @@
 """Document fingerprints as improbable-feature digests (operator 1).
 
 Every window of WINDOW bytes gets its Shannon entropy. Windows are ranked by how rare their entropy is: far from that of ordinary
-text is rare, while near-constant and near-random windows say nothing and come last. In each stretch of STRETCH windows the
-best-ranked one (the first of equals) gets a vote, and windows with VOTES votes are features (in a text of few windows, those
-with any vote). A feature's hash sets HASHES bits
+text is rare, while near-constant and near-random windows say nothing and come last. Windows of equal rank are ordered by a hash
+of their bytes, then by place. In each stretch of STRETCH windows (of all, if there are fewer) the best one gets a vote, and windows
+with VOTES votes are features. Where a run of stretches has no feature (as in a text of one letter, where the vote moves on with
+each stretch), the best window of the run is one, so that every text that is not empty has some. A feature's hash sets HASHES bits
 of a Bloom filter of BITS bits; after FULL features the next filter of the chain begins. Digests are compared filter by filter:
 the common bits, less those expected by chance, over the most that were possible; each filter takes its best
 partner, weighted by features, and the two directions are averaged.
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from eventlake.llm.common import slices
 
-WINDOW, STRETCH, VOTES, FEW = 16, 16, 4, 64
+WINDOW, STRETCH, VOTES = 16, 16, 4
 BITS, HASHES, FULL = 2048, 5, 160
 #: Bytes whose windows are ranked at once.
 BLOCK = 1 << 17
+#: Bits of a window's place among those ranked at once (over BLOCK and the stretches around it), and of the hash above it.
+PLACE, TIE = 18, 36
 #: Rows of adjacent ids that make a part, while there are fewer than MOST_PARTS.
 PART_ROWS, MOST_PARTS = 1024, 200_000
 #: Ids that are sampled for each part to place the cuts.
@@ -54,6 +57,8 @@ def _ranks() -> np.ndarray:
 
 
 RANKS = _ranks()
+#: Above every key of a window: rank, hash, place.
+_LAST = np.iinfo(np.int64).max
 
 
 def entropy_levels(x: np.ndarray) -> np.ndarray:
@@ -91,19 +96,41 @@ def _mix(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def _select(levels: np.ndarray, first: int, windows: int, at: int, end: int) -> np.ndarray:
-    """Features among windows at to end of a text; levels are those of windows from ``first``, as far as votes reach."""
-    stretch = min(STRETCH, windows)
-    best = (RANKS[levels] << 32) | np.arange(len(levels))
-    width = 1
+def _orders(x: np.ndarray) -> np.ndarray:
+    """Order of every window of the bytes x: its rank, then a hash of its bytes."""
+    levels = entropy_levels(x)
+    words = np.ndarray((len(levels), WINDOW // 8), np.uint64, buffer=x, strides=(1, 8)) if len(levels) else np.zeros((0, 1), np.uint64)
+    return RANKS[levels] << TIE | (_mix(words) >> np.uint64(64 - TIE)).astype(np.int64)
+
+
+#: A run of windows without a feature before the first one: where it begins, its best order, and where that is.
+_NO_RUN = (0, _LAST >> PLACE, 0)
+
+
+def _select(orders: np.ndarray, first: int, windows: int, at: int, end: int, run: tuple[int, int, int] = _NO_RUN) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """Features among windows at to end of a text, and the run that is open at the end; orders are those of windows from ``first``,
+    as far as votes reach. ``run`` is the one that is open at the beginning: its best window may be a feature, too."""
+    stretch, end = min(STRETCH, windows), min(end, windows)
+    keys = orders << PLACE | np.arange(len(orders))
+    best, width = keys, 1
     while 2 * width <= stretch:
         best, width = np.minimum(best[:-width], best[width:]), 2 * width
     if width < stretch:
         best = np.minimum(best[: width - stretch], best[stretch - width :])
-    votes = np.bincount(best & 0xFFFFFFFF, minlength=len(levels))
-    need = VOTES if windows > FEW else 1
-    pick = np.flatnonzero(votes >= need) + first
-    return pick[(pick >= at) & (pick < end)]
+    votes = np.bincount(best & ((1 << PLACE) - 1), minlength=len(orders))
+    pick = np.flatnonzero(votes >= VOTES)
+    pick = pick[(pick >= at - first) & (pick < end - first)]
+    # the best window before each feature and after the last one
+    keys[pick] = _LAST
+    begin = np.r_[at - first, pick + 1]
+    low = np.minimum.reduceat(np.append(keys[: end - first], _LAST), begin)
+    begin, order, place = begin + first, low >> PLACE, (low & ((1 << PLACE) - 1)) + first
+    begin[0] = run[0]
+    if run[1] <= order[0]:
+        order[0], place[0] = run[1:]
+    empty = np.r_[pick + first, end] - begin >= stretch
+    empty[-1] &= end == windows
+    return np.sort(np.concatenate([pick + first, place[empty]])), (int(begin[-1]), int(order[-1]), int(place[-1]))
 
 
 def _hash_windows(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -118,10 +145,10 @@ def feature_hashes(raws: list[bytes]) -> list[np.ndarray]:
 
     def together() -> None:
         x = np.frombuffer(b"".join(raws[i] for i in held), np.uint8)
-        levels, at, picks = entropy_levels(x), 0, []
+        orders, at, picks = _orders(x), 0, []
         for i in held:
             windows = len(raws[i]) - WINDOW + 1
-            picks.append(_select(levels[at : at + windows], 0, windows, 0, windows) + at)
+            picks.append(_select(orders[at : at + windows], 0, windows, 0, windows)[0] + at)
             at += len(raws[i])
         hashes = _hash_windows(x, np.concatenate(picks))
         for i, part in zip(held, np.split(hashes, np.cumsum([len(p) for p in picks])[:-1]), strict=True):
@@ -134,11 +161,12 @@ def feature_hashes(raws: list[bytes]) -> list[np.ndarray]:
             if raw:
                 out[i] = np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), np.uint64)
         elif len(raw) > BLOCK:
-            x, windows, picks = np.frombuffer(raw, np.uint8), len(raw) - WINDOW + 1, []
+            x, windows, picks, run = np.frombuffer(raw, np.uint8), len(raw) - WINDOW + 1, [], _NO_RUN
             for at in range(0, windows, BLOCK):
                 # votes for a block's windows come from stretches that begin up to STRETCH - 1 before it
                 a, b = max(0, at - STRETCH + 1), min(windows, at + BLOCK + STRETCH - 1)
-                picks.append(_select(entropy_levels(x[a : b + WINDOW - 1]), a, windows, at, at + BLOCK))
+                pick, run = _select(_orders(x[a : b + WINDOW - 1]), a, windows, at, at + BLOCK, run)
+                picks.append(pick)
             out[i] = _hash_windows(x, np.concatenate(picks))
         else:
             if held and size + len(raw) > BLOCK:

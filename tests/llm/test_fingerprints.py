@@ -35,6 +35,41 @@ def test_likeness():
     assert str(fp.Digest.parse(str(a))) == str(a) and fp.likeness(fp.Digest.parse(str(a)), a) == 1
 
 
+PERIODIC = ["a" * 1000, "=" * 200, "ab" * 300, "abcdefgh" * 200, "abcdefghijklmnopqrstuvwxyz" * 50, "0123456789" * 100, "ha " * 200, "1234\n" * 300, "na na hey hey " * 60]
+
+
+def test_periodic_texts_have_features(monkeypatch):
+    digests = fp.digests([*PERIODIC, "", "x" * 16, "y" * 40])
+    empty = digests[len(PERIODIC)]
+    for i, a in enumerate(digests):
+        for j, b in enumerate(digests):
+            if i != j:
+                assert fp.likeness(a, b) < 0.5, (i, j)
+        assert a is empty or a.counts.sum() > 0
+    raws = [t.encode() for t in [*PERIODIC, "a quick one " + "z" * 900 + " and over the lazy dog" * 30]]
+    want = fp.feature_hashes(raws)
+    monkeypatch.setattr(fp, "BLOCK", 100)
+    assert all(np.array_equal(a, b) for a, b in zip(want, fp.feature_hashes(raws), strict=True))
+
+
+def test_features_match_the_rule():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        raw = b"".join(rng.choice([b"a", b"ab", b"xyz", b"word ", b"1", b"the end"]) * int(rng.integers(1, 30)) for _ in range(int(rng.integers(1, 9))))
+        if len(raw) < fp.WINDOW:
+            continue
+        x = np.frombuffer(raw, np.uint8)
+        order, n = fp._orders(x).tolist(), len(raw) - fp.WINDOW + 1
+        stretch = min(fp.STRETCH, n)
+        votes = Counter(min(range(s, s + stretch), key=lambda i: (order[i], i)) for s in range(n - stretch + 1))
+        some = {i for i, v in votes.items() if v >= fp.VOTES}
+        edge = [-1, *sorted(some), n]
+        for a, b in zip(edge, edge[1:], strict=False):
+            if b - a - 1 >= stretch:
+                some.add(min(range(a + 1, b), key=lambda i: (order[i], i)))
+        assert some and np.array_equal(fp.feature_hashes([raw])[0], fp._hash_windows(x, np.array(sorted(some))))
+
+
 def test_query_matches_brute_force(spark, sf, texts):
     from eventlake.llm.queries import op1_improbable_features
 
