@@ -5,7 +5,8 @@ a kind, a side (words before, after) and the words. Whatever a pattern meets tha
 base match (an address written out, a number without its prefix) is a candidate instance. Spark aggregates all (pattern,
 instance) pairs into a weighted graph and scores it in rounds: a pattern is as good as the instances that it meets,
 shrunk towards a prior; an instance as likely as the patterns that meet it make it together (noisy or), seeds being
-certain. Candidates of instances over the threshold become spans. They never replace or overlap base ones.
+certain. A pattern that meets no seed counts in the rounds in which its score is above the prior, so that what is found leads to
+more, one step further in each round. Candidates of instances over the threshold become spans. They never replace or overlap base ones.
 
 Nulls and ties: a null or empty text has no spans and digests of an empty string. Repeated rows are kept, and each counts. Spans
 are ordered by start, then by kind as listed. Texts of any length are read whole, in time that grows with their length. No
@@ -169,14 +170,16 @@ def score_instances(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     graph = spill(graph.withColumn("w", F.log1p("n")), "graph")
     open_edges = graph.where("not seed")
     scores = open_edges.select("kind", "instance").distinct().withColumn("score", F.lit(0.0))
-    # what seeds add to a pattern never changes
-    held = graph.groupBy("pattern").agg(F.sum(F.when(F.col("seed"), F.col("w")).otherwise(0.0)).alias("good"), F.sum("w").alias("all"))
-    held = spill(held.where("good > 0"), "patterns")
+    # what seeds add to a pattern never changes; patterns that meet only seeds score nothing
+    good = F.sum(F.when(F.col("seed"), F.col("w")).otherwise(0.0))
+    held = graph.groupBy("pattern").agg(good.alias("good"), F.sum("w").alias("all"), F.bool_or(~F.col("seed")).alias("open"))
+    held = spill(held.where("open").drop("open"), "patterns")
     for _ in range(rounds):
         scored = open_edges.join(scores, ["kind", "instance"])
         more = scored.groupBy("pattern").agg(F.sum(F.col("w") * F.col("score")).alias("more"))
         value = (F.col("good") + F.coalesce("more", F.lit(0.0)) + PRIOR_WEIGHT * PRIOR) / (F.col("all") + PRIOR_WEIGHT)
-        patterns = spill(held.join(more, "pattern", "left").where(f"all >= {SUPPORT}").select("pattern", value.alias("value")), "pattern-scores")
+        patterns = held.join(more, "pattern", "left").where(f"all >= {SUPPORT}").withColumn("value", value)
+        patterns = spill(patterns.where((F.col("good") > 0) | (F.col("value") > PRIOR)).select("pattern", "value"), "pattern-scores")
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least("value", F.lit(0.999)))))
         scores = open_edges.join(patterns, "pattern").groupBy("kind", "instance").agg((F.lit(1.0) - doubt).alias("score"))
         scores = spill(scores, "instance-scores")

@@ -109,6 +109,16 @@ def test_scores_match_brute_force(spark):
         assert abs(got[i] - s) < 1e-9
 
 
+def test_found_instances_lead_to_more(spark):
+    # s are seeds; x stand by a seed pattern and by pattern 2, y only by 2 and 3, z only by 3; v and 4 have nothing to do with them
+    edges = [(1, 0, f"s{i}", True, 9) for i in range(60)] + [(p, 0, f"x{i}", False, 9) for i in range(30) for p in (1, 2)]
+    edges += [(2, 0, "y", False, 3), (3, 0, "y", False, 30), (3, 0, "z", False, 2), (4, 0, "v", False, 90)]
+    graph = spark.createDataFrame(edges, "pattern long, kind int, instance string, seed boolean, n long")
+    got = {r["instance"]: r["score"] for r in pii.score_instances(graph).collect()}
+    assert got["x0"] >= pii.TAKE and got["y"] >= pii.TAKE and 0 < got["z"] < got["y"] and "v" not in got
+    assert "y" not in {r["instance"] for r in pii.score_instances(graph, 1).collect()}
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = pii.digests(pii.detect(odd_docs)).collect()
     assert len(rows) == odd_docs.count()
