@@ -45,7 +45,9 @@ LOOSE = (
     ("card", re.compile(r"(?<![0-9+.-])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9]|[.-][0-9])")),
     ("phone", re.compile(r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|00[0-9](?:[\x20().-]?[0-9]){8,13})(?![0-9]|[.-][0-9])")),
 )
-_MAYBE = re.compile(r"[0-9]{3}|[0-9] ?\[|:[0-9A-Fa-f]{1,4}:")
+#: What every text with a candidate address, or with any other candidate, has.
+_MAYBE_AT = re.compile(r"[ \[(]at[ \])]", re.I)
+_MAYBE = re.compile(r"[0-9](?:[\x20.-]?[0-9]){2}|[0-9] ?\[|:[0-9A-Fa-f]{1,4}:")
 
 #: Words of context on each side, and the characters in which they are looked for.
 SIDE, REACH = 2, 80
@@ -95,7 +97,7 @@ def _written_out(text: str) -> Iterator[tuple[int, int]]:
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates that no base match overlaps; of overlapping ones the first stays."""
     found = []
-    if "dot" in text or "[at" in text or "(at" in text:
+    if _MAYBE_AT.search(text):
         found += [(a, 0, b) for a, b in _written_out(text)]
     if _MAYBE.search(text):
         shaped = ((kind, m) for kind, shape in LOOSE for m in shape.finditer(text))

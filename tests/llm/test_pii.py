@@ -85,6 +85,25 @@ def test_candidates():
     assert found("a@b.com, 4111111111111111 and 1.2.3.4 or +15550109999") == []  # base matches are no candidates
 
 
+def test_gates_lose_no_candidate(monkeypatch):
+    rng, texts = random.Random(8), []
+    for _ in range(4000):
+        at = rng.choice([" at ", "[at]", " [at] ", " [ at ] ", "(at )", " ( at) "])
+        dot = rng.choice([" dot ", "[dot]", " [ dot ] ", "(dot)", "."])
+        number = "4111111111111111" if rng.random() < 0.5 else "".join(rng.choices("0123456789", k=rng.randint(9, 19)))
+        number = "".join(c + rng.choice([" ", ".", "-", "", ""]) for c in number)
+        text = rng.choice([f"jane{at}example{dot}org", number, f"see 10[.]0 [.]{rng.randint(0, 300)}[.]1", "fe80:0:0:0:1:2:3:" + rng.choice("4gF")])
+        texts.append("so " + "".join(rng.choice([c, c.upper()]) for c in text) + " it is")
+    texts += ["JANE [AT] EXAMPLE [DOT] ORG", "John At Example Dot Com", "jane [ at ] example.org", "jane ( at ) example.org", "jane [At] example.org", "41-11.11-11.11-11.11-11"]
+    gated = [pii.loose_spans(t, []) for t in texts]
+    assert all(len(g) == 1 for g in gated[-6:])
+    always = re.compile("")
+    monkeypatch.setattr(pii, "_MAYBE", always)
+    monkeypatch.setattr(pii, "_MAYBE_AT", always)
+    for text, found in zip(texts, gated, strict=True):
+        assert found == pii.loose_spans(text, []), text
+
+
 def test_scores_match_brute_force(spark):
     import math
 
