@@ -5,7 +5,7 @@ a kind, a side (words before, after) and the words. Whatever a pattern meets tha
 base match (an address written out, a number without its prefix) is a candidate instance. Spark aggregates all (pattern,
 instance) pairs into a weighted graph and scores it in rounds: a pattern is as good as the instances that it meets,
 shrunk towards a prior; an instance as likely as the patterns that meet it make it together (noisy or), seeds being
-certain. A pattern that meets no seed counts in the rounds in which its score is above the prior, so that what is found leads to
+certain. A candidate that is the same identifier as a base match elsewhere is as certain, whatever stands around it. A pattern that meets no seed counts in the rounds in which its score is above the prior, so that what is found leads to
 more, one step further in each round. Candidates of instances over the threshold become spans. They never replace or overlap base ones.
 
 Nulls and ties: a null or empty text has no spans and digests of an empty string. Repeated rows are kept, and each counts. Spans
@@ -120,9 +120,18 @@ def contexts(text: str, start: int, end: int) -> tuple[str, str]:
     return " ".join(before), " ".join(after)
 
 
-def instance(text: str) -> str:
-    """What stands for equal identifiers: letters and digits, lowered."""
-    return re.sub(r"[^a-z0-9@]+", "", text.lower())
+_AT_SIGN, _DOT_SIGN = re.compile(r" ?[\[(] ?at ?[\])] ?| at "), re.compile(r" ?[\[(] ?dot ?[\])] ?| dot ")
+
+
+def instance(text: str, kind: int) -> str:
+    """What stands for equal identifiers of a kind: an address with its signs, the parts of an ip, the digits of a number."""
+    text = text.lower()
+    if KINDS[kind] == "email":
+        return text if "@" in text else _DOT_SIGN.sub(".", _AT_SIGN.sub("@", text, count=1))
+    if KINDS[kind] == "ip":
+        return (":" if ":" in text else ".").join(part.lstrip("0") or "0" for part in re.findall("[0-9a-f]+", text))
+    # 00 is how + is dialled
+    return _NOT_DIGIT.sub("", text.removeprefix("00") if KINDS[kind] == "phone" else text)
 
 
 def join_spans(spans: list[tuple[int, int, int]]) -> str:
@@ -146,7 +155,7 @@ def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 both = [(a, k, b, True) for a, k, b in base] + [(a, k, b, False) for a, k, b in loose_spans(text, base)]
                 around = [contexts(text, a, b) for a, _, b, _ in both]
                 out.append([
-                    {"kind": k, "start": a, "end": b, "seed": seed, "instance": instance(text[a:b]), "before": left, "after": right}
+                    {"kind": k, "start": a, "end": b, "seed": seed, "instance": instance(text[a:b], k), "before": left, "after": right}
                     for (a, k, b, seed), (left, right) in zip(both, around, strict=True)
                 ])
             found = pa.array(out, pa.list_(pa.struct(fields)))
@@ -164,12 +173,17 @@ def edges(found: DataFrame) -> DataFrame:
 
 
 def score_instances(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """kind, instance, score of the instances that are no seeds.
+    """kind, instance, score of the instances that are not (or not only) seeds; 1 for those that are seeds elsewhere.
 
     In a pattern's mean each instance weighs by the logarithm of its count, so that copies of a text count little; each
     round is a grouped mean by pattern, a join and a grouped product by instance.
     """
-    graph = spill(graph.withColumn("w", F.log1p("n")), "graph")
+    graph = spill(graph, "graph")
+    sure = graph.where("not seed").select("kind", "instance").distinct().join(graph.where("seed"), ["kind", "instance"], "left_semi")
+    sure = spill(sure.withColumn("sure", F.lit(True)), "sure-instances")
+    graph = graph.join(sure, ["kind", "instance"], "left").withColumn("seed", F.col("seed") | F.coalesce("sure", F.lit(False)))
+    graph = graph.groupBy("pattern", "kind", "instance", "seed").agg(F.sum("n").alias("n"))
+    graph = spill(graph.withColumn("w", F.log1p("n")), "known-graph")
     open_edges = graph.where("not seed")
     scores = open_edges.select("kind", "instance").distinct().withColumn("score", F.lit(0.0))
     # what seeds add to a pattern never changes; patterns that meet only seeds score nothing
@@ -185,15 +199,18 @@ def score_instances(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least("value", F.lit(0.999)))))
         scores = open_edges.join(patterns, "pattern").groupBy("kind", "instance").agg((F.lit(1.0) - doubt).alias("score"))
         scores = spill(scores, "instance-scores")
-    return scores
+    return scores.unionByName(sure.select("kind", "instance", F.lit(1.0).alias("score")))
 
 
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
 
 
 def added_spans(found: DataFrame, take: float = TAKE) -> DataFrame:
-    """row and added: the candidates whose instance scores ``take`` or more, of the rows that have any."""
+    """row and added: the candidates whose instance scores ``take`` or more, of the rows that have any. Seeds score 1, also where a
+    candidate has no context."""
     taken = score_instances(edges(found)).where(F.col("score") >= take).select("kind", "instance")
+    seeds = found.select(F.explode(F.filter("found", lambda o: o["seed"])).alias("o")).select("o.kind", "o.instance")
+    taken = taken.unionByName(seeds.where(F.lit(1.0) >= take))
     each = found.select("row", F.explode(F.filter("found", lambda o: ~o["seed"])).alias("o")).select("row", "o.*")
     each = each.join(taken, ["kind", "instance"], "left_semi")
     return each.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).cast(_SPAN).alias("added"))

@@ -138,6 +138,18 @@ def test_found_instances_lead_to_more(spark):
     assert "y" not in {r["instance"] for r in pii.score_instances(graph, 1).collect()}
 
 
+def test_candidates_that_are_seeds_elsewhere(spark):
+    same = ["4111.1111.1111.1111", "10[.]0[.]0[.]1", "JANE.DOE [AT] EXAMPLE [DOT] ORG", "0015550109999"]
+    other = ["4242.4242.4242.4242", "100[.]0[.]0[.]1", "janed.oe [at] example [dot] org", "0015550109998"]
+    rows = ["4111 1111 1111 1111", "ab 10.0.0.1 cd", "ef jane.doe@example.org gh", "ij +1 555 010 9999 kl", *same, *(f"{'abcd'[i]} {t} {'efgh'[i]}" for i, t in enumerate(same)), *other]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
+    marks = ["<CARD>", "<IP>", "<EMAIL>", "<PHONE>"]
+    assert [clean[i] for i in range(4, 8)] == marks
+    assert [clean[i] for i in range(8, 12)] == [f"{'abcd'[i]} {m} {'efgh'[i]}" for i, m in enumerate(marks)]
+    assert [clean[i] for i in range(12, 16)] == other
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = pii.digests(pii.detect(odd_docs)).collect()
     assert len(rows) == odd_docs.count()
