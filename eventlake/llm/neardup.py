@@ -192,11 +192,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """df without all but one document of each component: that with the smallest id. Of repeated ids one row stays; rows whose
-    id is null have no component to stand for and stay."""
-    found = near_duplicates(df, id_col, text_col, words)
+    """df without all but one document of each component: that with the smallest id and, of those, the smallest hash of the text.
+    Of repeated rows one stays, and texts under one id that are in different components stand for one each; rows whose id is null
+    have no component to stand for and stay."""
+    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
+    keyed = df.withColumn("__key", key)
+    found = near_duplicates(keyed, "__key", text_col, words)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = df.join(stay, df[id_col] == stay["__stay"], "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = kept.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
+    kept = keyed.join(stay, keyed["__key"] == stay["__stay"], "left_semi")
+    first = Window.partitionBy("__key").orderBy(F.xxhash64(text_col))
+    kept = kept.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first", "__key")
     return kept.unionByName(df.where(F.col(id_col).isNull()))

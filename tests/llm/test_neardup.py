@@ -121,3 +121,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 3, 4, 5, 8, 9]
     assert neardup.near_duplicates(no_docs).collect() == [] and neardup.one_of_each(no_docs).collect() == []
+
+
+def test_texts_of_one_id_stand_for_their_own_groups(spark):
+    a, b, c = ("one text of a group that has words", "something else altogether goes on here", "third and last of the unlike texts")
+    rows = [(1, a), (1, b), (1, b), (2, b), (2, c), (3, c), (4, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in neardup.one_of_each(df).collect()) == sorted([(1, a), (1, b), (2, c)])
