@@ -17,20 +17,23 @@ def _kind(v: str) -> str:
     )
 
 
-def path_values(df: DataFrame, depth: int = 3) -> DataFrame:
-    """path, kind and value text of every field of every payload; fields of objects down to ``depth``. Unparsable payloads have none."""
+def path_values(df: DataFrame, depth: int | None = None) -> DataFrame:
+    """path, kind and value text of every field of every payload; fields of objects down to ``depth``, or of all. Unparsable payloads
+    have none. Without a depth, a job for each level looks for objects in it."""
     level = df.select(F.lit("$").alias("path"), F.try_parse_json("value").alias("v")).where("v is not null")
-    out = None
-    for _ in range(depth):
+    out, at = None, 0
+    while depth is None or at < depth:
         fields = F.expr("explode(from_json(to_json(v), 'map<string,variant>')) AS (k, v2)")
         objects = level.where("schema_of_variant(v) LIKE 'OBJECT%'")
+        if depth is None and at and objects.isEmpty():
+            break
         level = objects.select("path", fields).select(F.concat("path", F.lit("."), "k").alias("path"), F.col("v2").alias("v"))
         found = level.select("path", F.expr(_kind("v")).alias("kind"), F.expr("CASE WHEN is_variant_null(v) THEN NULL WHEN schema_of_variant(v) = 'STRING' THEN variant_get(v, '$', 'string') ELSE to_json(v) END").alias("text"))
-        out = found if out is None else out.unionByName(found)
+        out, at = found if out is None else out.unionByName(found), at + 1
     return out
 
 
-def infer_schema(df: DataFrame, depth: int = 3) -> DataFrame:
+def infer_schema(df: DataFrame, depth: int | None = None) -> DataFrame:
     """One row per path: occurrences, nulls, share of payloads that have it, nullable, the most frequent kind (ties by name) as a SQL
     type, distinct values and whether the name suggests an index. Every payload counts."""
     total = df.agg(F.count(F.try_parse_json("value")).alias("total"))

@@ -145,6 +145,14 @@ def test_negative_times_floor(spark):
     assert windows.tumble(df, 10, [], [F.count(F.lit(1)).alias("n")]).first()["window_start"] == -10
 
 
+def test_inference_of_deep_objects(spark):
+    df = spark.createDataFrame([('{"a":{"b":{"c":{"d":{"e":{"f":1}}}}}}',), ('{"a":2}',), ("no json",)], "value string")
+    paths = {r["path"] for r in infer.infer_schema(df).collect()}
+    assert paths == {"$" + "".join(f".{x}" for x in "abcdef"[:n]) for n in range(1, 7)}
+    assert {r["path"] for r in infer.path_values(df, 2).collect()} == {"$.a", "$.a.b"}
+    assert infer.infer_schema(df.where("value = 'no json'")).collect() == []
+
+
 def test_inference(spark):
     df = records(spark, [(0, 0, None, {"id": 1, "x": 1.5, "s": "a", "o": {"k": True}, "n": None}, 0), (0, 1, None, {"id": 2, "x": 2, "s": "b", "l": [1]}, 0), (0, 2, None, "bad", 0)])
     got = {r["path"]: r for r in infer.infer_schema(df).collect()}
