@@ -92,9 +92,9 @@ _BANK = mel_bank(RATE * UP / DOWN)
 
 
 def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel frames and their log energies; a signal shorter than a window is filled up with silence."""
-    if len(x) < WINDOW:
-        x = np.concatenate([x, np.zeros(WINDOW - len(x), np.float32)])
+    """Log-mel frames and their log energies; a signal is filled up with silence to a whole last frame."""
+    more = WINDOW - len(x) if len(x) < WINDOW else (WINDOW - len(x)) % HOP
+    x = np.concatenate([x, np.zeros(more, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     mel, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
     for at in range(0, len(frames), BLOCK):
@@ -142,7 +142,8 @@ def analyse(file: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Log-mel frames and segments of a stored file."""
     _, samples = read_wav(file)
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel, energy = log_mel(resample(x))
+    # the filter's delay: the last samples come out after the end
+    mel, energy = log_mel(resample(np.concatenate([x, np.zeros(TAPS - 1, np.float32)])))
     return mel, segments(energy)
 
 

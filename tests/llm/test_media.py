@@ -91,3 +91,14 @@ def test_odd_rows(odd_docs, no_docs):
     assert {r["payload_bytes"] for r in rows if r["doc_id"] in (1, 2)} == {576}
     assert len({tuple(r)[1:] for r in rows if r["doc_id"] in (5, 6)}) == 1
     assert media.digests(media.encode(no_docs)).collect() == []
+
+
+def test_the_last_bytes_reach_the_features():
+    for units in range(1, 8):
+        raw = bytes(np.random.default_rng(units).integers(32, 127, 576 * units, dtype=np.uint8))
+        mel, _ = media.analyse(media.wav(raw))
+        assert (len(mel) - 1) * media.HOP + media.WINDOW >= len(raw) // 2
+        for back in (1, 2, 15, 40, 100, 144):
+            at = len(raw) - back
+            other = raw[:at] + bytes([raw[at] ^ 31]) + raw[at + 1 :]
+            assert not np.array_equal(mel, media.analyse(media.wav(other))[0]), (units, back)
