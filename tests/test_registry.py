@@ -1,5 +1,10 @@
 """Every query with an oracle against DuckDB, and the plans of some."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -58,3 +63,16 @@ def test_entry(spark, sf):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_entry_without_training_data_operators(tmp_path, also):
+    """The entry imports, and has the other queries, where the subpackage and its tests are gone, whether or not the pipeline is."""
+    repo = tmp_path / "repo"
+    shutil.copytree(Path(__file__).parents[1], repo, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", *also))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sum(n[:2] == 'op' or n == 'pipeline' for n in e.queries()))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=repo, capture_output=True, text=True, timeout=120)
+    assert found.returncode == 0, found.stderr
+    assert found.stdout.split() == [str(len(registry.queries())), str(len(registry.oracle_sql())), "0"]
+    collected = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=repo, capture_output=True, text=True, timeout=120)
+    assert collected.returncode == 0, collected.stdout
