@@ -239,6 +239,16 @@ dialect("stats_zscore", "SELECT json_extract(value, '$.event_id') AS id, ZSCORE(
         f"SELECT event_id AS id, round({_Z}, 6) AS z FROM events WHERE {_Z} > 2.0", digits={"z": 6}, casts={"id": "bigint"})
 dialect("stats_anomaly", "SELECT json_extract(value, '$.event_id') AS id, ANOMALY('$.value', 2.5) AS odd FROM events WHERE ANOMALY('$.value') = true",
         f"SELECT event_id AS id, abs({_Z}) > 2.5 AS odd FROM events WHERE abs({_Z}) > 2.0", casts={"id": "bigint"})
+# statistics are over the rows that pass the other conditions, however those are written
+_ZB = """(value - avg(value) OVER ()) / stddev_pop(value) OVER ()"""
+dialect("stats_zscore_between", "SELECT offset, ZSCORE('$.value') AS z FROM events WHERE partition = 1 AND offset BETWEEN 0 AND 199 AND ZSCORE('$.value') > 0.5",
+        E + f"""SELECT "offset", round(z, 6) AS z FROM (SELECT "offset", {_ZB} AS z FROM e WHERE partition = 1 AND "offset" BETWEEN 0 AND 199) WHERE z > 0.5""", digits={"z": 6})
+dialect("stats_zscore_or", "SELECT key, offset FROM events WHERE (partition = 1 OR partition = 3) AND (ZSCORE('$.value') > 1.5 OR json_extract(value, '$.event_type') = 'error' AND ANOMALY('$.value', 1.0) = true)",
+        E + f"""SELECT "key", "offset" FROM (SELECT "key", "offset", event_type, {_ZB} AS z FROM e WHERE partition IN (1, 3)) WHERE z > 1.5 OR event_type = 'error' AND abs(z) > 1.0""")
+dialect("stats_zscore_case", "SELECT partition, offset FROM events WHERE CASE WHEN partition = 0 AND offset > 100 THEN key ELSE '3' END <> '3' AND ZSCORE('$.value') BETWEEN -0.25 AND 0.25",
+        E + f"""SELECT partition, "offset" FROM (SELECT partition, "offset", {_ZB} AS z FROM e WHERE CASE WHEN partition = 0 AND "offset" > 100 THEN "key" ELSE '3' END <> '3') WHERE z BETWEEN -0.25 AND 0.25""")
+dialect("stats_zscore_grouped", "SELECT partition, COUNT(*) AS n FROM events WHERE offset BETWEEN 10 AND 500 AND ZSCORE('$.value') > 1 GROUP BY partition",
+        E + f"""SELECT partition, count(*) AS n FROM (SELECT partition, {_ZB} AS z FROM e WHERE "offset" BETWEEN 10 AND 500) WHERE z > 1 GROUP BY partition""")
 dialect("stats_columns", "SELECT key, offset, partition, AVG('$.value') AS a, STDDEV('$.value') AS sd FROM events",
         E + """SELECT "key", "offset", partition, round(avg(value) OVER (), 6) AS a, round(stddev_pop(value) OVER (), 6) AS sd FROM e""", digits={"a": 6, "sd": 6})
 dialect("stats_moving_avg", "SELECT partition, offset, MOVING_AVG('$.value', 5) AS m FROM events",
@@ -429,7 +439,8 @@ _PLAIN = {
     "sql_union_all": "SELECT u, t FROM b WHERE t = 'view' UNION ALL SELECT u, t FROM b WHERE t = 'click'",
     "sql_set_operations": "(SELECT u FROM b WHERE t = 'view' INTERSECT SELECT u FROM b WHERE t = 'error') EXCEPT SELECT u FROM b WHERE v > 450",
     "sql_rollup": "SELECT t, u % 3 AS g, count(*) AS n, max(v) AS m FROM b GROUP BY ROLLUP (t, u % 3)",
-    "sql_cube_grouping_sets": "SELECT t, u % 2 AS g, count(*) AS n FROM b GROUP BY GROUPING SETS ((t), (u % 2), ())",
+    "sql_cube": "SELECT t, u % 3 AS g, count(*) AS n, min(v) AS m FROM b GROUP BY CUBE (t, u % 3)",
+    "sql_grouping_sets": "SELECT t, u % 2 AS g, count(*) AS n FROM b GROUP BY GROUPING SETS ((t), (u % 2), ())",
     "sql_self_join": "SELECT a.id AS i, c.id AS j FROM b AS a JOIN b AS c ON a.u = c.u AND a.id < c.id AND c.id - a.id <= 20 AND a.t = c.t",
     "sql_semi_anti": "SELECT DISTINCT u FROM b WHERE u NOT IN (SELECT u FROM b WHERE v > 480)",
     "sql_case_cast": "SELECT id, CASE WHEN v < 10 THEN 'low' WHEN v < 100 THEN 'mid' ELSE 'high' END AS band, CAST(floor(v) AS BIGINT) AS whole, coalesce(nullif(t, 'view'), 'seen') AS t2 FROM b",
@@ -440,6 +451,20 @@ _PLAIN = {
 for _name, _sql in _PLAIN.items():
     dialect(_name, f"WITH b AS ({_BASE}) {_sql}", f"WITH b AS ({_FLAT}) {_sql}")
 
+dialect("sql_dates", """WITH d AS (SELECT CAST(json_extract(value, '$.event_id') AS BIGINT) AS id, timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, timestamp / 1000) AS d FROM events)
+        SELECT id, date_format(d, 'yyyy-MM-dd') AS day, CAST(hour(d) AS BIGINT) AS h, CAST(dayofweek(d) AS BIGINT) AS w, CAST(datediff(last_day(d), CAST(d AS DATE)) AS BIGINT) AS to_end,
+        date_format(date_trunc('WEEK', d), 'yyyy-MM-dd') AS week, date_format(add_months(d, 1), 'yyyy-MM-dd') AS later, CAST(extract(MINUTE FROM d + INTERVAL '45' MINUTE) AS BIGINT) AS m FROM d""",
+        """SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS day, hour(ts) AS h, dayofweek(ts) + 1 AS w, datediff('day', CAST(ts AS DATE), last_day(ts)) AS to_end,
+        strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, strftime(ts + INTERVAL 1 MONTH, '%Y-%m-%d') AS later, minute(ts + INTERVAL 45 MINUTE) AS m FROM events""")
+dialect("sql_arrays_maps", f"""WITH b AS ({_BASE}), g AS (SELECT u, collect_set(t) AS ts, collect_list(CAST(floor(v) AS BIGINT)) AS vs FROM b GROUP BY u)
+        SELECT u, array_join(array_sort(ts), ',') AS kinds, CAST(size(ts) AS BIGINT) AS n, array_contains(ts, 'error') AS bad, aggregate(filter(vs, x -> x > 50), 0L, (a, x) -> a + x) AS big,
+        element_at(array_sort(transform(vs, x -> x * 2)), 1) AS least, map('view', 1, 'click', 2)[array_min(ts)] AS code FROM g""",
+        f"""WITH b AS ({_FLAT}), g AS (SELECT u, list_sort(list(DISTINCT t)) AS ts, list(CAST(floor(v) AS BIGINT)) AS vs FROM b GROUP BY u)
+        SELECT u, array_to_string(ts, ',') AS kinds, len(ts) AS n, list_contains(ts, 'error') AS bad, CAST(coalesce(list_sum(list_filter(vs, lambda x: x > 50)), 0) AS BIGINT) AS big,
+        list_sort(list_transform(vs, lambda x: x * 2))[1] AS least, MAP {{'view': 1, 'click': 2}}[ts[1]] AS code FROM g""")
+dialect("sql_explode", f"""WITH b AS ({_BASE}) SELECT u, part, count(*) AS n FROM b LATERAL VIEW explode(split(t, 'i')) x AS part GROUP BY u, part""",
+        f"""WITH b AS ({_FLAT}) SELECT u, part, count(*) AS n FROM b, unnest(string_split(t, 'i')) AS x(part) GROUP BY u, part""")
+
 
 @query("SELECT event_type, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM events GROUP BY event_type")
 def transform_batch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,3 +208,39 @@ def test_views(spark, tmp_path):
     assert rows(engine, "DROP MATERIALIZED VIEW v") == [("v", "dropped")]
     with pytest.raises(InvalidQuery):
         engine.sql("CREATE MATERIALIZED VIEW z AS SELECT COUNT(*) FROM t WHERE ZSCORE('$.x') > 1 GROUP BY key")
+
+
+def test_conjuncts():
+    from eventlake.plans.lexer import conjuncts, join, tokenize
+
+    def cut(text):
+        return [join(c) for c in conjuncts(tokenize(text))]
+
+    assert cut("a = 1 AND b BETWEEN 2 AND 3 AND c") == ["a = 1", "b BETWEEN 2 AND 3", "c"]
+    assert cut("CASE WHEN a AND b THEN c BETWEEN 1 AND 2 END AND d") == ["CASE WHEN a AND b THEN c BETWEEN 1 AND 2 END", "d"]
+    assert cut("(a AND b) AND (c OR d) AND f(x AND y)") == ["a", "b", "c OR d", "f ( x AND y )"]
+    assert cut("a AND b OR c") == ["a AND b OR c"]
+    assert cut("a NOT BETWEEN 1 AND 2 AND NOT b") == ["a NOT BETWEEN 1 AND 2", "NOT b"]
+
+
+def test_statistics_in_where_are_over_the_other_conditions(spark, tmp_path):
+    rows_ = [(0, i, f"k{i % 2}", {"x": x}, i) for i, x in enumerate([1, 2, 3, 4, 100, 1000])]
+    engine = engine_of(spark, tmp_path, t=records(spark, rows_), u=records(spark, rows_, "u"))
+    forms = ("offset >= 0 AND offset <= 4", "offset BETWEEN 0 AND 4", "(offset < 2 OR offset < 5)", "CASE WHEN offset < 5 THEN true ELSE false END", "(offset <= 4 AND (partition = 0))")
+    for form in forms:
+        assert rows(engine, f"SELECT offset FROM t WHERE {form} AND ZSCORE('$.x') > 1") == [(4,)]
+        assert rows(engine, f"SELECT offset FROM t WHERE ({form} AND ZSCORE('$.x') > 1)") == [(4,)]
+        assert rows(engine, f"SELECT key, COUNT(*) AS n FROM t WHERE {form} AND ZSCORE('$.x') > 1 GROUP BY key") == [("k0", 1)]
+    assert rows(engine, "SELECT offset FROM t WHERE offset < 5 AND (ZSCORE('$.x') > 1 OR offset = 0) ORDER BY offset") == [(0,), (4,)]
+    assert rows(engine, "SELECT offset FROM t WHERE offset < 5 AND ZSCORE('$.x') > 1 OR offset = 0 ORDER BY offset") == [(0,)]
+    assert rows(engine, "SELECT offset FROM t WHERE STDDEV('$.x') > 1 AND offset = 1") == []
+    with pytest.raises(InvalidQuery):
+        engine.sql("SELECT offset FROM t WHERE MOVING_AVG('$.x', 2) > 1")
+    with pytest.raises(InvalidQuery):
+        engine.sql("SELECT t.offset FROM t JOIN u ON t.key = u.key WHERE ZSCORE('$.x') > 1")
+
+
+def test_arrows_and_lambdas(spark, tmp_path):
+    engine = engine_of(spark, tmp_path, t=records(spark, [(0, 0, "k", {"a": [3, 4], "b": {"c": "z"}}, 0)]))
+    assert rows(engine, "SELECT value->'a'->>0 AS x, value->'b'->>'c' AS y FROM t") == [("3", "z")]
+    assert rows(engine, "SELECT transform(array(1L, 2L), x -> x + 1L) AS v, aggregate(array(1, 2), 0, (a, x) -> a + x) AS s, 1.5BD AS d, transform(array(5), x -> 1) AS o FROM t")[0][:2] == ([2, 3], 3)
