@@ -40,8 +40,8 @@ class Words(dict):
     """Token run to its ids, as little-endian unsigned 32-bit numbers.
 
     The tokenizer lowers case, drops white space and splits a text in contractions, runs of letters, single digits and runs of
-    anything else, and encodes each alone. Texts of characters below U+0250 are split so here. In others each word between
-    ASCII white space stands for itself, if it has a higher character or the mark of a special token.
+    anything else, and encodes each alone. Texts whose characters are below U+0250, also in lower case, are split so here. In others
+    each word between ASCII white space stands for itself, if it has a higher character or the mark of a special token.
     """
 
     split = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_L}{_N}{_S}]+")
@@ -59,20 +59,28 @@ class Words(dict):
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
+    def odd(self, text: str, low: str) -> bool:
+        """Whether a text, or its lower case, has a character that only the tokenizer can place."""
+        if text.isascii():
+            return "<|" in text
+        return bool(self.beyond.search(text) or self.beyond.search(low))
+
     def runs(self, text: str) -> list[str]:
         """Texts whose ids in order are those of text."""
-        if not self.beyond.search(text):
-            return self.split.findall(text.lower())
+        low = text.lower()
+        if not self.odd(text, low):
+            return self.split.findall(low)
         out = []
         for word in filter(None, self.blank.split(text)):
-            out += [word] if self.beyond.search(word) else self.split.findall(word.lower())
+            low = word.lower()
+            out += [word] if self.odd(word, low) else self.split.findall(low)
         return out
 
     def learn(self, found: set[str]) -> None:
         """Enter runs. Those of letters below U+0250 end in one word-end token each, so they are encoded as one text."""
         plain = []
         for t in found:
-            if t.isalpha() and (t.isascii() or not self.beyond.search(t)):
+            if t.isalpha() and not self.odd(t, t.lower()):
                 plain.append(t)
             else:
                 self[t] = self.ids(t).tobytes()

@@ -1,7 +1,10 @@
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from eventlake.llm import packing
@@ -27,6 +30,25 @@ def test_ids_are_the_tokenizers(tokenizer, texts):
         assert np.frombuffer(known.encode([t])[0], "<u4").tolist() == ids_of(tokenizer, t), t
 
 
+def test_ids_of_every_character(tokenizer):
+    """Every assigned character alone, between letters, and beside digits, marks and an apostrophe."""
+    known = packing.Words(PATH)
+    found = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    for at in range(0, len(found), 20_000):
+        texts = [t for c in found[at : at + 20_000] for t in (c, f"a{c}b", f"1{c}, {c}'s")]
+        want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [t for t, a, b in zip(texts, known.encode(texts), want, strict=True) if a != b] == []
+
+
+_known = packing.Words(PATH)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "'s", "'LL", "7", " ", "\n", "<|", "|>", "\u0181", "\u0130", "\u1e9e", "\u212a", "\u0301", "\u00df", "endoftext", "\u4e2d", ".", "\u00a0", "\u023a"]) | st.characters(codec="utf-8"), max_size=30).map("".join))
+def test_ids_of_mixed_texts(text):
+    assert np.frombuffer(_known.encode([text])[0], "<u4").tolist() == ids_of(_known.tokenizer, text)
+
+
 def test_the_table_is_bounded(monkeypatch, tokenizer, texts):
     monkeypatch.setattr(packing, "WORDS", 50)
     known = packing.Words(PATH)
