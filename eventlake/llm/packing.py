@@ -7,7 +7,8 @@ documents. Sequences of one length share a bucket, and ids count buckets from th
 Token ids are exactly those of the tokenizer. It encodes every word of a text alone, so that the ids of a text are those of its
 words in order; each Python worker keeps the ids of words in a bounded table.
 
-Nulls and ties: a null text is empty; an empty text is one piece that holds the end id alone. Repeated rows are packed each.
+Nulls and ties: a null text is empty; an empty text is one piece that holds the end id alone. Repeated rows are packed each, and
+numbered in many tasks, as salts are dealt out in turn.
 A text of any length is cut the same way. No rows: no rows out. Other columns are not read.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,11 +127,13 @@ def cuts(n: int, width: int = WIDTH) -> list[tuple[int, int]]:
 
 
 def pieces(df: DataFrame, tokenizer: str, width: int = WIDTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, and its ids if with_ids."""
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, salt (in turn, whatever the row holds), and its ids if
+    with_ids. Salts follow how the input is split, so that what needs them twice reads them from a written table."""
     df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ending = words(tokenizer), np.array([end_id], "<u4").tobytes()
+        turn = TaskContext.get().partitionId()
         for batch in slices(batches, limit=SLICE):
             rows, start, length, crc, total, held = [], [], [], [], [], []
             for row, ids in enumerate(known.encode(batch.column("text").to_pylist())):
@@ -144,21 +148,21 @@ def pieces(df: DataFrame, tokenizer: str, width: int = WIDTH, end_id: int = END_
                     if with_ids:
                         held.append(np.frombuffer(raw[4 * s : 4 * (s + n)], "<u4"))
             numbers = [pa.array(c, pa.int64()) for c in (start, length, crc, total)]
+            salt = pa.array((turn + np.arange(len(rows))) % SALTS, pa.int32())
+            turn += len(rows)
             ids = [pa.array(held, pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *numbers, *ids], names=[*"doc_id start length ids_crc32 doc_tokens".split(), *["ids"] * with_ids])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *numbers, salt, *ids], names=[*"doc_id start length ids_crc32 doc_tokens salt".split(), *["ids"] * with_ids])
 
-    schema = f"doc_id {dict(df.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {dict(df.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, salt int" + ", ids array<int>" * with_ids
     return df.mapInArrow(cut, schema)
 
 
-def number(found: DataFrame, salts: int = SALTS) -> DataFrame:
-    """sequence_id (buckets from the longest, gapless from 0) and offset of each piece.
+def number(found: DataFrame) -> DataFrame:
+    """sequence_id (buckets from the longest, gapless from 0) and offset of each piece of a written table.
 
-    Groups of (length, salt) are counted; there are at most ``salts`` times log2(width) + 1 of them, so their first ids are
+    Groups of (length, salt) are counted; there are at most SALTS times log2(width) + 1 of them, so their first ids are
     summed up in one small window and broadcast.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")
-    found = found.withColumn("salt", salt)
     counts = found.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     order = Window.orderBy(F.col("length").desc(), "salt")
     first = counts.select("length", "salt", (F.sum("n").over(order) - F.col("n")).alias("first"))

@@ -103,3 +103,11 @@ def test_odd_rows(odd_docs, no_docs):
     assert sum(r["start"] == 0 for r in rows) == odd_docs.count()
     assert sum(r["length"] for r in rows if r["doc_id"] == 5) == 2 * next(r["doc_tokens"] for r in rows if r["doc_id"] == 5)
     assert packing.pack(no_docs, PATH).collect() == []
+
+
+def test_repeated_rows_are_numbered_apart(spark):
+    docs = spark.createDataFrame([(7, "the same words")] * 3000 + [(8, None)] * 50, "doc_id long, text string")
+    found = packing.spill(packing.pieces(docs, PATH), "test-pieces")
+    assert found.groupBy("length", "salt").count().agg({"count": "max"}).first()[0] <= 40
+    ids = [r["sequence_id"] for r in packing.number(found).collect()]
+    assert sorted(ids) == list(range(found.count()))
