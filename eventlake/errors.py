@@ -45,3 +45,7 @@ class MissingConnector(EngineError):
 
 class IncompatibleSchema(EngineError):
     status = 409
+
+
+class SharedFolderUnset(EngineError):
+    """A cluster's session that names no folder which driver and executors share."""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from eventlake.errors import InvalidQuery, ViewAlreadyExists, ViewNotFound
 from eventlake.operators.aggs import ORDER
+from eventlake.session import complete
 
 MODES = {"continuous": "continuous", "stream": "continuous", "streaming": "continuous", "manual": "manual", "on_demand": "manual", "periodic": "periodic", "scheduled": "periodic"}
 DEFAULT_INTERVAL_MS = 5 * 60 * 1000
@@ -252,10 +253,4 @@ class Views:
 
     def _saved(self) -> list[int]:
         """Numbers of the registry's versions whose write was completed."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/registry")
-        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        return [int(p.getName()) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return [int(name) for name in complete(self.spark, f"{self.root}/registry")]

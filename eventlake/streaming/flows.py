@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.model import ENVELOPE
+from eventlake.session import shared_dir
 
 DELAY = "5 seconds"
 
@@ -82,11 +83,8 @@ def run_to_end(flow: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names, else a local one (tests)."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/flows/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="eventlake-flow-")
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/flows/{uuid.uuid4().hex}"
 
 
 def replay(records: DataFrame, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
