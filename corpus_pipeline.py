@@ -2,7 +2,7 @@
 
 language: documents without a language that can be told (no letter, or two codewords equally near) go.
 quality: documents whose quality, given their text and site, is below one half go.
-near_duplicates: of each group of near-duplicates one document stays.
+near_duplicates: of each group of near-duplicates one document stays, and of rows that repeat whole one.
 personal_data: personal data in texts are masked.
 packing: documents are packed in sequences of tokens; a row for each piece.
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.llm import langid, neardup, packing, pii, quality
-from eventlake.llm.common import spill, table
+from eventlake.llm.common import discard, settled, table
 from eventlake.llm.queries import WORD_TOKENIZER, site_of_source, tokenizer_path
 
 
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage spilled, and what it read, is deleted once its rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = spill(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*before)
+        before = [docs]
     return docs

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from eventlake.session import delete, shared_dir
 
 #: Bytes of text that an operator holds at once in Python (one longer text is a slice of its own).
 SLICE = 2 << 20
@@ -22,27 +22,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/eventlake"
+def work_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables in the one that driver and executors share."""
+    return f"{shared_dir(spark)}/eventlake/{spark.sparkContext.applicationId}"
 
 
-@functools.cache
-def _own() -> str:
-    """A local folder of this process, which is removed at its end."""
-    path = tempfile.mkdtemp(prefix="eventlake-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
+#: Tables that were spilled while a step runs.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    That cuts lineage: a lost executor costs a reread of these files, not the work before them.
+    That cuts lineage: a lost executor costs a reread of these files, not the work before them. The table stays until settled(),
+    discard() or clean() deletes it.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _read(df.sparkSession, path, df.schema)
+
+
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
+    out._table = path
+    return out
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of make(), spilled; the tables that were spilled on the way are deleted."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        rows = make()
+    finally:
+        _made.reset(token)
+    out = spill(rows, name)
+    delete(spark, *made)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete spilled tables that nothing needs any more."""
+    for t in tables:
+        delete(t.sparkSession, t._table)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables of this application, at its end."""
+    delete(spark, work_dir(spark))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ A cell of many links gives a spanning forest of them, not all pairs (cells of up
 blocks, and each pair of blocks is a group of its own, so that no task gets an unbounded group.
 
 Nulls and ties: a null text has fingerprint 0, as one without words; equal fingerprints are linked. The component's id is its
-smallest non-null id (null if it has none). Repeated rows stay. No rows: no rows out. Other columns are not read by the search.
+smallest non-null id (null if it has none). Repeated rows stay in near_duplicates(). No rows: no rows out. Other columns are not read by the search.
 """
 
 from __future__ import annotations
@@ -192,14 +192,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """df without all but one document of each component: that with the smallest id and, of those, the smallest hash of the text.
-    Of repeated rows one stays, and texts under one id that are in different components stand for one each; rows whose id is null
-    have no component to stand for and stay."""
-    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
+    """df without all but one document of each component: that with the smallest id (none counts as the largest) and, of those, the
+    smallest hash of the text. Of repeated rows one stays, that with the smallest hash of all columns; texts under one id that are
+    in different components stand for one each."""
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
     keyed = df.withColumn("__key", key)
     found = near_duplicates(keyed, "__key", text_col, words)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
     kept = keyed.join(stay, keyed["__key"] == stay["__stay"], "left_semi")
-    first = Window.partitionBy("__key").orderBy(F.xxhash64(text_col))
-    kept = kept.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first", "__key")
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    first = Window.partitionBy("__key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in hashed)))
+    return kept.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first", "__key")

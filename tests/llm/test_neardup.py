@@ -128,3 +128,31 @@ def test_texts_of_one_id_stand_for_their_own_groups(spark):
     rows = [(1, a), (1, b), (1, b), (2, b), (2, c), (3, c), (4, a)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in neardup.one_of_each(df).collect()) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_rows_without_an_id(spark):
+    a, b, c = ("one text of a group that has words", "something else altogether goes on here", "third and last of the unlike texts")
+    rows = [(None, a), (4, a), (None, b), (None, b), (None, c), (None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map(1, text) AS more")
+    kept = [(r["doc_id"], r["text"]) for r in neardup.one_of_each(df).collect()]
+    assert sorted(kept, key=str) == sorted([(4, a), (None, b), (None, c), (7, "")], key=str)
+
+
+def test_tables_of_rounds_go(spark, tmp_path):
+    from eventlake.llm import common
+    from eventlake.session import complete
+
+    before = set(complete(spark, common.work_dir(spark)))
+    found = connected(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"))
+    assert found.count() == 41
+    left = set(complete(spark, common.work_dir(spark))) - before
+    assert len(left) == 1  # the last edges, which the result reads
+
+    def make():
+        return common.spill(common.spill(spark.range(5).toDF("n"), "inner").where("n > 1"), "middle").where("n > 2")
+
+    out = common.settled(spark, make, "outer")
+    assert sorted(r["n"] for r in out.collect()) == [3, 4]
+    assert [p[:5] for p in set(complete(spark, common.work_dir(spark))) - before - left] == ["outer"]
+    common.discard(out)
+    assert set(complete(spark, common.work_dir(spark))) - before == left
