@@ -2,7 +2,9 @@
 
 A rule names a host and the start of a path (``net/es/``) and a verdict; it fits its host and all subdomains. The longest
 fitting rule decides. URLs that a rule decides are the labelled ones: a bounded sample of them trains the trees, which judge
-the URLs that no rule fits.
+the URLs that no rule fits. The statistics of a host's suffix and of a path's first segment are the shares of blocked ones among all
+labelled URLs, less the mean and shrunk towards it, so that a suffix that no rule decides says nothing: 0, which the trees meet in
+training, too. There the statistics leave out the row's own fold of hosts.
 
 Nulls and ties: a null URL or one without ``://`` has an empty host and path, fits no rule, and is judged by the trees as an
 empty text. Equal URLs get equal verdicts. Of two fitting rules of one length, block wins. With no labelled URL, or labels of one
@@ -11,16 +13,17 @@ kind only, the trees are a constant (allow where there is none). No rows: no row
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.llm.common import slices
+
 RULES = (
     ("allow", "com/"),
     ("block", "example.com/en/"),
@@ -30,13 +33,14 @@ RULES = (
 )
 #: The most labelled URLs that the trees are fitted on, picked by a hash of the row.
 SAMPLE = 20_000
-#: Suffixes are counted in so many hashed cells, so that the statistics have a fixed size.
-SUFFIX_CELLS = 4096
+#: Suffixes of hosts and first segments of paths are counted in so many hashed cells, so that the statistics have a fixed size.
+CELLS = 4096
+#: Folds of hosts, and the weight of the mean in a cell's rate, in URLs.
+FOLDS, SHRINK = 5, 20.0
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = (
-    "length", "host_length", "path_length", "depth", "host_labels", "digits", "digit_ratio", "entropy", "host_entropy",
-    "params", "query_length", "hyphens", "dots", "escapes", "is_https", "has_fragment", "last_segment", "suffix_length",
-    "log_suffix_count", "suffix_share", "www", *(f"path_{c}" for c in LOWER),
+    "length", "host_length", "path_length", "depth", "host_labels", "digits", "digit_ratio", "entropy", "host_entropy", "params", "query_length",
+    "host_hyphens", "path_hyphens", "escapes", "is_https", "has_fragment", "last_segment", "first_segment", "suffix_length", "suffix_rate", "segment_rate",
 )
 
 
@@ -68,40 +72,85 @@ def with_rules(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col:
     return df.select("page_id", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("rule_verdict"))
 
 
-def suffix_cell(host: str) -> int:
-    return zlib.crc32(host.rpartition(".")[2].encode()) % SUFFIX_CELLS
+def cell_of(text: str) -> int:
+    return zlib.crc32(text.encode()) % CELLS
+
+
+def rates_of(n: np.ndarray, blocked: np.ndarray, mean: float) -> np.ndarray:
+    """How far the share of blocked ones, shrunk towards the mean of all, is from that mean; 0 for a cell without a label."""
+    return (blocked - mean * n) / (n + SHRINK)
+
+
+class Rates:
+    """Labels of the URLs that a rule decides, by fold of hosts and cell, for the host's suffix and the path's first segment."""
+
+    def __init__(self):
+        self.n, self.blocked = np.zeros((2, 2, FOLDS, CELLS))
+
+    def without(self, fold: int | None = None) -> np.ndarray:
+        """Rates of both kinds by cell, leaving out a fold of hosts; two rows of CELLS numbers."""
+        rest = [f for f in range(FOLDS) if f != fold]
+        n, blocked = self.n[:, rest].sum(axis=1), self.blocked[:, rest].sum(axis=1)
+        mean = blocked[0].sum() / n[0].sum() if n[0].sum() else 0.5
+        return np.stack([rates_of(a, b, mean) for a, b in zip(n, blocked, strict=True)])
+
 
+def with_fold(ruled: DataFrame) -> DataFrame:
+    """ruled and the fold of each row's host."""
+    return ruled.withColumn("fold", F.pmod(F.xxhash64("host", F.lit(5)), F.lit(FOLDS)).cast("int"))
 
-def suffix_counts(df: DataFrame) -> np.ndarray:
-    """URLs by hashed suffix, over all rows; SUFFIX_CELLS numbers."""
-    suffix = F.coalesce(F.regexp_extract("host", r"([^.]*)$", 1), F.lit(""))
-    cell = F.pmod(F.crc32(F.encode(suffix, "UTF-8")), F.lit(SUFFIX_CELLS)).cast("int")
-    out = np.zeros(SUFFIX_CELLS)
-    for r in df.groupBy(cell.alias("cell")).count().collect():
-        out[r["cell"]] = r["count"]
+
+def label_rates(ruled: DataFrame) -> Rates:
+    """Statistics over all labelled rows; 2 * FOLDS * CELLS of them at most go to the driver."""
+    suffix, segment = F.regexp_extract("host", r"([^.]*)\z", 1), F.regexp_extract("path", "^/?([^/]*)", 1)
+    cells = [F.struct(F.lit(i).alias("kind"), F.pmod(F.crc32(F.encode(c, "UTF-8")), F.lit(CELLS)).cast("int").alias("cell")) for i, c in enumerate((suffix, segment))]
+    rows = with_fold(ruled).where("rule is not null").select("fold", (F.col("rule_verdict") == "block").cast("long").alias("y"), F.explode(F.array(*cells)).alias("c"))
+    out = Rates()
+    for r in rows.groupBy("c.kind", "c.cell", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked")).collect():
+        at = (r["kind"], r["fold"], r["cell"])
+        out.n[at], out.blocked[at] = r["n"], r["blocked"]
     return out
 
 
-def entropy(text: str) -> float:
-    n = len(text)
-    return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
+def entropies(texts: pa.Array) -> np.ndarray:
+    """Bits a byte of each text."""
+    out = []
+    for at in range(0, len(texts), 2048):
+        raw = texts[at : at + 2048].cast(pa.binary()).to_pylist()
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        key = np.repeat(np.arange(len(raw)) * 256, sizes) + np.frombuffer(b"".join(raw), np.uint8)
+        p = np.bincount(key, minlength=256 * len(raw)).reshape(-1, 256) / np.maximum(1, sizes)[:, None]
+        out.append(-(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _part(texts: pa.Array, pattern: str) -> pa.Array:
+    """The group x of a pattern's match in each text, else an empty text."""
+    return pc.fill_null(pc.struct_field(pc.extract_regex(texts, "(?s)" + pattern), "x"), "")
+
 
+def _cells(texts: pa.Array) -> np.ndarray:
+    coded = texts.dictionary_encode()
+    return np.array([cell_of(t) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(texts) else np.zeros(0, np.int64)
 
-def features(url: str, host: str, path: str, counts: np.ndarray) -> list[float]:
-    """Lexical features of a URL, named by FEATURES."""
-    digits = sum(c.isdigit() for c in url)
-    query = url.partition("?")[2].partition("#")[0]
-    seen = counts[suffix_cell(host)]
-    return [
-        len(url), len(host), len(path), path.count("/"), host.count(".") + 1, digits, digits / max(1, len(url)), entropy(url),
-        entropy(host), query.count("&") + 1 if query else 0, len(query), url.count("-"), url.count("."), url.count("%"),
-        float(url[:6].lower() == "https:"), float("#" in url), len(path.rpartition("/")[2]), len(host.rpartition(".")[2]),
-        math.log1p(seen), seen / max(1.0, counts.sum()), float(host[:4] == "www."), *map(path.lower().count, LOWER),
+
+def features(url: pa.Array, host: pa.Array, path: pa.Array, rates: np.ndarray) -> np.ndarray:
+    """Lexical features of URLs, a column for each name in FEATURES. Parameters are those between the first ? and a #."""
+    query, suffix, segment = _part(url, r"^[^?#]*\?(?P<x>[^#]*)"), _part(host, r"(?P<x>[^.]*)$"), _part(path, "^/?(?P<x>[^/]*)")
+    number = lambda a: a.to_numpy(zero_copy_only=False).astype(float)
+    length, asked, digits = (number(a) for a in (pc.utf8_length(url), pc.utf8_length(query), pc.count_substring_regex(url, "[0-9]")))
+    columns = [
+        length, number(pc.utf8_length(host)), number(pc.utf8_length(path)), number(pc.count_substring(path, "/")), number(pc.count_substring(host, ".")) + 1,
+        digits, digits / np.maximum(1, length), entropies(url), entropies(host), np.where(asked > 0, number(pc.count_substring(query, "&")) + 1, 0), asked,
+        number(pc.count_substring(host, "-")), number(pc.count_substring(path, "-")), number(pc.count_substring(url, "%")), number(pc.starts_with(url, "https:", ignore_case=True)),
+        number(pc.match_substring(url, "#")), number(pc.utf8_length(_part(path, r"(?P<x>[^/]*)$"))), number(pc.utf8_length(segment)), number(pc.utf8_length(suffix)),
+        rates[0][_cells(suffix)], rates[1][_cells(segment)],
     ]
+    return np.stack(columns, axis=1)
 
 
 class Trees:
-    """Gradient-boosted regression trees for logistic loss, grown on quantile bins."""
+    """Gradient-boosted regression trees for logistic loss, grown on quantile bins. Both labels weigh alike, however often each stands."""
 
     def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: int = 5):
         self.rounds, self.depth, self.rate, self.bins, self.l2, self.least = rounds, depth, rate, bins, l2, least
@@ -111,13 +160,14 @@ class Trees:
         if len(y) == 0 or y.min() == y.max():
             self.base = -20.0 if len(y) == 0 or y.max() == 0 else 20.0
             return self
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        seen = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins))) for c in x.T]
+        self.edges = [(u[1:] + u[:-1]) / 2 for u in seen]  # halfway, so that a value between two goes with the nearer one
         binned = self._bin(x)
-        self.base = math.log(y.mean() / (1 - y.mean()))
-        score = np.full(len(y), self.base)
+        weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        score = np.zeros(len(y))
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            tree = self._grow(binned, y - p, p * (1 - p), np.arange(len(y)), self.depth)
+            tree = self._grow(binned, weight * (y - p), weight * p * (1 - p), np.arange(len(y)), self.depth)
             self.trees.append(tree)
             score += self._apply(tree, binned)
         return self
@@ -159,34 +209,42 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
-def fit(ruled: DataFrame, counts: np.ndarray, sample: int = SAMPLE) -> Trees:
-    """Trees fitted on at most ``sample`` of the URLs that a rule decides; 1 stands for block."""
-    labelled = ruled.where("rule is not null").select("page_id", "url", "host", "path", (F.col("rule_verdict") == "block").cast("int").alias("y"))
+def fit(ruled: DataFrame, rates: Rates, sample: int = SAMPLE) -> Trees:
+    """Trees fitted on at most ``sample`` of the URLs that a rule decides; 1 stands for block. A row's statistics leave out its fold of
+    hosts, so that they say what they would of a host never seen."""
+    columns = ("url", "host", "path", "fold", (F.col("rule_verdict") == "block").cast("int").alias("y"))
+    labelled = with_fold(ruled).where("rule is not null")
     n = labelled.count()
     if n > sample:
         # a share of all rows by hash, so that no task sends more than its part of the sample
         labelled = labelled.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * sample / n))
-    rows = labelled.limit(sample).collect()
-    x = np.array([features(r["url"], r["host"], r["path"], counts) for r in rows]).reshape(len(rows), len(FEATURES))
-    return Trees().fit(x, np.array([r["y"] for r in rows], dtype=float))
+    rows = labelled.select(*columns).limit(sample).toArrow().combine_chunks()
+    fold, y = (rows.column(c).to_numpy() for c in ("fold", "y"))
+    x = np.zeros((len(y), len(FEATURES)))
+    for f in np.unique(fold):
+        own = rows.filter(pa.array(fold == f)).combine_chunks()
+        x[fold == f] = features(*(_whole(own.column(c)) for c in ("url", "host", "path")), rates.without(f))
+    # each row also stands as one of an unknown suffix, and as one of an unknown segment: 0 must not fall to a side by accident
+    forms = [x, x.copy(), x.copy()]
+    forms[1][:, FEATURES.index("suffix_rate")] = 0
+    forms[2][:, FEATURES.index("segment_rate")] = 0
+    return Trees().fit(np.concatenate(forms), np.tile(y.astype(float), 3))
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
 
 
 def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' probability of block, of every row."""
     ruled = with_rules(df, rules, id_col, url_col)
-    counts = suffix_counts(ruled)
-    model = fit(ruled, counts, sample)
-    kind = dict(ruled.dtypes)["page_id"]
+    rates = label_rates(ruled)
+    model, known = fit(ruled, rates, sample), rates.without()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("url", "host", "path")]
-            x = np.array([features(*r, counts) for r in zip(*cols, strict=True)]).reshape(batch.num_rows, len(FEATURES))
-            p = model.predict(x)
-            verdict = [v or ("block" if q >= 0.5 else "allow") for v, q in zip(batch.column("rule_verdict").to_pylist(), p, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(p, pa.float64())],
-                names=["page_id", "host", "path", "rule", "verdict", "p_block"],
-            )
-
-    return ruled.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string, p_block double")
+        for batch in slices(batches, "url"):
+            p = model.predict(features(*(batch.column(c) for c in ("url", "host", "path")), known))
+            verdict = pc.coalesce(batch.column("rule_verdict"), pa.array(np.where(p >= 0.5, "block", "allow"), pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), verdict, pa.array(p)], names=["page_id", "host", "path", "rule", "verdict", "p_block"])
+
+    return ruled.mapInArrow(judge, f"page_id {dict(ruled.dtypes)['page_id']}, host string, path string, rule string, verdict string, p_block double")

@@ -1,7 +1,11 @@
+import math
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from eventlake.llm import urls
 
@@ -33,16 +37,68 @@ def test_rules_match_brute_force(spark, sf):
         assert r["verdict"] in ("allow", "block")
 
 
-def test_trees_learn_held_out_labels(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    ruled = urls.with_rules(pages)
-    counts = urls.suffix_counts(ruled)
-    assert counts.sum() == pages.count()
-    model = urls.fit(ruled.where("page_id % 3 != 0"), counts)
-    test = ruled.where("page_id % 3 = 0 and rule is not null").collect()
-    x = np.array([urls.features(r["url"], r["host"], r["path"], counts) for r in test])
-    right = (model.predict(x) >= 0.5) == np.array([r["rule_verdict"] == "block" for r in test])
-    assert right.mean() > 0.9
+def brute_features(url, known, mean):
+    host, path, *_ = brute(url)
+
+    def entropy(text):
+        n = len(text.encode())
+        return -sum(c / n * math.log2(c / n) for c in Counter(text.encode()).values())
+
+    query = re.match(r"(?s)[^?#]*\??([^#]*)", url).group(1)
+    segment, suffix = path.removeprefix("/").partition("/")[0], host.rpartition(".")[2]
+    rates = [known[k].get(c, (0, 0)) for k, c in enumerate((suffix, segment))]
+    return [
+        len(url), len(host), len(path), path.count("/"), host.count(".") + 1, len(re.findall("[0-9]", url)), len(re.findall("[0-9]", url)) / max(1, len(url)), entropy(url), entropy(host),
+        query.count("&") + 1 if query else 0, len(query), host.count("-"), path.count("-"), url.count("%"), url[:6].lower() == "https:", "#" in url,
+        len(path.rpartition("/")[2]), len(segment), len(suffix), *((b - mean * n) / (n + urls.SHRINK) for n, b in rates),
+    ]
+
+
+def test_features_match_brute_force(spark, sf):
+    pages = [r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    given = [u or "" for u in ODD] + pages + ["HTTPS://x.y/a-b/c%20?p=1&q#&r", "http://x/?#?a", "h://x#a?b=1", "http://x/?a&&b"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "page_id long, url string")
+    ruled = urls.with_rules(df)
+    known, all_labelled = [{}, {}], []
+    for u in given:
+        host, path, rule, verdict = brute(u)
+        if rule:
+            all_labelled.append(verdict == "block")
+            for k, c in enumerate((host.rpartition(".")[2], path.removeprefix("/").partition("/")[0])):
+                n, b = known[k].get(c, (0, 0))
+                known[k][c] = (n + 1, b + (verdict == "block"))
+    rows = ruled.orderBy("page_id").collect()
+    columns = [pa.array([r[c] for r in rows]) for c in ("url", "host", "path")]
+    rates = urls.label_rates(ruled)
+    assert rates.n[0].sum() == rates.n[1].sum() == len(all_labelled)
+    got = urls.features(*columns, rates.without())
+    want = np.array([brute_features(u, known, np.mean(all_labelled)) for u in given], float)
+    for k, name in enumerate(urls.FEATURES):
+        assert got[:, k] == pytest.approx(want[:, k], abs=1e-9), name
+    assert rates.without(2) == pytest.approx(np.stack([urls.rates_of(n, b, rates.blocked[0, [0, 1, 3, 4]].sum() / rates.n[0, [0, 1, 3, 4]].sum()) for n, b in zip(rates.n[:, [0, 1, 3, 4]].sum(axis=1), rates.blocked[:, [0, 1, 3, 4]].sum(axis=1), strict=True)]))
+
+
+def test_trees_learn_labels_of_hosts_held_out(spark):
+    ruled = urls.with_fold(urls.with_rules(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")))
+    right = []
+    for fold in range(urls.FOLDS):
+        others = ruled.where(F.col("fold") != fold).drop("fold")
+        rates = urls.label_rates(others)
+        model = urls.fit(others, rates)
+        test = ruled.where(f"fold = {fold} and rule is not null").toArrow().combine_chunks()
+        p = model.predict(urls.features(*(urls._whole(test.column(c)) for c in ("url", "host", "path")), rates.without()))
+        right += [(q >= 0.5) == (v == "block") for q, v in zip(p, test.column("rule_verdict").to_pylist(), strict=True)]
+    assert np.mean(right) > 0.95
+
+
+def test_urls_without_a_rule_get_both_verdicts(spark):
+    rows = [r for r in urls.judge_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect() if not r["rule"]]
+    blocked = np.mean([r["verdict"] == "block" for r in rows])
+    assert 0.5 < blocked < 0.95
+    # in no host that a rule decides is /de/ blocked, and /en/ always is
+    known = [r for r in rows if r["host"].endswith(".org")]
+    assert {r["verdict"] for r in known if r["path"].startswith("/en/")} == {"block"}
+    assert np.mean([r["verdict"] == "allow" for r in known if r["path"].startswith("/de/")]) > 0.95
 
 
 def test_trees_on_known_function():
@@ -55,12 +111,6 @@ def test_trees_on_known_function():
     assert urls.Trees().fit(x[:5], np.ones(5)).predict(x[:2]) == pytest.approx([1, 1], abs=1e-6)
 
 
-def test_suffix_cells_agree(spark):
-    df = spark.createDataFrame([("a.com",), ("b.com",), ("",), ("net",)], "host string")
-    counts = urls.suffix_counts(df)
-    assert counts[urls.suffix_cell("x.com")] == 2 and counts[urls.suffix_cell("")] == 1 and counts[urls.suffix_cell("net")] == 1
-
-
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, "http://a.com/"), (2, "http://a.com/")], "page_id long, url string")
     rows = urls.judge_urls(df).collect()
