@@ -39,15 +39,75 @@ def test_growing_moves_rows_only_into_the_new_shard():
     assert 0.8 * mean < load[8] < 1.2 * mean and max(load) < 1.2 * mean
 
 
-def test_versions_are_stored(spark, docs, tmp_path):
+def brute_deal(sizes, n_shards):
+    """Largest slot first, to the shard with the fewest bytes, then slots, then the lowest number."""
+    load, out = [[0, 0] for _ in range(n_shards)], {}
+    for slot in sorted(range(len(sizes)), key=lambda s: (-sizes[s], s)):
+        shard = min(range(n_shards), key=lambda s: (load[s], s))
+        out[slot] = shard
+        load[shard][0] += sizes[slot]
+        load[shard][1] += 1
+    return [out[s] for s in range(len(sizes))]
+
+
+def test_deal_matches_brute_force(spark, sf, docs):
+    rows = sharding.shard_documents(docs, 7, n_slots=200).collect()
+    sizes = [sum(r["size"] for r in rows if r["vslot"] == v) for v in range(200)]
+    want = brute_deal(sizes, 7)
+    assert all(r["shard"] == want[r["vslot"]] for r in rows)
+    later = sharding.grown_map(want, [(b, 1) for b in sizes], 7)
+    assert all(r["next_shard"] == later[r["vslot"]] for r in rows)
+
+
+def total(rows, n_slots):
+    return sharding.slot_sizes(sharding.records(rows, n_slots), n_slots)
+
+
+def test_a_stored_map_lives_on(spark, docs, tmp_path):
     path = f"file://{tmp_path}/map"
-    out = sharding.shard_documents(docs, 5, n_slots=64, map_path=path)
-    one, two = (sharding.load_map(spark, path, v).collect() for v in (1, 2))
-    assert len(one) == len(two) == 64
-    moved = {r["vslot"] for r in two if r["shard"] == 5}
-    assert moved and all(a["shard"] == b["shard"] for a, b in zip(sorted(one), sorted(two), strict=True) if b["vslot"] not in moved)
-    for r in out.collect():
-        assert r["next_shard"] == (5 if r["vslot"] in moved else r["shard"])
+    half = docs.where("doc_id % 2 = 0")
+    one = {r["doc_id"]: r for r in sharding.shard_documents(half, 5, n_slots=64, map_path=path).collect()}
+    # more data joins the old layout
+    two = {r["doc_id"]: r for r in sharding.shard_documents(docs, 5, n_slots=64, map_path=path).collect()}
+    assert len(two) == docs.count() and all(two[d]["shard"] == r["shard"] and two[d]["vslot"] == r["vslot"] for d, r in one.items())
+    assert {r["map_version"] for r in two.values()} == {1} and sharding.versions(spark, path) == [1]
+    # evening out moves few slots, and stores a version
+    sizes = total(docs, 64)
+    version, even = sharding.rebalance(spark, path, sizes, 0.05)
+    _, first, _ = sharding.load_map(spark, path, 1)
+    load = [sum(sizes[v][0] for v in range(64) if even[v] == s) for s in range(5)]
+    old = [sum(sizes[v][0] for v in range(64) if first[v] == s) for s in range(5)]
+    assert version == 2 and max(load) <= max(old) and sum(a != b for a, b in zip(first, even, strict=True)) <= 16
+    assert sharding.rebalance(spark, path, sizes, 10.0) == (2, even)
+    # one more shard: slots move only there
+    three = {r["doc_id"]: r for r in sharding.shard_documents(docs, 6, n_slots=64, map_path=path).collect()}
+    assert sharding.versions(spark, path) == [1, 2, 3] and {r["map_version"] for r in three.values()} == {3}
+    assert {r["shard"] for r in three.values()} == set(range(6)) and all(r["shard"] in (even[r["vslot"]], 5) for r in three.values())
+    for shards, slots in ((5, 64), (6, 32)):
+        with pytest.raises(ValueError):
+            sharding.shard_documents(docs, shards, n_slots=slots, map_path=path)
+    # what a failed job left is no version, and gives way
+    (tmp_path / "map" / "version=4").mkdir()
+    assert sharding.load_map(spark, path)[0] == 3 and sharding.grow(spark, path, sizes)[0] == 4
+    with pytest.raises(ValueError):
+        sharding.load_map(spark, path, 9)
+
+
+def test_rebalancing_of_one_large_slot():
+    assert sharding.rebalanced_map([0, 0, 1], [(100, 1), (1, 1), (1, 1)], 2) == [0, 1, 1]
+    assert sharding.rebalanced_map([0, 1], [(0, 0), (0, 0)], 2) == [0, 1]
+
+
+def test_hot_slots_are_numbered_in_chunks(spark):
+    docs = spark.createDataFrame([(7, "the same text")] * 900 + [(i, f"text {i}") for i in range(100)], "doc_id long, text string").repartition(5)
+    rows = sharding.spill(sharding.records(docs, 16), "test-records")
+    sizes = sharding.slot_sizes(rows, 16)
+    out = sharding.assign(rows, sharding.first_map(sizes, 3), sizes, chunk=50)
+    found = out.collect()
+    for shard in range(3):
+        own = sorted(r["slot"] for r in found if r["shard"] == shard)
+        assert own == list(range(len(own)))
+    assert len(found) == 1000
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
