@@ -10,9 +10,9 @@ the common bits, less those expected by chance, over the most that were possible
 partner, weighted by features, and the two directions are averaged.
 
 Nulls and ties: a null text is empty; an empty text has an empty digest (likeness 1 to another empty one, 0 to the rest). A
-text shorter than a window is one feature. Equal texts have equal digests. In the order of ids, repeated ids are ordered by the
-checksum of their text, and null ids stand last. A table of one row is its own next row. Long texts are read in blocks. No rows: no
-rows out. Other columns are not read.
+text shorter than a window is one feature. Equal texts have equal digests. In the order of ids (integers, or texts, as which others
+are read), repeated ids are ordered by a hash of their text, and null ids stand last. A table of one row is its own next row. Long
+texts are ranked and compared in blocks. No rows: no rows out. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,19 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import slices
+from eventlake.llm.common import slices, spill
 
 WINDOW, STRETCH, VOTES = 16, 16, 4
 BITS, HASHES, FULL = 2048, 5, 160
-#: Bytes whose windows are ranked at once.
-BLOCK = 1 << 17
+#: Bytes whose windows are ranked at once, and filters of a chain that are filled at once.
+BLOCK, CHAIN = 1 << 17, 1024
 #: Bits of a window's place among those ranked at once (over BLOCK and the stretches around it), and of the hash above it.
 PLACE, TIE = 18, 36
-#: Rows of adjacent ids that make a part, while there are fewer than MOST_PARTS.
+#: Rows of adjacent keys that make a part, while there are fewer than MOST_PARTS.
 PART_ROWS, MOST_PARTS = 1024, 200_000
-#: Ids that are sampled for each part to place the cuts.
+#: Keys that are sampled for each part to place the cuts.
 SAMPLED = 16
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 _COUNT = np.arange(WINDOW + 1)
 #: n * log2(n) in fixed point, so that sums are exact and equal windows have equal entropy.
@@ -187,12 +187,14 @@ class Digest:
         self.counts = np.full(n, FULL)
         if n:
             self.counts[-1] = len(hashes) - FULL * (n - 1)
-        bits = np.zeros((n, BITS), bool)
-        chain = np.arange(len(hashes)) // FULL
-        for k in range(HASHES):
-            bits[chain, (hashes >> np.uint64(11 * k)) % np.uint64(BITS)] = True
-        self.filters = np.packbits(bits, axis=1)
-        self.ones = bits.sum(axis=1).astype(float)
+        self.filters = np.empty((n, BITS // 8), np.uint8)
+        for at in range(0, n, CHAIN):
+            part = hashes[at * FULL : (at + CHAIN) * FULL]
+            bits, chain = np.zeros((-(-len(part) // FULL), BITS), bool), np.arange(len(part)) // FULL
+            for k in range(HASHES):
+                bits[chain, (part >> np.uint64(11 * k)) % np.uint64(BITS)] = True
+            self.filters[at : at + CHAIN] = np.packbits(bits, axis=1)
+        self.ones = np.bitwise_count(self.filters).sum(axis=1).astype(float)
 
     def __str__(self) -> str:
         """Features, a colon, the filters as hex."""
@@ -213,22 +215,42 @@ def digests(texts: list[str]) -> list[Digest]:
     return [Digest(h) for h in feature_hashes([t.encode() for t in texts])]
 
 
+def _best(a: Digest, own: np.ndarray, b: Digest, best: np.ndarray) -> np.ndarray:
+    """Normalised overlap of each filter ``own`` of a with its best partner in b; best is raised to what those of b find."""
+    out, left, right = np.empty(len(own)), a.filters.view(np.uint64), b.filters.view(np.uint64)
+    for k, i in enumerate(own):
+        common = np.bitwise_count(right & left[i]).sum(axis=1, dtype=np.int64)
+        chance = a.ones[i] * b.ones / BITS
+        score = np.maximum(0, (common - chance) / np.maximum(1, np.maximum(a.ones[i], b.ones) - chance))
+        out[k] = score.max()
+        np.maximum(best, score, out=best)
+    return out
+
+
 def likeness(a: Digest, b: Digest) -> float:
-    """Normalised bit overlap, 0 to 1; 1 for equal digests."""
+    """Normalised bit overlap, 0 to 1; 1 for equal digests.
+
+    Filters that both have are each other's best partners. Every other one is held against all of the other chain, one at a time: memory
+    grows with the longer text, time with the product of both (some 2 s for two unlike texts of 10 MB, 4 minutes for 100 MB).
+    """
     if not len(a.filters) or not len(b.filters):
         return float(len(a.filters) == len(b.filters))
     if len(a.filters) == len(b.filters) and np.array_equal(a.filters, b.filters):
         return 1.0
-    score = np.empty((len(a.filters), len(b.filters)))
-    right = b.filters.view(np.uint64)
-    for i, row in enumerate(a.filters.view(np.uint64)):
-        common = np.bitwise_count(right & row).sum(axis=1, dtype=np.int64)
-        chance = a.ones[i] * b.ones / BITS
-        most = np.maximum(a.ones[i], b.ones)
-        score[i] = np.maximum(0, (common - chance) / np.maximum(1, most - chance))
-    forth = (score.max(axis=1) * a.counts).sum() / a.counts.sum()
-    back = (score.max(axis=0) * b.counts).sum() / b.counts.sum()
-    return float(min(1.0, (forth + back) / 2))
+    forth, back = np.zeros(len(a.filters)), np.zeros(len(b.filters))
+    whole = [np.ascontiguousarray(d.filters).view(f"V{BITS // 8}").ravel() for d in (a, b)]
+    known = set(map(bytes, whole[0])) & set(map(bytes, whole[1]))
+    same = [np.fromiter((bytes(f) in known for f in w), bool, len(w)) for w in whole]
+    rest = np.flatnonzero(~same[0])
+    forth[rest] = _best(a, rest, b, back)
+    if len(rest) < len(forth):
+        # the filters of b that a has not, against those of a that were not held against them
+        forth[same[0]], back[same[1]] = 1, 1
+        few = Digest(np.zeros(0, np.uint64))
+        few.filters, few.ones = a.filters[same[0]], a.ones[same[0]]
+        left = np.flatnonzero(~same[1])
+        back[left] = np.maximum(back[left], _best(b, left, few, np.zeros(len(few.filters))))
+    return float(min(1.0, ((forth * a.counts).sum() / a.counts.sum() + (back * b.counts).sum() / b.counts.sum()) / 2))
 
 
 def edited(text: str, following: str) -> str:
@@ -242,40 +264,64 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def _cuts(df: DataFrame, parts: int, rows: int) -> list[int]:
-    """Ids between parts, from the quantiles of a sample of the different ids by hash: SAMPLED for each part."""
-    if parts == 1:
-        return []
-    share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, SAMPLED * parts / rows) * (1 << 30))
-    found = np.sort(df.select("doc_id").where(share & F.col("doc_id").isNotNull()).distinct().toArrow().column("doc_id").to_numpy())
-    return sorted(set(found[len(found) * np.arange(1, parts) // parts].tolist())) if len(found) else []
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (an integer or a text), text and a hash of it, by which rows of one id are ordered."""
+    kind = dict(df.dtypes)[id_col]
+    key = F.col(id_col).cast("long" if kind in ("tinyint", "smallint", "int", "bigint") else "string")
+    return df.select(key.alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+
+
+def _sorting(key: tuple) -> tuple:
+    """Spark's order of a (doc_id, hash, ..): nulls first."""
+    return (key[0] is not None, key[0] if key[0] is not None else 0, *key[1:])
 
 
 def in_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS) -> DataFrame:
-    """doc_id, text, part, ghost: all rows in parts of adjacent ids, part 0 having the largest. Each part also has, as a ghost,
-    the first row of the part that follows; the last part has the first row of all.
+    """doc_id, text, hash, part, sub, ghost: all rows in parts of adjacent keys (id, hash of the text), part 0 having the largest. Each
+    part also has, as a ghost, the first row of the part that follows; the last part has the first row of all.
 
-    Parts are cut at approximate quantiles of the id; the cuts (a few bytes for each part) go through the driver. The id is an
-    integer; rows of one id stay in one part.
+    Parts are cut at approximate quantiles of the key; the cuts (a few bytes for each part) go through the driver. A row that repeats
+    whole more often than a part has rows is a part of its own, dealt out in subs: each copy is followed by another one, but
+    for the last of sub 0, so that the other subs need no ghost.
     """
-    df = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = df.count()
-    parts = max(1, min(most_parts, rows // part_rows))
-    cuts = _cuts(df, parts, rows)
-    # two steps of a search: which run of cuts, and how many cuts of that run are below the id
+    df = _keyed(df, id_col, text_col)
+    keys = spill(df.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")), "order-keys")
+    rows, different = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    parts, most = max(1, min(most_parts, different // part_rows)), max(part_rows, rows // most_parts)
+    share = F.pmod(F.xxhash64("doc_id", "hash", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, SAMPLED * parts / max(1, different)) * (1 << 30))
+    sample = sorted(((r["doc_id"], r["hash"]) for r in keys.where(share).select("doc_id", "hash").collect()), key=_sorting) if parts > 1 else []
+    hot = {(r["doc_id"], r["hash"]): -(-r["n"] // most) for r in keys.where(F.col("n") > most).collect()}
+    # a cut stands right after (1) or before (-1) a key
+    chosen = {(*sample[len(sample) * k // parts], 1) for k in range(1, parts)} if sample else set()
+    cuts = sorted(chosen | {(*key, side) for key in hot for side in (-1, 1)}, key=_sorting)
+    kind = dict(keys.dtypes)["doc_id"]
+    shape, place = f"struct<doc_id:{kind},hash:bigint,side:int>", F.struct("doc_id", "hash", F.lit(0).alias("side"))
+    as_json = [{"doc_id": a, "hash": b, "side": c} for a, b, c in cuts]
+    # two steps of a search: which run of cuts, and how many cuts of that run are below the key
     run = max(1, int(len(cuts) ** 0.5))
-    firsts, runs = _literal(cuts[::run], "bigint"), _literal([cuts[i : i + run] for i in range(0, len(cuts), run)], "array<bigint>")
-    df = df.withColumn("run", F.size(F.filter(firsts, lambda c: c < F.col("doc_id"))))
-    below = F.when(F.col("run") > 0, (F.col("run") - 1) * run + F.size(F.filter(F.get(runs, F.col("run") - 1), lambda c: c < F.col("doc_id"))))
-    df = df.select("doc_id", "text", (F.lit(len(cuts)) - F.coalesce(below, F.lit(0))).cast("int").alias("part"))
-    top = {r["part"]: r["top"] for r in df.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
+    firsts, runs = _literal(as_json[::run], shape), _literal([as_json[i : i + run] for i in range(0, len(cuts), run)], f"array<{shape}>")
+
+    def parted(table: DataFrame) -> DataFrame:
+        table = table.withColumn("run", F.size(F.filter(firsts, lambda c: c < place)))
+        below = F.when(F.col("run") > 0, (F.col("run") - 1) * run + F.size(F.filter(F.get(runs, F.col("run") - 1), lambda c: c < place)))
+        return table.withColumn("part", (F.lit(len(cuts)) - F.coalesce(below, F.lit(0))).cast("int")).drop("run")
+
+    top = {r["part"]: r["top"] for r in parted(keys).groupBy("part").agg(F.max(F.struct("doc_id", "hash")).alias("top")).collect()}
     held = sorted(top)
     before = {p: held[i - 1] for i, p in enumerate(held)}
-    head = F.get(_literal([top.get(p) for p in range(len(cuts) + 1)], "bigint"), F.col("part"))
+    heads = [top.get(p) and {"doc_id": top[p]["doc_id"], "hash": top[p]["hash"]} for p in range(len(cuts) + 1)]
+    head = F.get(_literal(heads, f"struct<doc_id:{kind},hash:bigint>"), F.col("part"))
     ahead = F.get(_literal([before.get(p) for p in range(len(cuts) + 1)], "int"), F.col("part"))
-    own, ghost = (F.struct(p.alias("part"), F.lit(g).alias("ghost")) for p, g in ((F.col("part"), False), (ahead, True)))
-    places = F.when(F.col("doc_id").eqNullSafe(head), F.array(own, ghost)).otherwise(F.array(own))
-    return df.select("doc_id", "text", F.explode(places).alias("x")).select("doc_id", "text", "x.part", "x.ghost")
+    df, sub = parted(df), F.lit(0)
+    if hot:
+        subs = df.sparkSession.createDataFrame([(*key, n) for key, n in hot.items()], f"hot_id {kind}, hot_hash bigint, subs int")
+        df = df.join(F.broadcast(subs), df["doc_id"].eqNullSafe(subs["hot_id"]) & (df["hash"] == subs["hot_hash"]), "left")
+        sub = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "subs"), F.lit(0)).cast("int")
+    df = df.select("doc_id", "text", "hash", "part", sub.alias("sub"))
+    own, ghost = (F.struct(p.alias("part"), s.alias("sub"), F.lit(g).alias("ghost")) for p, s, g in ((F.col("part"), F.col("sub"), False), (ahead, F.lit(0), True)))
+    first = (F.col("sub") == 0) & F.struct("doc_id", "hash").eqNullSafe(head)
+    places = F.when(first, F.array(own, ghost)).otherwise(F.array(own))
+    return df.select("doc_id", "text", "hash", F.explode(places).alias("x")).select("doc_id", "text", "hash", "x.part", "x.sub", "x.ghost")
 
 
 def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,9 +330,10 @@ def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A row's next one follows it by descending id; its edited text takes the next one's beginning. Rows of a part are read in
     order, a few at a time.
     """
-    laid = in_order(df, id_col, text_col).repartition("part")
-    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    laid = laid.sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), crc)
+    laid = in_order(df, id_col, text_col).repartition("part", "sub")
+    laid = laid.sortWithinPartitions("part", "sub", "ghost", F.col("doc_id").desc_nulls_last(), F.col("hash").desc())
+    kind = dict(laid.dtypes)["doc_id"]
+    id_type = pa.string() if kind == "string" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last = None, None  # the part being read, and its last row: id, text, digest
@@ -303,34 +350,41 @@ def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             n = len(edits)
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([i for i, _ in chain[:n]], pa.int64()), pa.array([len(t) for _, t in chain[:n]], pa.int64()),
+                    pa.array([i for i, _ in chain[:n]], id_type), pa.array([len(t) for _, t in chain[:n]], pa.int64()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edits]), pa.array([str(d) for d in own[:n]]),
                     pa.array([str(d) for d in changed]), pa.array([likeness(a, b) for a, b in zip(own, changed, strict=False)], pa.float64()),
                     pa.array([likeness(a, b) for a, b in zip(own, own[1:], strict=False)], pa.float64()),
                 ],
-                names=[f.split()[0] for f in SCHEMA.split(", ")],
+                names=["doc_id", *(f.split()[0] for f in SCHEMA.split(", "))],
             )
             last = None if rows[-1][2] else (*chain[-1], own[-1])
             rows.clear()
             return out
 
+        def end() -> Iterator[pa.RecordBatch]:
+            """The end of a part without a ghost: its last row is followed by a copy."""
+            if last is not None:
+                if not part[1]:
+                    raise ValueError(f"part {part[0]} has no end")
+                rows.append((*(rows[-1] if rows else last)[:2], True))
+                yield flush()
+
         held = 0
         for batch in slices(batches):
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "ghost"))
-            for doc_id, text, at, ghost in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "sub", "ghost"))
+            for doc_id, text, *at, ghost in zip(*columns, strict=True):
                 text = text or ""
+                if last is not None and at != part:
+                    yield from end()
                 if last is None:
                     if not ghost:  # else a repeated row's ghost: the part is over
                         part, last = at, (doc_id, text, None)
                     continue
-                if at != part:
-                    raise ValueError(f"part {part} has no end")
-                if rows and rows[-1][2]:
-                    continue
                 rows.append((doc_id, text, ghost))
                 held += len(text)
                 if ghost or held > BLOCK:
                     yield flush()
                     held = 0
+        yield from end()
 
-    return laid.mapInArrow(run, SCHEMA)
+    return laid.mapInArrow(run, f"doc_id {kind}, {SCHEMA}")

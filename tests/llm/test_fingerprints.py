@@ -114,3 +114,58 @@ def test_odd_rows(odd_docs, no_docs):
 def test_one_row_is_its_own_next(spark):
     df = spark.createDataFrame([(1, "just one text that stands alone here")], "doc_id long, text string")
     assert fp.compare(df).first()["near_next"] == 1.0
+
+
+def test_likeness_matches_the_whole_matrix(texts, monkeypatch):
+    monkeypatch.setattr(fp, "FULL", 7)
+    held = sorted(texts.values(), key=len)[-12:]
+    held += [held[0][:2000] + held[1][500:3000], held[0][: len(held[0]) // 2] + held[2], held[0] + held[0]]
+    digests = fp.digests(held)
+    for a in digests:
+        for b in digests:
+            bits = [np.unpackbits(d.filters, axis=1).astype(float) for d in (a, b)]
+            common, chance = bits[0] @ bits[1].T, np.outer(a.ones, b.ones) / fp.BITS
+            score = np.maximum(0, (common - chance) / np.maximum(1, np.maximum.outer(a.ones, b.ones) - chance))
+            want = 1.0 if a is b else ((score.max(axis=1) * a.counts).sum() / a.counts.sum() + (score.max(axis=0) * b.counts).sum() / b.counts.sum()) / 2
+            assert abs(fp.likeness(a, b) - min(1, want)) < 1e-9
+
+
+def test_very_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(3, 9, 3000)]
+    a, b = (" ".join(words[i] for i in rng.integers(0, 3000, 700_000)) for _ in range(2))
+    tracemalloc.start()
+    one, two = fp.digests([a])[0], fp.digests([b])[0]
+    assert 0 <= fp.likeness(one, two) < 0.5
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) > 4_000_000 and most < 16 * len(a)
+
+
+def brute_rows(rows):
+    """(id, edited text, next text) of each row, in the order of ids."""
+    out = []
+    for i, (doc, text, _) in enumerate(rows):
+        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+        n = len(text) // 2
+        out.append((doc, hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest(), text == after))
+    return out
+
+
+def test_hot_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(fp, "PART_ROWS", 40)
+    made = [(i, f"text number {i} of the rows that stand alone") for i in range(300)] + [(150, "one row that repeats very often")] * 700 + [(None, "rows without an id")] * 400 + [(None, "another")]
+    for rows in (made, made[300:1000], [(f"id {i}", t) for i, t in made]):
+        df = spark.createDataFrame(rows, "doc_id string, text string" if isinstance(rows[0][0], str) else "doc_id long, text string").repartition(6)
+        laid = fp.in_order(df, part_rows=40)
+        assert laid.where("not ghost").count() == len(rows)
+        assert laid.groupBy("part", "sub").count().agg({"count": "max"}).first()[0] <= 160
+        keys = fp._keyed(df, "doc_id", "text").collect()
+        ordered = sorted(((r["doc_id"], r["text"], r["hash"]) for r in keys), key=lambda r: fp._sorting((r[0], r[2])), reverse=True)
+        # of rows that repeat whole, which one is the last is open: all give the same rows but one
+        found = fp.compare(df).collect()
+        got = Counter((r["doc_id"], r["edited_sha256"]) for r in found)
+        assert got == Counter((d, e) for d, e, _ in brute_rows(ordered))
+        assert len(found) == len(rows) and sum(r["near_next"] == 1.0 for r in found) >= sum(same for _, _, same in brute_rows(ordered))
