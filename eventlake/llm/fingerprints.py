@@ -231,7 +231,7 @@ def likeness(a: Digest, b: Digest) -> float:
     """Normalised bit overlap, 0 to 1; 1 for equal digests.
 
     Filters that both have are each other's best partners. Every other one is held against all of the other chain, one at a time: memory
-    grows with the longer text, time with the product of both (some 2 s for two unlike texts of 10 MB, 4 minutes for 100 MB).
+    grows with the longer text, time with the product of both (3 s for two unlike texts of 10 MB, 5 minutes for 100 MB).
     """
     if not len(a.filters) or not len(b.filters):
         return float(len(a.filters) == len(b.filters))
