@@ -22,9 +22,12 @@ from eventlake.llm.common import slices
 
 #: Payloads are filled up to a multiple of UNIT bytes with FILL.
 UNIT, FILL = 576, 255
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
+RATE, UP, DOWN, TAPS = 16_000, 2, 5, 16
 WINDOW, HOP, FFT, MELS, PATCH = 200, 80, 256, 20, 32
 FLOOR = -10.0
+#: Steps of features in one unit. They are computed in double precision, so that what processors add in another order, which
+#: differs in the last bits, is rounded to the same step.
+STEPS = 1024
 #: Energy in standard deviations from its mean at which a segment begins, and at which it ends.
 BEGIN, END = 0.5, -0.5
 HEADER = 44
@@ -64,14 +67,14 @@ def lowpass(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
     n = up * taps
     t = np.arange(n) - (n - 1) / 2
     h = np.sinc(t / max(up, down)) * np.hamming(n)
-    return (h / h.sum() * up).reshape(taps, up).T[:, ::-1].astype(np.float32)
+    return (h / h.sum() * up).reshape(taps, up).T[:, ::-1]
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
     """x at up / down times its rate: output n takes phase (n * down) % up of the filter at input n * down // up."""
     phases, n_out = lowpass(up, down, taps), -(-len(x) * up // down)
-    views = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(taps - 1, np.float32), x]), taps)
-    out = np.empty(n_out, np.float32)
+    views = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(taps - 1), x]), taps)
+    out = np.empty(n_out)
     for first in range(min(up, n_out)):
         at = first * down // up
         out[first::up] = views[at::down][: len(out[first::up])] @ phases[first * down % up]
@@ -84,30 +87,30 @@ def mel_bank(rate: float, bands: int = MELS, fft: int = FFT) -> np.ndarray:
     edges = 700 * (10 ** (np.linspace(0, top, bands + 2) / 2595) - 1)
     f = np.linspace(0, rate / 2, fft // 2 + 1)[:, None]
     up, down = (f - edges[:-2]) / (edges[1:-1] - edges[:-2]), (edges[2:] - f) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(up, down)).astype(np.float32)
+    return np.maximum(0, np.minimum(up, down))
 
 
-_HANN = np.hanning(WINDOW).astype(np.float32)
+_HANN = np.hanning(WINDOW)
 _BANK = mel_bank(RATE * UP / DOWN)
 
 
 def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel frames and their log energies; a signal is filled up with silence to a whole last frame."""
     more = WINDOW - len(x) if len(x) < WINDOW else (WINDOW - len(x)) % HOP
-    x = np.concatenate([x, np.zeros(more, np.float32)])
+    x = np.concatenate([x, np.zeros(more)])
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
-    mel, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
+    mel, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames))
     for at in range(0, len(frames), BLOCK):
         part = frames[at : at + BLOCK]
-        power = np.abs(np.fft.rfft(part * _HANN, FFT, axis=1)).astype(np.float32) ** 2
-        mel[at : at + BLOCK] = np.maximum(FLOOR, np.log(power @ _BANK + 1e-6))
-        energy[at : at + BLOCK] = np.log((part * part).mean(axis=1) + 1e-6)
+        power = np.abs(np.fft.rfft(part * _HANN, FFT, axis=1)) ** 2
+        mel[at : at + BLOCK] = np.round(np.maximum(FLOOR, np.log(power @ _BANK + 1e-6)) * STEPS) / STEPS
+        energy[at : at + BLOCK] = np.round(np.log((part * part).mean(axis=1) + 1e-6) * STEPS) / STEPS
     return mel, energy
 
 
 def segments(energy: np.ndarray, begin: float = BEGIN, end: float = END) -> list[tuple[int, int]]:
     """(first frame, end) of loud parts: on above ``begin``, off below ``end``, unchanged between."""
-    level = (energy - energy.mean()) / (energy.std() + 1e-6)
+    level = np.round((energy - energy.mean()) / (energy.std() + 1e-6), 6)
     mark = np.where(level > begin, 1, np.where(level < end, -1, 0))
     last = np.maximum.accumulate(np.where(mark != 0, np.arange(len(mark)), -1))
     on = np.r_[False, np.where(last >= 0, mark[last] > 0, False), False]
@@ -141,9 +144,9 @@ def from_ipc(raw: bytes) -> pa.Table:
 def analyse(file: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Log-mel frames and segments of a stored file."""
     _, samples = read_wav(file)
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    # the filter's delay: the last samples come out after the end
-    mel, energy = log_mel(resample(np.concatenate([x, np.zeros(TAPS - 1, np.float32)])))
+    x = (np.frombuffer(samples, np.uint8).astype(float) - 128) / 128
+    # the filter's delay, so that the last samples come out, and a hop of silence, so that they don't stand where windows fade out
+    mel, energy = log_mel(resample(np.concatenate([x, np.zeros(TAPS - 1 + -(-HOP * DOWN // UP))])))
     return mel, segments(energy)
 
 
