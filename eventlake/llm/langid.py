@@ -3,7 +3,8 @@
 Every language gets a codeword of bits. For each bit, a binary classifier over hashed byte trigrams (a log ratio of smoothed
 frequencies, languages weighing alike) says on which side of the bit a text stands. Decoding takes the codeword with the
 least loss, where each bit weighs by how well its classifier separates the languages; a close second flags ambiguity.
-Trigram counts come from every training row; they are summed in a table of languages times cells, whose size is fixed.
+Trigram counts come from every training row; they are summed in a table of languages times cells, whose size is bounded: labels
+beyond the LANGUAGES commonest ones are not learnt.
 
 Nulls and ties: a text that is null or has no letter is ``und`` with score 0 and not ambiguous. Training leaves out rows
 whose text or label is null. Ties go to the first language in order. With no training row everything is ``und``; with one language
@@ -28,8 +29,10 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: The loss by which the second codeword must exceed the first, as a share of all bits' weight, for a clear decision.
 GAP = 0.05
-#: Bytes of text that are scored at once.
-SLICE = 1 << 20
+#: Bytes of text that are scored at once, and characters beyond which a text is scored alone, in blocks.
+SLICE, LONG = 1 << 20, 1 << 18
+#: The most labels that are learnt, those with the most rows: what goes to the driver has LANGUAGES x CELLS numbers at most.
+LANGUAGES = 128
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that stay: a-z and those of characters beyond ASCII; the rest become spaces.
@@ -43,36 +46,56 @@ def has_letter(text: str | None) -> bool:
     return found is not None and (found.group().isalpha() or any(map(str.isalpha, text)))
 
 
+def _raw(text: str) -> bytes:
+    return b"  " + text.lower().encode().translate(KEEP) + b" "
+
+
+def _cells(raw: bytes) -> np.ndarray:
+    """Cells of the trigrams that begin at each byte but the last two."""
+    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    mixed = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
+    return (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17)
+
+
 def trigram_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Cells of all trigrams of the texts, and where each text's begin; every text has one trigram at least."""
-    raw = [b"  " + t.lower().encode().translate(KEEP) + b" " for t in texts]
+    raw = [_raw(t) for t in texts]
     starts = np.cumsum([0, *(len(r) for r in raw[:-1])])
-    b = np.frombuffer(b"".join([*raw, b"  "]), np.uint8).astype(np.uint32)
-    mixed = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
-    return (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17), starts
+    return _cells(b"".join([*raw, b"  "])), starts
+
+
+def cell_blocks(text: str, block: int = LONG) -> Iterator[np.ndarray]:
+    """The cells of a long text, some at a time."""
+    raw = _raw(text) + b"  "
+    for at in range(0, len(raw) - 2, block):
+        yield _cells(raw[at : at + block + 2])
 
 
 BLANK = int(trigram_cells([""])[0][0])
 
 
-def trigram_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Counts of trigram cells by language, over all rows with a text and a label."""
+def trigram_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = LANGUAGES) -> dict[str, np.ndarray]:
+    """Counts of trigram cells by language, over all rows with a text and one of the ``most`` labels that have the most rows."""
     df = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    rows = df.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()
+    learnt = {r["lang"] for r in rows}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in slices(batches, limit=SLICE):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            for lang in set(langs):
-                found, _ = trigram_cells([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                held[lang] = held.get(lang, 0) + np.bincount(found, minlength=CELLS)
+            for lang in set(langs) & learnt:
+                own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
+                blocks = cell_blocks(own[0]) if len(own) == 1 and len(own[0]) > LONG else [trigram_cells(own)[0]]
+                for found in blocks:
+                    held[lang] = held.get(lang, 0) + np.bincount(found, minlength=CELLS)
         for lang, counts in held.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "cell", "n"])
 
-    rows = df.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = df.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     out: dict[str, np.ndarray] = {}
-    lang, cell, n = (rows.column(c).to_numpy() for c in ("lang", "cell", "n"))
+    lang, cell, n = (cells.column(c).to_numpy() for c in ("lang", "cell", "n"))
     for x in sorted(set(lang)):
         out[x] = np.bincount(cell[lang == x], n[lang == x], minlength=CELLS)
     return out
@@ -114,9 +137,15 @@ class Codewords:
         """Index of the language, score and ambiguity of each text."""
         if len(self.langs) == 1:
             return np.zeros(len(texts), int), np.ones(len(texts)), np.zeros(len(texts), bool)
-        cells, starts = trigram_cells(texts)
-        n = np.diff(np.r_[starts, len(cells)])
-        sums = np.stack([np.add.reduceat(w[cells], starts, dtype=np.float64) for w in self.weights], axis=1)
+        n, sums = np.empty(len(texts)), np.empty((len(texts), len(self.weights)))
+        short = [i for i, t in enumerate(texts) if len(t) <= LONG]
+        if short:
+            cells, starts = trigram_cells([texts[i] for i in short])
+            n[short] = np.diff(np.r_[starts, len(cells)])
+            sums[short] = np.stack([np.add.reduceat(w[cells], starts, dtype=np.float64) for w in self.weights], axis=1)
+        for i in set(range(len(texts))).difference(short):
+            blocks = [(len(c), [w[c].sum(dtype=np.float64) for w in self.weights]) for c in cell_blocks(texts[i])]
+            n[i], sums[i] = sum(k for k, _ in blocks), np.sum([x for _, x in blocks], axis=0)
         margins = np.clip(sums / np.sqrt(n)[:, None], -8, 8)
         loss = np.log1p(np.exp(-margins[:, None, :] * self.code[None])) @ self.trust
         order = np.argsort(loss, axis=1, kind="stable")

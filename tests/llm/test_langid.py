@@ -73,3 +73,24 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r["__lang_pred"] for r in langid.identify(odd_docs, nothing, prefix="__").collect()} == {"und"}
     one = langid.fit(odd_docs.where("lang = 'de'"))
     assert {r["__lang_pred"] for r in langid.identify(odd_docs.where("doc_id = 3"), one, prefix="__").collect()} == {"de"}
+
+
+def test_long_texts_are_read_in_blocks(texts):
+    rng = np.random.default_rng(1)
+    counts = {x: rng.integers(1, 50, langid.CELLS) for x in ("a", "b", "c")}
+    model = langid.Codewords(counts)
+    held = " ".join(texts.values())
+    long = (held * (1 + 3 * langid.LONG // len(held)))[: 2 * langid.LONG + 77]
+    assert np.array_equal(np.concatenate([*langid.cell_blocks(long)]), langid.trigram_cells([long])[0])
+    cells, _ = langid.trigram_cells([long])
+    best, score, unclear = model.decode(["one", long, "two"])
+    alone = [model.decode([t]) for t in ("one", long, "two")]
+    assert [x[0][0] for x in alone] == best.tolist() and [x[1][0] for x in alone] == score.tolist()
+    margin = np.clip(np.array([w[cells].astype(float).sum() for w in model.weights]) / np.sqrt(len(cells)), -8, 8)
+    loss = np.log1p(np.exp(-margin * model.code)) @ model.trust
+    assert best[1] == loss.argmin() and abs(score[1] - 1 / np.exp(-(loss - loss.min()) * 4).sum()) < 1e-9
+
+
+def test_languages_are_bounded(spark):
+    df = spark.createDataFrame([(f"text {i}", f"l{min(i, 40)}") for i in range(60)], "text string, lang string")
+    assert set(langid.trigram_counts(df, most=3)) == {"l40", "l0", "l1"}
