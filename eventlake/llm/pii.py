@@ -1,12 +1,15 @@
 """Personal data by bootstrapped contextual extraction (operator 2).
 
 Base matches of four kinds (email, ip, card, phone) are the seeds. What stands around a seed, as words, makes lexical patterns:
-a kind, a side (words before, after) and the words. Whatever a pattern meets that looks roughly like its kind but is no
-base match (an address written out, a number without its prefix) is a candidate instance. Spark aggregates all (pattern,
-instance) pairs into a weighted graph and scores it in rounds: a pattern is as good as the instances that it meets,
-shrunk towards a prior; an instance as likely as the patterns that meet it make it together (noisy or), seeds being
-certain. A candidate that is the same identifier as a base match elsewhere is as certain, whatever stands around it. A pattern that meets no seed counts in the rounds in which its score is above the prior, so that what is found leads to
-more, one step further in each round. Candidates of instances over the threshold become spans. They never replace or overlap base ones.
+a kind, a side (words before, after) and the words. Whatever could be written for an identifier but is no base match (a number of
+enough digits in any grouping, four numbers or eight hexadecimal ones, a word with an at sign or with at and dot written out) is a
+candidate instance of each kind that its digits allow; which of them are identifiers is for the patterns to say. Spark
+aggregates all (pattern, instance) pairs into a weighted graph and scores it in rounds: a pattern is as good as the
+instances that it meets, shrunk towards a prior; an instance as likely as the patterns that meet it make it together (noisy
+or), seeds being certain. A candidate that is the same identifier as a base match elsewhere is as certain, whatever stands around it.
+A pattern that meets no seed counts in the rounds in which its score is above the prior, so that what is found leads to more, one
+step further in each round. Scores only grow; rounds end when they hardly do, or after ROUNDS. Candidates of instances over the
+threshold become spans, of overlapping ones the first. They never replace or overlap base ones.
 
 Nulls and ties: a null or empty text has no spans and digests of an empty string. Repeated rows are kept, and each counts. Spans
 are ordered by start, then by kind as listed. Texts of any length are read whole, in time that grows with their length. No
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import slices, spill
+from eventlake.llm.common import discard, settled, slices, spill
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -36,23 +39,24 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Candidates: what looks roughly like a kind. An address may be written out, a phone number lack its prefix, a card number (with a
-#: valid check digit) have dots.
+#: Candidates. An address: with at and dot written out, or any other word with an at sign. Numbers: in any grouping.
 _NAME = re.compile(r"[A-Za-z0-9_%+-]{1,64}(?:\.[A-Za-z0-9_%+-]{1,64}){0,4}\Z")
 _AT = re.compile(r"(?: ?[\[(] ?at ?[\])] ?| at )(?=[a-z0-9-]{1,63}(?: ?[\[(.]| dot ))(?:[a-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?| dot |\.)){1,4}[a-z0-9-]{1,63}", re.I)
-LOOSE = (
-    ("ip", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9.])[0-9]{1,3}(?: ?\[\.\] ?[0-9]{1,3}){3}(?![0-9])")),
-    ("card", re.compile(r"(?<![0-9+.-])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9]|[.-][0-9])")),
-    ("phone", re.compile(r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|00[0-9](?:[\x20().-]?[0-9]){8,13})(?![0-9]|[.-][0-9])")),
-)
+_WORD_AT = re.compile(r"(?<![^\s<>(\[\"',;])[^\s<>()\[\]\"',;@\uff20]{1,64}[@\uff20][^\s<>()\[\]\"',;@\uff20]{1,128}(?<![.!?:])")
+_HEX = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_FOUR = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|,|_| dot ) ?[0-9]{1,3}){3}(?![0-9])")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,18}(?![0-9A-Za-z]|[.-][0-9])")
+#: Digits that a number of a kind has, base matches aside.
+DIGITS = {"card": (13, 19), "phone": (7, 15)}
 #: What every text with a candidate address, or with any other candidate, has.
 _MAYBE_AT = re.compile(r"[ \[(]at[ \])]", re.I)
-_MAYBE = re.compile(r"[0-9](?:[\x20.-]?[0-9]){2}|[0-9] ?\[|:[0-9A-Fa-f]{1,4}:")
+_MAYBE = re.compile(r"[0-9](?:[\x20()./-]{0,2}[0-9]){6}|[0-9] ?(?:[\[(,_]| dot )|:[0-9A-Fa-f]{1,4}:")
 
 #: Words of context on each side, and the characters in which they are looked for.
 SIDE, REACH = 2, 80
-#: Rounds of scoring; weight and value of a pattern's prior; the least score and support of what is taken.
-ROUNDS, PRIOR_WEIGHT, PRIOR, TAKE, SUPPORT = 3, 4.0, 0.02, 0.8, 3
+#: The most rounds of scoring, and the share by which all scores must grow for one more; weight and value of a pattern's prior; the least
+#: score and support of what is taken.
+ROUNDS, GROWTH, PRIOR_WEIGHT, PRIOR, TAKE, SUPPORT = 10, 1e-4, 4.0, 0.02, 0.8, 3
 
 
 def luhn(digits: str) -> bool:
@@ -95,21 +99,27 @@ def _written_out(text: str) -> Iterator[tuple[int, int]]:
 
 
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates that no base match overlaps; of overlapping ones the first stays."""
+    """Candidates that no base match overlaps; of overlapping ones of a kind the first stays."""
     found = []
     if _MAYBE_AT.search(text):
         found += [(a, 0, b) for a, b in _written_out(text)]
+    if "@" in text or "\uff20" in text:
+        found += [(m.start(), 0, m.end()) for m in _WORD_AT.finditer(text)]
     if _MAYBE.search(text):
-        shaped = ((kind, m) for kind, shape in LOOSE for m in shape.finditer(text))
-        found += [(m.start(), KINDS.index(kind), m.end()) for kind, m in shaped if kind != "card" or luhn(_NOT_DIGIT.sub("", m.group()))]
+        found += [(m.start(), 1, m.end()) for shape in (_HEX, _FOUR) for m in shape.finditer(text)]
+        for m in _NUMBER.finditer(text):
+            digits = _NOT_DIGIT.sub("", m.group())
+            start = m.start() + (m.group()[0] == "(" and ")" not in m.group())
+            fits = {k for k, (least, most) in DIGITS.items() if least <= len(digits) <= most}
+            found += [(start, KINDS.index(k), m.end()) for k in fits if k != "card" or luhn(digits)]
     # ends of base matches up to each start grow with it, once the largest so far is taken
-    starts, reach, out, taken = [a for a, _, _ in base], [0], [], 0
+    starts, reach, out, taken = [a for a, _, _ in base], [0], [], [0] * len(KINDS)
     for _, _, b in base:
         reach.append(max(reach[-1], b))
     for a, kind, b in sorted(found):
-        if a >= taken and reach[bisect_left(starts, b)] <= a:
+        if a >= taken[kind] and reach[bisect_left(starts, b)] <= a:
             out.append((a, kind, b))
-            taken = b
+            taken[kind] = b
     return out
 
 
@@ -127,7 +137,7 @@ def instance(text: str, kind: int) -> str:
     """What stands for equal identifiers of a kind: an address with its signs, the parts of an ip, the digits of a number."""
     text = text.lower()
     if KINDS[kind] == "email":
-        return text if "@" in text else _DOT_SIGN.sub(".", _AT_SIGN.sub("@", text, count=1))
+        return text.replace("\uff20", "@") if "@" in text or "\uff20" in text else _DOT_SIGN.sub(".", _AT_SIGN.sub("@", text, count=1))
     if KINDS[kind] == "ip":
         return (":" if ":" in text else ".").join(part.lstrip("0") or "0" for part in re.findall("[0-9a-f]+", text))
     # 00 is how + is dialled
@@ -141,9 +151,14 @@ def join_spans(spans: list[tuple[int, int, int]]) -> str:
 _FOUND = "array<struct<kind:int,start:long,end:long,seed:boolean,instance:string,before:string,after:string>>"
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that stand for an id and a text."""
+    return F.struct(*(F.xxhash64(F.lit(k), id_col, text_col).alias(f"h{k}") for k in range(2)))
+
+
 def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (a hash of id and text) and found: base matches (seeds) and candidates of each text, with their contexts."""
-    df = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    df = df.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     fields = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.string()), ("before", pa.string()), ("after", pa.string())]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +176,7 @@ def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             found = pa.array(out, pa.list_(pa.struct(fields)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), found], names=["doc_id", "row", "found"])
 
-    return df.mapInArrow(find, f"doc_id {dict(df.dtypes)['doc_id']}, row long, found {_FOUND}")
+    return df.mapInArrow(find, f"doc_id {dict(df.dtypes)['doc_id']}, row struct<h0:long,h1:long>, found {_FOUND}")
 
 
 def edges(found: DataFrame) -> DataFrame:
@@ -172,33 +187,47 @@ def edges(found: DataFrame) -> DataFrame:
     return flat.groupBy(F.xxhash64("kind", "s.side", "s.words").alias("pattern"), "kind", "instance", "seed").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _patterns(held: DataFrame, open_edges: DataFrame, scores: DataFrame) -> DataFrame:
+    """pattern and value of those that count, given the scores of instances."""
+    more = open_edges.join(scores, ["kind", "instance"]).groupBy("pattern").agg(F.sum(F.col("w") * F.col("score")).alias("more"))
+    value = (F.col("good") + F.coalesce("more", F.lit(0.0)) + PRIOR_WEIGHT * PRIOR) / (F.col("all") + PRIOR_WEIGHT)
+    out = held.join(more, "pattern", "left").where(f"all >= {SUPPORT}").withColumn("value", value)
+    return out.where((F.col("good") > 0) | (F.col("value") > PRIOR)).select("pattern", "value")
+
+
+def _instances(open_edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least("value", F.lit(0.999)))))
+    return open_edges.join(patterns, "pattern").groupBy("kind", "instance").agg((F.lit(1.0) - doubt).alias("score"))
+
+
 def score_instances(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """kind, instance, score of the instances that are not (or not only) seeds; 1 for those that are seeds elsewhere.
 
     In a pattern's mean each instance weighs by the logarithm of its count, so that copies of a text count little; each
     round is a grouped mean by pattern, a join and a grouped product by instance.
     """
+    spark = graph.sparkSession
     graph = spill(graph, "graph")
     sure = graph.where("not seed").select("kind", "instance").distinct().join(graph.where("seed"), ["kind", "instance"], "left_semi")
     sure = spill(sure.withColumn("sure", F.lit(True)), "sure-instances")
-    graph = graph.join(sure, ["kind", "instance"], "left").withColumn("seed", F.col("seed") | F.coalesce("sure", F.lit(False)))
-    graph = graph.groupBy("pattern", "kind", "instance", "seed").agg(F.sum("n").alias("n"))
-    graph = spill(graph.withColumn("w", F.log1p("n")), "known-graph")
-    open_edges = graph.where("not seed")
-    scores = open_edges.select("kind", "instance").distinct().withColumn("score", F.lit(0.0))
+    known = graph.join(sure, ["kind", "instance"], "left").withColumn("seed", F.col("seed") | F.coalesce("sure", F.lit(False)))
+    known = known.groupBy("pattern", "kind", "instance", "seed").agg(F.sum("n").alias("n"))
+    known = spill(known.withColumn("w", F.log1p("n")), "known-graph")
+    discard(graph)
+    open_edges = known.where("not seed")
     # what seeds add to a pattern never changes; patterns that meet only seeds score nothing
     good = F.sum(F.when(F.col("seed"), F.col("w")).otherwise(0.0))
-    held = graph.groupBy("pattern").agg(good.alias("good"), F.sum("w").alias("all"), F.bool_or(~F.col("seed")).alias("open"))
+    held = known.groupBy("pattern").agg(good.alias("good"), F.sum("w").alias("all"), F.bool_or(~F.col("seed")).alias("open"))
     held = spill(held.where("open").drop("open"), "patterns")
+    scores, total = None, 0.0
     for _ in range(rounds):
-        scored = open_edges.join(scores, ["kind", "instance"])
-        more = scored.groupBy("pattern").agg(F.sum(F.col("w") * F.col("score")).alias("more"))
-        value = (F.col("good") + F.coalesce("more", F.lit(0.0)) + PRIOR_WEIGHT * PRIOR) / (F.col("all") + PRIOR_WEIGHT)
-        patterns = held.join(more, "pattern", "left").where(f"all >= {SUPPORT}").withColumn("value", value)
-        patterns = spill(patterns.where((F.col("good") > 0) | (F.col("value") > PRIOR)).select("pattern", "value"), "pattern-scores")
-        doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least("value", F.lit(0.999)))))
-        scores = open_edges.join(patterns, "pattern").groupBy("kind", "instance").agg((F.lit(1.0) - doubt).alias("score"))
-        scores = spill(scores, "instance-scores")
+        last = open_edges.select("kind", "instance").distinct().withColumn("score", F.lit(0.0)) if scores is None else scores
+        found = settled(spark, lambda last=last: _instances(open_edges, spill(_patterns(held, open_edges, last), "pattern-scores")), "instance-scores")
+        if scores is not None:
+            discard(scores)
+        scores, before, total = found, total, found.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        if total - before <= GROWTH * total:
+            break
     return scores.unionByName(sure.select("kind", "instance", F.lit(1.0).alias("score")))
 
 
@@ -206,14 +235,16 @@ _SPAN = "array<struct<start:long,kind:int,end:long>>"
 
 
 def added_spans(found: DataFrame, take: float = TAKE) -> DataFrame:
-    """row and added: the candidates whose instance scores ``take`` or more, of the rows that have any. Seeds score 1, also where a
-    candidate has no context."""
+    """row and added: the candidates whose instance scores ``take`` or more, of overlapping ones the first, of the rows that have any.
+    Seeds score 1, also where a candidate has no context."""
     taken = score_instances(edges(found)).where(F.col("score") >= take).select("kind", "instance")
     seeds = found.select(F.explode(F.filter("found", lambda o: o["seed"])).alias("o")).select("o.kind", "o.instance")
     taken = taken.unionByName(seeds.where(F.lit(1.0) >= take))
     each = found.select("row", F.explode(F.filter("found", lambda o: ~o["seed"])).alias("o")).select("row", "o.*")
     each = each.join(taken, ["kind", "instance"], "left_semi")
-    return each.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).cast(_SPAN).alias("added"))
+    found = each.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).cast(_SPAN).alias("found"))
+    apart = f"aggregate(found, cast(array() as {_SPAN}), (kept, s) -> if(size(kept) = 0 or get(kept, size(kept) - 1).end <= s.start, concat(kept, array(s)), kept))"
+    return found.select("row", F.expr(apart).alias("added"))
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", take: float = TAKE) -> DataFrame:
@@ -252,7 +283,7 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", take: fl
     """df with every span of its text masked; null texts stay null."""
     found = spill(occurrences(df, id_col, text_col), "occurrences")
     added = spill(added_spans(found, take).withColumnRenamed("row", "__row").withColumnRenamed("added", "__added"), "added-spans")
-    joined = df.withColumn("__row", F.xxhash64(id_col, text_col)).join(added, "__row", "left").drop("__row")
+    joined = df.withColumn("__row", row_key(id_col, text_col)).join(added, "__row", "left").drop("__row")
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
