@@ -3,7 +3,8 @@
 A logistic classifier on a document's shape (pairs of character classes, lengths, repetition) gives its own evidence. Sites form
 two levels, host and path. Each level's mean quality (labels where there are any, else the classifier's estimates) is shrunk
 towards the level above, by a strength that the spread of all sites' means gives: sparse sites stay near the global mean. The
-document's log odds and its path's, relative to the global mean, add up.
+document's log odds and its path's, relative to the global mean, add up. Sites are summed in folds by a hash of the document's id, and
+a document's site leaves out its own fold, so that neither its own estimate nor its label counts a second time.
 
 Nulls and ties: a null text is empty; a null host or path is one of its own (empty). Several labels of a document are averaged; null
 labels are left out. With no label, or labels of one kind only, the classifier is a constant and everything gets that
@@ -29,6 +30,8 @@ RIDGE, STEPS = 1.0, 12
 #: Bounds of the strength of a level's prior, in documents.
 WEAKEST, STRONGEST = 2.0, 1000.0
 KEEP = 0.5
+#: Folds of documents that a site's statistics leave out.
+FOLDS = 16
 
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".,;:?'\"-()", "!#$%&*+/<=>@[\\]^_`{|}~")
 #: Class of each byte; bytes of characters beyond ASCII count as lower-case letters, control characters as the last class.
@@ -123,11 +126,17 @@ def strength(between: float | None, within: float) -> float:
     return STRONGEST if not between or between <= 0 else min(STRONGEST, max(WEAKEST, within / between - 1))
 
 
+def fold_of(id_col: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(id_col, F.lit(9)), F.lit(FOLDS)).cast("int")
+
+
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """host, path, p_host, p_path of every path, and the global mean."""
+    """host, path, fold, p_host, p_path for the documents of each path and fold, from all others; and the global mean."""
     good = F.coalesce("y", 1 / (1 + F.exp(-F.col("log_odds"))))
-    paths = spill(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("k")), "paths")
-    hosts = spill(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk")), "hosts")
+    folds = spill(scored.groupBy("host", "path", fold_of().alias("fold")).agg(F.count(F.lit(1)).alias("fn"), F.sum(good).alias("fk")), "site-folds")
+    host_folds = spill(folds.groupBy("host", "fold").agg(F.sum("fn").alias("hfn"), F.sum("fk").alias("hfk")), "host-folds")
+    paths = spill(folds.groupBy("host", "path").agg(F.sum("fn").alias("n"), F.sum("fk").alias("k")), "paths")
+    hosts = spill(host_folds.groupBy("host").agg(F.sum("hfn").alias("hn"), F.sum("hfk").alias("hk")), "hosts")
     total = hosts.agg(F.sum("hn").alias("n"), F.sum("hk").alias("k"), F.count(F.lit(1)).alias("sites")).first()
     mean = min(1 - 1e-4, max(1e-4, total["k"] / total["n"])) if total["n"] else 0.5
     spread = mean * (1 - mean)
@@ -135,13 +144,14 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     over = hosts.agg(F.sum(F.col("hn") * F.pow(F.col("hk") / F.col("hn") - mean, 2)).alias("v")).first()["v"]
     between = (over - spread * (total["sites"] - 1)) / total["n"] if total["n"] else None
     s_host = strength(between, spread)
-    hosts = hosts.withColumn("p_host", (F.col("hk") + s_host * mean) / (F.col("hn") + s_host))
-    both = paths.join(hosts, "host")
+    both = spill(paths.join(hosts, "host"), "paths-of-hosts")
     inner = both.agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("hk") / F.col("hn"), 2)).alias("v"), F.count(F.lit(1)).alias("c")).first()
     within = (inner["v"] - spread * (inner["c"] - total["sites"])) / total["n"] if total["n"] else None
     s_path = strength(within, spread)
-    both = both.withColumn("p_path", (F.col("k") + s_path * F.col("p_host")) / (F.col("n") + s_path))
-    return spill(both.select("host", "path", "p_host", "p_path"), "sites"), mean
+    out = folds.join(both, ["host", "path"]).join(host_folds, ["host", "fold"])
+    out = out.withColumn("p_host", (F.col("hk") - F.col("hfk") + s_host * mean) / (F.col("hn") - F.col("hfn") + s_host))
+    out = out.withColumn("p_path", (F.col("k") - F.col("fk") + s_path * F.col("p_host")) / (F.col("n") - F.col("fn") + s_path))
+    return spill(out.select("host", "path", "fold", "p_host", "p_path"), "sites"), mean
 
 
 def log_odds_of(p: Column | float) -> Column | float:
@@ -166,18 +176,20 @@ def learn(df: DataFrame, labels: DataFrame, host: Column, path: Column, id_col:
 
 
 def classify(df: DataFrame, labels: DataFrame, host: Column, path: Column, **names) -> DataFrame:
-    """doc_id, p_document, p_host, p_path, p_quality and keep (p_quality of KEEP or more) of every row."""
+    """doc_id, p_document, p_host, p_path, p_quality, keep (p_quality of KEEP or more) and changed (whether the site decides that, and not
+    the document alone) of every row."""
     _, scored, sites, mean = learn(df, labels, host, path, **names)
-    out = scored.join(sites, ["host", "path"]).withColumn("p_quality", posterior(F.col("log_odds"), F.col("p_path"), mean))
+    out = scored.withColumn("fold", fold_of()).join(sites, ["host", "path", "fold"]).withColumn("p_quality", posterior(F.col("log_odds"), F.col("p_path"), mean))
     own = 1 / (1 + F.exp(-F.col("log_odds")))
-    return out.select("doc_id", own.alias("p_document"), "p_host", "p_path", "p_quality", (F.col("p_quality") >= KEEP).alias("keep"))
+    keep = F.col("p_quality") >= KEEP
+    return out.select("doc_id", own.alias("p_document"), "p_host", "p_path", "p_quality", keep.alias("keep"), (keep != (own >= KEEP)).alias("changed"))
 
 
-def keep_good(df: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str = "text", **names) -> DataFrame:
-    """The rows of df with p_quality of KEEP or more. Texts are scored again, where they are, and never shuffled by key."""
-    model, _, sites, mean = learn(df, labels, host, path, text_col=text_col, **names)
+def keep_good(df: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """The rows of df with p_quality of KEEP or more. Texts are scored again, where they are, and never shuffled by document."""
+    model, _, sites, mean = learn(df, labels, host, path, id_col=id_col, text_col=text_col, **names)
     empty = F.lit("")
-    marked = df.withColumn("__host", F.coalesce(host.cast("string"), empty)).withColumn("__path", F.coalesce(path.cast("string"), empty))
+    marked = df.withColumn("__host", F.coalesce(host.cast("string"), empty)).withColumn("__path", F.coalesce(path.cast("string"), empty)).withColumn("__fold", fold_of(id_col))
     columns = marked.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +198,6 @@ def keep_good(df: DataFrame, labels: DataFrame, host: Column, path: Column, text
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.log_odds(x), pa.float64())], names=[*columns, "__log_odds"])
 
     scored = marked.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in marked.dtypes) + ", `__log_odds` double")
-    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("p_path").alias("__p_path"))
-    joined = scored.join(sites, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")))
-    return joined.where(posterior(F.col("__log_odds"), F.col("__p_path"), mean) >= KEEP).select(*df.columns)
+    sites = sites.select(*(F.col(c).alias(f"__s_{c}") for c in ("host", "path", "fold", "p_path")))
+    same = [F.col(f"__{c}") == F.col(f"__s_{c}") for c in ("host", "path", "fold")]
+    return scored.join(sites, same).where(posterior(F.col("__log_odds"), F.col("__s_p_path"), mean) >= KEEP).select(*df.columns)

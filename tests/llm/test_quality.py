@@ -29,22 +29,85 @@ def test_held_out_labels(spark, sf, docs):
     assert right >= 0.95
 
 
+def brute_sites(rows, fold):
+    """(host, path, fold) to (p_host, p_path), and the mean; rows: (id, host, path, y, log odds)."""
+    good = {r[0]: r[3] if r[3] is not None else 1 / (1 + np.exp(-r[4])) for r in rows}
+    m, v = np.mean(list(good.values())), None
+    v = m * (1 - m)
+
+    def grouped(key):
+        out = {}
+        for r in rows:
+            out.setdefault(key(r), []).append(r[0])
+        return out
+
+    hosts, paths = grouped(lambda r: r[1]), grouped(lambda r: (r[1], r[2]))
+    at = lambda ids: np.mean([good[i] for i in ids])
+    between = (sum(len(g) * (at(g) - m) ** 2 for g in hosts.values()) - v * (len(hosts) - 1)) / len(rows)
+    within = (sum(len(g) * (at(g) - at(hosts[h])) ** 2 for (h, _), g in paths.items()) - v * (len(paths) - len(hosts))) / len(rows)
+    s_host, s_path = quality.strength(between, v), quality.strength(within, v)
+    out = {}
+    for r in rows:
+        others = [i for i in hosts[r[1]] if fold[i] != fold[r[0]]]
+        p_host = (sum(good[i] for i in others) + s_host * m) / (len(others) + s_host)
+        own = [i for i in paths[r[1], r[2]] if fold[i] != fold[r[0]]]
+        out[r[1], r[2], fold[r[0]]] = p_host, (sum(good[i] for i in own) + s_path * p_host) / (len(own) + s_path)
+    return out, m
+
+
 def test_posteriors_match_brute_force(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, f"h{i % 5}", f"h{i % 5}/{i % 3}", float(rng.random() < 0.2 + 0.15 * (i % 5)), 0.0) for i in range(400)] + [(999, "lone", "lone/x", None, 2.0)]
-    sites, mean = quality.site_posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, y double, log_odds double"))
-    good = {r[0]: r[3] if r[3] is not None else 1 / (1 + np.exp(-r[4])) for r in rows}
-    m = np.mean(list(good.values()))
+    rows = [(i, f"h{i % 5}", f"h{i % 5}/{i % 3}", [float(rng.random() < 0.2 + 0.15 * (i % 5)), None][i % 7 == 0], float(rng.normal())) for i in range(400)] + [(999, "lone", "lone/x", None, 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, path string, y double, log_odds double")
+    sites, mean = quality.site_posteriors(df)
+    fold = {r["doc_id"]: r["f"] for r in df.select("doc_id", quality.fold_of().alias("f")).collect()}
+    want, m = brute_sites(rows, fold)
     assert abs(mean - m) < 1e-12
-    hosts = {h: [good[r[0]] for r in rows if r[1] == h] for h in {r[1] for r in rows}}
-    v = m * (1 - m)
-    between = (sum(len(g) * (np.mean(g) - m) ** 2 for g in hosts.values()) - v * (len(hosts) - 1)) / len(rows)
-    s = quality.strength(between, v)
-    for r in sites.collect():
-        g = hosts[r["host"]]
-        assert abs(r["p_host"] - (sum(g) + s * m) / (len(g) + s)) < 1e-9
-    lone = sites.where("host = 'lone'").first()
-    assert abs(lone["p_path"] - m) < abs(good[999] - m)  # sparse sites stay near the global mean
+    got = {(r["host"], r["path"], r["fold"]): (r["p_host"], r["p_path"]) for r in sites.collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    assert abs(want["lone", "lone/x", fold[999]][1] - m) < 1e-9  # a site of one document says nothing of it
+
+
+def test_classify_matches_brute_force(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    site = (F.col("source"), F.concat_ws("/", "source", "lang"))
+    model, scored, _, _ = quality.learn(docs, labels, *site)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [(r["doc_id"], r["host"], r["path"], r["y"], r["log_odds"]) for r in scored.collect()]
+    assert all(r[3] == known.get(r[0]) and abs(r[4] - model.log_odds(quality.features(texts[r[0]])[None])[0]) < 1e-5 for r in rows)
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", quality.fold_of().alias("f")).collect()}
+    sites, m = brute_sites(rows, fold)
+    where = {r[0]: r for r in rows}
+    for r in quality.classify(docs, labels, *site).collect():
+        _, host, path, _, odds = where[r["doc_id"]]
+        p_host, p_path = sites[host, path, fold[r["doc_id"]]]
+        clipped = min(1 - 1e-4, max(1e-4, p_path))
+        p = 1 / (1 + np.exp(-(odds + np.log(clipped / (1 - clipped)) - np.log(m / (1 - m)))))
+        own = 1 / (1 + np.exp(-odds))
+        assert np.allclose([r["p_document"], r["p_host"], r["p_path"], r["p_quality"]], [own, p_host, p_path, p], atol=1e-6)
+        assert r["keep"] == (r["p_quality"] >= 0.5) and r["changed"] == (r["keep"] != (r["p_document"] >= 0.5))
+
+
+def test_sparse_sites_help_where_texts_say_little(spark):
+    """Sites of 2 to 30 documents whose quality differs, texts that hint at it: with their sites, held-out labels are met more often."""
+    rng, rows, labels = np.random.default_rng(7), [], []
+    for host in range(60):
+        level = rng.beta(0.7, 0.7)
+        for path in range(rng.integers(1, 4)):
+            share = np.clip(level + rng.normal(0, 0.1), 0.02, 0.98)
+            for _ in range(rng.integers(2, 11)):
+                good, doc = int(rng.random() < share), len(rows)
+                shouts = rng.random() < (0.35 if good else 0.65)
+                rows.append((doc, ("SO LOUD!!! " if shouts else "quite calm words ") * 5, f"h{host}", f"h{host}/{path}"))
+                labels.append((doc, good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    known = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, quality int")
+    truth = dict(labels)
+    found = [r for r in quality.classify(docs, known, F.col("host"), F.col("path")).collect() if r["doc_id"] % 2 == 0]
+    alone = np.mean([(r["p_document"] >= 0.5) == truth[r["doc_id"]] for r in found])
+    with_site = np.mean([r["keep"] == truth[r["doc_id"]] for r in found])
+    assert with_site >= alone + 0.05 and sum(r["changed"] for r in found) > 20
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
