@@ -50,13 +50,22 @@ def session(df: DataFrame, gap_ms: int, keys: Sequence[Column | str], aggregates
     return _finish(_timed(df).groupBy(window, *keys).agg(*aggregates), F.unix_millis("window.end") - gap_ms)
 
 
-def late_classes(df: DataFrame, delay_ms: int = 5000, grace_ms: int = 5000) -> DataFrame:
+def late_classes(df: DataFrame, delay_ms: int = 5000, grace_ms: int = 5000, span: int = 1 << 20) -> DataFrame:
     """df with the watermark (the largest time so far in the partition, by offset, less the delay) and the class of each record:
-    on_time at or after the watermark that stood before it, late within the grace, too_late beyond."""
+    on_time at or after the watermark that stood before it, late within the grace, too_late beyond.
+
+    A partition is read in spans of offsets, each in a task of its own, after the largest time of each span is known.
+    """
     from pyspark.sql import Window
 
-    before = Window.partitionBy("topic", "partition").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("watermark", F.max("timestamp").over(before) - delay_ms)
+    keys, names = ["topic", "partition", "__span"], df.columns
+    df = df.withColumn("__span", F.floor(F.col("offset") / span))
+    most = df.groupBy(*keys).agg(F.max("timestamp").alias("__most"))
+    earlier = Window.partitionBy("topic", "partition").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    most = most.withColumn("__earlier", F.max("__most").over(earlier)).drop("__most")
+    before = Window.partitionBy(*keys).orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    largest = F.greatest(F.max("timestamp").over(before), F.col("__earlier"))
+    df = df.join(most, keys).withColumn("watermark", largest - delay_ms).select(*names, "watermark")
     lag = F.col("watermark") - F.col("timestamp")
     return df.withColumn("lateness", F.when(lag.isNull() | (lag <= 0), "on_time").when(lag <= grace_ms, "late").otherwise("too_late"))
 

@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from eventlake.errors import OffsetNotFound
 from eventlake.model import COLUMNS, partition_of_key
+from eventlake.operators.numbering import by_running_number, numbered
 
 
-def write_topic(df: DataFrame, path: str, mode: str = "append", bloom_on_key: bool = True) -> None:
+#: Offsets of a partition that one task sorts and writes.
+SPAN = 1 << 20
+
+
+def by_offset_span(df: DataFrame, span: int = SPAN) -> DataFrame:
+    """Records laid out by topic, partition and span of offsets, sorted; a partition of any size takes as many tasks as it has spans."""
+    return df.repartition("topic", "partition", F.floor(F.col("offset") / span)).sortWithinPartitions("topic", "partition", "offset")
+
+
+def write_topic(df: DataFrame, path: str, mode: str = "append", bloom_on_key: bool = True, span: int = SPAN) -> None:
     """Write records by partition, sorted by offset, so that footers prune by partition, offset and time; with a bloom filter on keys."""
-    writer = df.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset").write.mode(mode)
+    writer = by_offset_span(df, span).write.mode(mode)
     if bloom_on_key:
         writer = writer.option("parquet.bloom.filter.enabled#key", "true")
     writer.partitionBy("topic", "partition").parquet(path)
@@ -28,24 +38,19 @@ def read_lines(spark: SparkSession, path: str, topic: str, partition: int = 0, b
 
     Offsets follow the order of lines in each file, files in the order of their names.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    # a split of a file is read in order by one task, so that its lines have running numbers
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__at")
+    )
     ok = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
     inner = F.get_json_object("value", "$.value")
-    shaped = lines.select(
-        "file", "at",
+    out = by_running_number(lines, [], F.struct("file", "block"), "place").select(
+        F.lit(topic).alias("topic"), F.lit(partition).alias("partition"), (F.col("place") + base_offset).alias("offset"),
         F.when(ok, F.get_json_object("value", "$.key")).alias("key"),
         F.when(ok & inner.isNotNull(), inner).otherwise(F.col("value")).alias("value"),
         F.coalesce(F.when(ok, F.expr("try_cast(get_json_object(value, '$.timestamp') as bigint)")), F.lit(created_at).cast("long")).alias("timestamp"),
     )
-    from pyspark.sql import Window
-
-    # rows before each file come from an aggregate with a row for each file, so that lines are numbered file by file
-    counts = shaped.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
-    out = shaped.withColumn("rank", rank).join(before, "file")
-    offset = (F.col("rank") + F.col("before") + base_offset).cast("long")
-    return out.select(F.lit(topic).alias("topic"), F.lit(partition).alias("partition"), offset.alias("offset"), "key", "value", "timestamp")
+    return out
 
 
 def consume(df: DataFrame, partition: int, offset: int = 0, max_records: int = 100, strict: bool = False) -> DataFrame:
@@ -58,11 +63,9 @@ def consume(df: DataFrame, partition: int, offset: int = 0, max_records: int = 1
 
 def produce(df: DataFrame, topic: str, partitions: int, ends: dict[int, int] | None = None) -> DataFrame:
     """Rows (key, value, timestamp, and optionally partition) as records after the ends of a topic's partitions."""
-    from pyspark.sql import Window
-
     given = F.col("partition") if "partition" in df.columns else F.lit(None).cast("int")
-    df = df.withColumn("__p", F.coalesce(given, partition_of_key("key", partitions)))
+    df = df.withColumn("__p", F.coalesce(given, partition_of_key("key", partitions, F.xxhash64("timestamp", "value"))))
     start = F.create_map(*[F.lit(x) for p, n in (ends or {-1: 0}).items() for x in (p, n)])
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy("timestamp", "key", "value")) - 1
-    offset = F.coalesce(F.try_element_at(start, F.col("__p")), F.lit(0)) + rank
-    return df.select(F.lit(topic).alias("topic"), F.col("__p").alias("partition"), offset.cast("long").alias("offset"), "key", "value", "timestamp")
+    placed = numbered(df, ["__p"], ["timestamp", "key", "value"], "__place")
+    offset = F.coalesce(F.try_element_at(start, F.col("__p")), F.lit(0)) + F.col("__place")
+    return placed.select(F.lit(topic).alias("topic"), F.col("__p").alias("partition"), offset.cast("long").alias("offset"), "key", "value", "timestamp")
