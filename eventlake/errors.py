@@ -49,3 +49,13 @@ class IncompatibleSchema(EngineError):
 
 class SharedFolderUnset(EngineError):
     """A cluster's session that names no folder which driver and executors share."""
+
+
+class DeliveryFailed(EngineError):
+    """A sink's records that were not taken; their batch does not count as delivered."""
+
+    status = 502
+
+
+class CheckpointNotFound(EngineError):
+    status = 404

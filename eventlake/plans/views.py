@@ -1,9 +1,11 @@
-"""Materialized views: aggregates of a topic, kept as mergeable parts, so that refreshing reads new records only.
-
-A view's table holds one row per group and window with parts of each aggregate: counts and sums add up, minima and maxima combine,
-first and last carry their order. For a distinct count, the values of each group are rows of a second table, so that no
-group's values are ever held in one row. Reading finishes the parts. Each refresh writes a new version and then moves the
-view's pointer and offsets together.
+"""Materialized views: aggregates of a topic, kept as mergeable parts, so that refreshing reads and writes new records only.
+
+A view's table is a list of segments. Each refresh appends one: a row per group and window of the new records with parts of each
+aggregate (counts and sums add up, minima and maxima combine, first and last carry their order). For a distinct count,
+the values of each group are rows of a second table, so that no group's values are ever held in one row. Reading merges the segments
+and finishes the parts. Segments of like size are merged from time to time, so that their number grows with the logarithm of the
+records and each row is rewritten as often. The registry moves a view's segments and offsets together; segments that were
+merged stay for one more refresh, for those who read them.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from eventlake.errors import InvalidQuery, ViewAlreadyExists, ViewNotFound
 from eventlake.operators.aggs import ORDER
-from eventlake.session import complete
+from eventlake.session import complete, delete
 
 MODES = {"continuous": "continuous", "stream": "continuous", "streaming": "continuous", "manual": "manual", "on_demand": "manual", "periodic": "periodic", "scheduled": "periodic"}
 DEFAULT_INTERVAL_MS = 5 * 60 * 1000
@@ -102,7 +104,9 @@ def tumbling_key(size_ms: int) -> list[Column]:
 
 
 #: What is stored of a view.
-SAVED = ("name", "topic", "sql", "mode", "interval_ms", "id", "status", "error", "created_at", "last_refresh_at", "version", "offsets")
+SAVED = ("name", "topic", "sql", "mode", "interval_ms", "id", "status", "error", "created_at", "last_refresh_at", "version", "offsets", "segments", "retired")
+#: Segments of like size that are merged into one.
+TIER = 4
 
 
 @dataclass
@@ -124,6 +128,9 @@ class View:
     last_refresh_at: int | None = None
     version: int = 0
     offsets: dict[str, int] = field(default_factory=dict)
+    #: number and rows of each segment, the oldest first; numbers of segments that no longer count
+    segments: list[list[int]] = field(default_factory=list)
+    retired: list[int] = field(default_factory=list)
 
     @property
     def mode_text(self) -> str:
@@ -154,32 +161,39 @@ class Views:
         return view
 
     def drop(self, name: str) -> None:
-        del self.views[self.get(name).name]
+        view = self.get(name)
+        del self.views[view.name]
+        delete(self.spark, f"{self.root}/{view.id}")
 
     def due(self, now_ms: int) -> list[View]:
         """Views that the maintainer refreshes now: continuous ones, and periodic ones whose interval has passed."""
         return [v for v in self.views.values() if v.mode == "continuous" or (v.mode == "periodic" and (v.last_refresh_at is None or now_ms - v.last_refresh_at >= v.interval_ms))]
 
-    def path(self, view: View, version: int | None = None) -> str:
-        return f"{self.root}/{view.id}/v{view.version if version is None else version}"
+    def path(self, view: View, number: int) -> str:
+        return f"{self.root}/{view.id}/s{number}"
 
     def refresh(self, name: str, source: DataFrame, query=None, now_ms: int | None = None) -> View:
         """Bring a view up to date with a topic's records. Only offsets beyond those merged before are read."""
         view = self.get(name)
         try:
+            gone, view.retired = view.retired, []
             if view.aggregates:
-                self._merge(view, source)
+                self._append(view, source)
             else:
                 query().write.mode("overwrite").parquet(self.path(view, view.version + 1))
-                view.version += 1
+                view.version, view.retired = view.version + 1, [n for n, _ in view.segments]
+                view.segments = [[view.version, self._count(view, view.version)]]
             view.status, view.error = "running", None
         except Exception as e:
-            view.status, view.error = "error", str(e).split("\n")[0]
+            view.status, view.error, view.retired = "error", str(e).split("\n")[0], gone
             raise
+        values = [self._values(view, a, n) for n in gone for a in view.aggregates if a.kind == "count_distinct"]
+        delete(self.spark, *[self.path(view, n) for n in gone], *values)
         view.last_refresh_at = int(time.time() * 1000) if now_ms is None else now_ms
         return view
 
-    def _merge(self, view: View, source: DataFrame) -> None:
+    def _append(self, view: View, source: DataFrame) -> None:
+        """A segment of the records beyond those merged before; then merges of segments of like size."""
         seen = F.create_map(*[F.lit(x) for p, o in view.offsets.items() for x in (int(p), o)]) if view.offsets else None
         fresh = source if seen is None else source.where(F.col("offset") >= F.coalesce(F.try_element_at(seen, F.col("partition")), F.lit(0)))
         # what is merged is fixed first: records that arrive meanwhile wait for the next refresh
@@ -189,41 +203,71 @@ class Views:
         if ends:
             limit = F.create_map(*[F.lit(x) for p, o in ends.items() for x in (int(p), o)])
             fresh = fresh.where(F.col("offset") < F.try_element_at(limit, F.col("partition")))
-        parts = partial(fresh, view.keys, view.aggregates)
-        names = parts.columns[: len(view.keys)]
-        if view.version:
-            parts = merge(self.spark.read.parquet(self.path(view)).unionByName(parts), names, view.aggregates)
-        parts.write.mode("overwrite").parquet(self.path(view, view.version + 1))
+        values = {a.name: distinct_values(fresh, view.keys, a) for a in view.aggregates if a.kind == "count_distinct"}
+        segment = self._write(view, partial(fresh, view.keys, view.aggregates), values)
+        view.segments, view.offsets = [*view.segments, segment], view.offsets | ends
+        tail = self._tier([rows for _, rows in view.segments])
+        if tail > 1:
+            old = [n for n, _ in view.segments[-tail:]]
+            segment = self._write(view, *self._merged(view, old))
+            view.segments, view.retired = [*view.segments[:-tail], segment], old
+
+    @staticmethod
+    def _tier(rows: list[int]) -> int:
+        """How many of the newest segments to merge: those that are no larger than all newer ones together, once they are TIER."""
+        tail, newer = 1, rows[-1]
+        while tail < len(rows) and rows[-tail - 1] <= newer:
+            newer += rows[-tail - 1]
+            tail += 1
+        return tail if tail >= TIER else 1
+
+    def _write(self, view: View, parts: DataFrame, values: dict[str, DataFrame]) -> list[int]:
+        """Write a segment; returns its number and rows."""
+        view.version += 1
+        parts.write.mode("overwrite").parquet(self.path(view, view.version))
         for a in view.aggregates:
-            if a.kind == "count_distinct":
-                values = distinct_values(fresh, view.keys, a)
-                if view.version:
-                    values = self.spark.read.parquet(self._values(view, a)).unionByName(values).distinct()
-                values.write.mode("overwrite").parquet(self._values(view, a, view.version + 1))
-        view.version, view.offsets = view.version + 1, view.offsets | ends
+            if a.name in values:
+                values[a.name].write.mode("overwrite").parquet(self._values(view, a, view.version))
+        return [view.version, self._count(view, view.version)]
+
+    def _count(self, view: View, number: int) -> int:
+        """Rows of a segment, from the files' footers."""
+        return self.spark.read.parquet(self.path(view, number)).count()
+
+    def _merged(self, view: View, numbers: Sequence[int]) -> tuple[DataFrame, dict[str, DataFrame]]:
+        """Parts of segments, a row a group, and the distinct values of each distinct count."""
+        parts = self.spark.read.parquet(*[self.path(view, n) for n in numbers])
+        names = [c for c in parts.columns if "__" not in c]
+        if len(numbers) > 1:
+            parts = merge(parts, names, view.aggregates)
+        values = {a.name: self.spark.read.parquet(*[self._values(view, a, n) for n in numbers]) for a in view.aggregates if a.kind == "count_distinct"}
+        return parts, {n: v.distinct() if len(numbers) > 1 else v for n, v in values.items()}
 
     def read(self, name: str) -> DataFrame:
         """The view's rows. A view that was never refreshed has none."""
         view = self.get(name)
         if not view.version:
             raise InvalidQuery(f"view {name} has not been refreshed yet")
-        stored = self.spark.read.parquet(self.path(view))
+        numbers = [n for n, _ in view.segments]
         if not view.aggregates:
-            return stored
+            return self.spark.read.parquet(self.path(view, numbers[-1]))
+        stored, values = self._merged(view, numbers)
         names = [c for c in stored.columns if "__" not in c]
-        for a in view.aggregates:
-            if a.kind == "count_distinct":
-                counts = self.spark.read.parquet(self._values(view, a)).groupBy(*names).agg(F.count(F.lit(1)).alias(f"{a.name}__d"))
-                counts = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], f"{a.name}__d")
-                same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)]
-                stored = stored.join(counts, same, "left").drop(*[f"__k{i}" for i in range(len(names))])
+        for name, found in values.items():
+            counts = found.groupBy(*names).agg(F.count(F.lit(1)).alias(f"{name}__d"))
+            counts = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], f"{name}__d")
+            same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)]
+            stored = stored.join(counts, same, "left").drop(*[f"__k{i}" for i in range(len(names))])
         return finish(stored, names, view.aggregates)
 
-    def _values(self, view: View, aggregate: Aggregate, version: int | None = None) -> str:
-        return f"{self.path(view, version)}-values-{aggregate.name}"
+    def _values(self, view: View, aggregate: Aggregate, number: int) -> str:
+        return f"{self.path(view, number)}-values-{aggregate.name}"
 
     def rows(self, view: View) -> int:
-        return self.spark.read.parquet(self.path(view)).count() if view.version else 0
+        if len(view.segments) < 2:
+            return sum(rows for _, rows in view.segments)
+        parts = self.spark.read.parquet(*[self.path(view, n) for n, _ in view.segments])
+        return parts.select(*[c for c in parts.columns if "__" not in c]).distinct().count()
 
     def show(self) -> DataFrame:
         rows = [(v.name, v.topic, v.mode_text, v.status, self.rows(v)) for v in sorted(self.views.values(), key=lambda v: v.name)]

@@ -244,3 +244,56 @@ def test_arrows_and_lambdas(spark, tmp_path):
     engine = engine_of(spark, tmp_path, t=records(spark, [(0, 0, "k", {"a": [3, 4], "b": {"c": "z"}}, 0)]))
     assert rows(engine, "SELECT value->'a'->>0 AS x, value->'b'->>'c' AS y FROM t") == [("3", "z")]
     assert rows(engine, "SELECT transform(array(1L, 2L), x -> x + 1L) AS v, aggregate(array(1, 2), 0, (a, x) -> a + x) AS s, 1.5BD AS d, transform(array(5), x -> 1) AS o FROM t")[0][:2] == ([2, 3], 3)
+
+
+def test_views_grow_by_segments(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    sql = "SELECT key, COUNT(*) AS n, SUM('$.x') AS s, COUNT(DISTINCT '$.x') AS d, FIRST('$.x') AS f, LAST('$.x') AS l FROM t GROUP BY TUMBLE(timestamp, INTERVAL '1 minute'), key"
+    engine, made, seen = engine_of(spark, tmp_path, t=records(spark, [])), [], []
+    engine.sql(f"CREATE MATERIALIZED VIEW v WITH (refresh_mode = 'manual') AS {sql}")
+    view = engine.views.get("v")
+    for step in range(9):
+        made += [(0, len(made) + i, f"k{i % 3}", {"x": i % 4}, step * 9000) for i in range(6)]
+        engine.catalog.add("t", records(spark, made))
+        engine.refresh("v")
+        seen.append([n for n, _ in view.segments])
+        got = sorted(map(str, engine.sql("SELECT * FROM v").collect()))
+        want = engine.sql(sql.replace(" FROM", ", COUNT(*) AS again FROM")).drop("again")
+        assert got == sorted(map(str, want.select(*engine.sql("SELECT * FROM v").columns).collect()))
+        assert engine.views.show().first()["row_count"] == want.count()
+    # each refresh wrote a segment of its own; four of like size became one, and those that were merged went a refresh later
+    assert [len(s) for s in seen][:5] == [1, 2, 3, 1, 2] and max(map(len, seen)) <= 4
+    held = {p.name for p in (tmp_path / "views" / view.id).iterdir() if "values" not in p.name}
+    assert held == {f"s{n}" for n in seen[-1]} | {f"s{n}" for n in view.retired}
+    again = engine_of(spark, tmp_path, t=records(spark, made))
+    assert again.restore() == ["v"] and again.views.get("v").segments == view.segments
+    engine.refresh("v")  # no new records
+    assert [n for n, _ in view.segments] == seen[-1]
+    engine.sql("DROP MATERIALIZED VIEW v")
+    assert not (tmp_path / "views" / view.id).exists()
+
+
+def test_moving_averages_in_spans(spark, tmp_path, monkeypatch):
+    from eventlake.plans import dialect
+    from eventlake.plans import engine as engines
+
+    made = [(p, o, f"k{o % 3}", {"x": (o * 7 + p) % 11} if o % 5 else {}, o) for p in (0, 1, 2) for o in range(0, 60 if p != 1 else 4, p + 1)]
+    engine = engine_of(spark, tmp_path, t=records(spark, made).repartition(3))
+    for sql in (
+        "SELECT *, MOVING_AVG('$.x', 4) AS m, MOVING_AVG('$.x', 9) AS n FROM t",
+        "SELECT partition, offset, MOVING_AVG('$.x') AS m, STDDEV('$.x') AS s, ZSCORE('$.x') FROM t WHERE key != 'k1'",
+        "SELECT DISTINCT MOVING_AVG('$.x', 1) AS m FROM t",
+    ):
+        monkeypatch.setattr(engines, "SMALL", 1 << 30)
+        want = engine.sql(sql)
+        monkeypatch.setattr(engines, "SMALL", 0)
+        monkeypatch.setattr(dialect, "SPAN", 8)
+        got = engine.sql(sql)
+        assert got.columns == want.columns
+
+        def rounded(df):
+            return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+        assert rounded(got) == rounded(want)
+        text = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "__k" in text
