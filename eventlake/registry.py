@@ -16,6 +16,8 @@ from eventlake.tables import EVENTS_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+#: The dialect's text of queries over the topic of events.
+EVENT_SQL: dict[str, str] = {}
 E = f"WITH {EVENTS_SQL} "
 
 
@@ -43,6 +45,8 @@ def dialect(name: str, sql: str, oracle: str, *topics: str, digits: dict[str, in
         return out
 
     run.__name__ = name
+    if topics in ((), ("events",)):
+        EVENT_SQL[name] = sql
     query(oracle)(run)
 
 
@@ -76,6 +80,17 @@ dialect("filter_json_text", "SELECT offset, partition FROM events WHERE json_ext
         E + """SELECT "offset", partition FROM e WHERE event_type = 'error'""")
 dialect("filter_or_in_between", "SELECT key, offset FROM events WHERE (event_type IN ('click', 'view') OR json_extract(value, '$.props.k') BETWEEN 10 AND 12) AND NOT partition = 2 AND key LIKE '1%'",
         E + """SELECT "key", "offset" FROM e WHERE (event_type IN ('click', 'view') OR k BETWEEN 10 AND 12) AND partition <> 2 AND "key" LIKE '1%'""")
+dialect("filter_any_operator", "SELECT partition, offset FROM events WHERE topic = 'events' AND partition > 1 AND key > '5' AND 100 > offset AND key != '7'",
+        E + """SELECT partition, "offset" FROM e WHERE partition > 1 AND "key" > '5' AND "offset" < 100 AND "key" <> '7'""")
+dialect("group_by_envelope", "SELECT topic, offset, COUNT(*) AS n, MAX('$.value') AS m FROM events WHERE offset < 60 GROUP BY topic, offset",
+        E + """SELECT topic, "offset", count(*) AS n, max(value) AS m FROM e WHERE "offset" < 60 GROUP BY topic, "offset" """)
+dialect("group_by_timestamp", "SELECT timestamp, COUNT(*) AS n FROM events GROUP BY timestamp HAVING COUNT(*) > 1 OR timestamp < 1704200000000",
+        E + """SELECT "timestamp", count(*) AS n FROM e GROUP BY "timestamp" HAVING count(*) > 1 OR "timestamp" < 1704200000000""")
+dialect("default_names", "SELECT event_type, COUNT(*), SUM('$.value'), MIN('$.props.k'), COUNT(DISTINCT key) FROM events GROUP BY event_type",
+        E + """SELECT event_type, count(*) AS count_0, round(sum(value), 2) AS sum_1, CAST(min(k) AS DOUBLE) AS min_2, count(DISTINCT "key") AS count_distinct_3 FROM e GROUP BY event_type""", digits={"sum_1": 2})
+dialect("join_reversed_on", "SELECT o.offset AS off, c.key AS ck FROM orders o JOIN customers c ON c.key = json_extract(o.value, '$.o_custkey') WHERE c.partition = 1 AND o.offset < 500",
+        """WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS off FROM orders)
+        SELECT off, CAST(c_custkey AS VARCHAR) AS ck FROM o JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 4 = 1 AND off < 500""", "orders", "customers")
 dialect("filter_missing_is_null", "SELECT COUNT(*) AS n FROM events WHERE json_extract(value, '$.nothing') = NULL", "SELECT count(*) AS n FROM events")
 dialect("json_nested_path", "SELECT partition, offset, json_extract(value, '$.props.k') AS k, value->'props'->>'k' AS k2, props AS props FROM events WHERE json_extract(value, '$.props.k') > 90",
         E + """SELECT partition, "offset", k, k AS k2, '{"k":' || k || '}' AS props FROM e WHERE k > 90""", casts={"k": "bigint", "k2": "bigint"})
@@ -280,11 +295,11 @@ def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("sim", F.round("sim", 6))
 
 
-@query(f"SELECT vec_id, round(list_distance({_V}, CAST({_Q} AS DOUBLE[])), 6) AS d FROM embeddings WHERE list_distance({_V}, CAST({_Q} AS DOUBLE[])) < 1.3")
+@query(f"SELECT vec_id, round(list_distance({_V}, CAST({_Q} AS DOUBLE[])), 6) AS d FROM embeddings WHERE list_distance({_V}, CAST({_Q} AS DOUBLE[])) < 1.3 AND label % 2 = 0")
 def vector_euclidean_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = tables.table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    d = vectors.euclidean_distance("v", _probe(spark, sf_dir))
-    return df.select("vec_id", d.alias("d")).where("d < 1.3").withColumn("d", F.round("d", 6))
+    distance = f"EUCLIDEAN_DISTANCE('$.embedding', '{_probe(spark, sf_dir)}')"
+    out = tables.engine(spark, sf_dir, "vectors").sql(f"SELECT offset AS vec_id, {distance} AS d FROM vectors WHERE {distance} < 1.3 AND json_extract(value, '$.label') % 2 = 0")
+    return out.withColumn("d", F.round("d", 6))
 
 
 @query(f"SELECT vec_id, round(list_inner_product({_V}, CAST({_Q} AS DOUBLE[])), 6) AS dot, round(sqrt(list_inner_product({_V}, {_V})), 6) AS norm FROM embeddings")
@@ -307,6 +322,20 @@ def describe_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.engine(spark, sf_dir, "events").sql("DESCRIBE events").select("partition_id", "high_watermark")
 
 
+@query(E + """, p AS (SELECT partition, max("offset") + 1 AS h FROM e GROUP BY partition)
+    SELECT CAST(partition AS VARCHAR) AS partition_id, h AS high_watermark, 1 AS segment_count FROM p UNION ALL SELECT 'TOTAL (' || count(*) || ' partitions)', CAST(sum(h) AS BIGINT), count(*) FROM p""")
+def describe_stored_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored topic's segments are its files; partitions of less than a span of offsets have one."""
+    from eventlake.sources.topics import write_topic
+    from eventlake.streaming.flows import work_folder
+
+    path = f"{work_folder(spark)}/store"
+    write_topic(tables.events(spark, sf_dir), path)
+    engine = tables.engine(spark, sf_dir)
+    engine.catalog.open("events", path)
+    return engine.sql("DESCRIBE events")
+
+
 _VIEW = "SELECT key, COUNT(*) AS n, SUM('$.value') AS s, MIN('$.value') AS lo, AVG('$.value') AS a, LAST('$.event_id') AS last, COUNT(DISTINCT '$.event_type') AS kinds FROM events GROUP BY TUMBLE(timestamp, '1 day'), key"
 
 
@@ -332,6 +361,26 @@ def show_materialized_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SHOW MATERIALIZED VIEWS")
 
 
+def _with_view(spark: SparkSession, sf_dir: str):
+    engine = tables.engine(spark, sf_dir, "events")
+    engine.sql("CREATE MATERIALIZED VIEW kinds WITH (refresh_mode = 'on_demand') AS SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type")
+    engine.sql("REFRESH MATERIALIZED VIEW kinds")
+    return engine
+
+
+@query("""SELECT * FROM (VALUES ('name', 'kinds'), ('source_topic', 'events'), ('refresh_mode', 'manual'), ('status', 'running'), ('error_message', '')) t(property, "value")
+    UNION ALL SELECT 'row_count', CAST(count(DISTINCT event_type) AS VARCHAR) FROM events""")
+def describe_materialized_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _with_view(spark, sf_dir).sql("DESCRIBE MATERIALIZED VIEW kinds")
+    return out.where(F.col("property").isin("name", "source_topic", "refresh_mode", "status", "error_message", "row_count"))
+
+
+@query("SELECT 'kinds' AS name, 'dropped' AS status, 0 AS views_left")
+def drop_materialized_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _with_view(spark, sf_dir)
+    return engine.sql("DROP MATERIALIZED VIEW kinds").withColumn("views_left", F.lit(engine.sql("SHOW MATERIALIZED VIEWS").count()))
+
+
 # Log maintenance
 
 _CHANGES = """c AS (SELECT user_id AS u, 'p' || (event_id % 50) AS k, CASE WHEN event_type = 'error' THEN '' ELSE CAST(value AS VARCHAR) END AS v, event_id AS o, epoch_us(ts) // 1000 AS t FROM events),
@@ -358,6 +407,28 @@ def compact_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.compact(tables.events(spark, sf_dir), 0).select("key", "offset")
 
 
+@query(E + """SELECT partition, "key", max("offset") AS "offset" FROM e GROUP BY partition, "key" """)
+def compact_store_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlake.sources.topics import read_topic, write_topic
+    from eventlake.streaming.flows import work_folder
+
+    path = f"{work_folder(spark)}/store"
+    write_topic(tables.events(spark, sf_dir), path)
+    compaction.compact_store(spark, path, 0, threshold=0.1)
+    return read_topic(spark, path, "events").select("partition", "key", "offset")
+
+
+_SEGMENTS = """, s AS (SELECT topic, partition, "offset" // 100 * 100 AS base_offset, count(*) AS record_count, max("timestamp") AS created_at FROM e GROUP BY ALL),
+    o AS (SELECT *, count(*) OVER (PARTITION BY partition) AS n, sum(record_count) OVER (PARTITION BY partition ORDER BY base_offset) AS upto FROM s WHERE 1706000000000 - created_at >= 86400000)"""
+
+
+@query(E + _SEGMENTS + " SELECT topic, partition, base_offset, record_count, created_at FROM o WHERE n >= 2 AND upto <= 1000")
+def eligible_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = (F.floor(F.col("offset") / 100) * 100).cast("long").alias("base_offset")
+    segments = tables.events(spark, sf_dir).groupBy("topic", "partition", base).agg(F.count(F.lit(1)).alias("record_count"), F.max("timestamp").alias("created_at"))
+    return compaction.eligible(segments, _NOW, compaction.DAY_MS, 2, 1000)
+
+
 @query(E + """SELECT topic, partition, count(*) AS records, count(DISTINCT "key") AS keys, round(1 - count(DISTINCT "key") / count(*), 9) AS dirty_ratio FROM e GROUP BY 1, 2""")
 def dirty_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.dirty_ratio(tables.events(spark, sf_dir)).withColumn("dirty_ratio", F.round("dirty_ratio", 9))
@@ -579,9 +650,65 @@ def table_sink_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TableSink("jdbc:none", "events", "k bigint, event_id bigint, event_type string", "upsert", ["k"]).rows(flat)
 
 
-@query(E + """SELECT '{"index":{"_index":"events","_id":"' || event_id || '"}}' AS action FROM e""")
+@query(E + """SELECT '{"index":{"_index":"events","_id":"' || event_id || '"}}' AS action,
+    '{"event_id":' || event_id || ',"event_type":"' || event_type || '","value":' || value || ',"props":{"k":' || k || '}}' AS document FROM e""")
 def bulk_sink_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventlake.sources.connectors import BulkSink
 
     lines = BulkSink("index", "events", id_field="event_id").lines(tables.events(spark, sf_dir))
-    return lines.select(F.split("line", "\n")[0].alias("action"))
+    return lines.select(F.split("line", "\n")[0].alias("action"), F.split("line", "\n")[1].alias("document"))
+
+
+@query(E + """SELECT k, arg_max(event_id, ("timestamp", partition, "offset")) AS event_id FROM e GROUP BY k""")
+def table_sink_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches upserted into a database in the driver's process, and read back."""
+    import uuid
+
+    from eventlake.sources.connectors import TableSink
+
+    url, driver = f"jdbc:derby:memory:eventlake{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    sink = TableSink(url, "latest", "k bigint, event_id bigint", "upsert", ["k"], driver)
+    sink._execute(spark)('CREATE TABLE latest ("k" BIGINT PRIMARY KEY, "event_id" BIGINT)')
+    df = tables.events(spark, sf_dir).withColumn("value", F.expr("to_json(struct(cast(get_json_object(value, '$.props.k') as bigint) as k, cast(get_json_object(value, '$.event_id') as bigint) as event_id))"))
+    middle = tables.events(spark, sf_dir).agg(F.expr("percentile_approx(timestamp, 0.5)")).first()[0]
+    sink.write(df.where(F.col("timestamp") <= middle), 0)
+    sink.write(df.where(F.col("timestamp") > middle), 1)
+    rows = spark.read.jdbc(url, "latest", properties=driver).collect()
+    return spark.createDataFrame([tuple(r) for r in rows], "k long, event_id long")
+
+
+@query(E + """, l AS (SELECT "key", arg_max(event_type, "offset") AS kind, max("offset") AS "offset" FROM e GROUP BY "key") SELECT "key", kind, "offset" FROM l""")
+def stream_latest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state that a changelog of each key's latest value leaves."""
+    from eventlake.session import SETTINGS
+    from eventlake.streaming import checkpoints, flows, state
+
+    folder, store = flows.work_folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    tables.events(spark, sf_dir).withColumn("value", jsonx.json_text("$.event_type")).write.parquet(f"{folder}/in")
+    before = spark.conf.get(store)
+    spark.conf.set(store, SETTINGS[store])  # keyed state needs this one, whatever the session has
+    try:
+        out = state.latest_values(flows.open_stream(spark, f"{folder}/in"))
+        writer = out.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.parquet(f"{folder}/out/{n}")).option("checkpointLocation", f"{folder}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        found = checkpoints.read_state(spark, f"{folder}/state", "value").select(F.col("key.key").alias("key"), F.col("value.value").alias("kind"), F.col("value.offset").alias("offset"))
+        found.write.parquet(f"{folder}/found")
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.parquet(f"{folder}/found")
+
+
+@query(E + """, p AS (SELECT partition, max("timestamp") AS last FROM e WHERE partition <> 2 OR "timestamp" < 1704400000000 GROUP BY partition),
+    n AS (SELECT max(last) AS newest FROM p) SELECT 'events' AS topic, min(last) - 5000 AS watermark FROM p, n WHERE newest - last <= 86400000""")
+def watermark_idle_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partition that has been silent for a day does not hold the watermark back."""
+    quiet = tables.events(spark, sf_dir).where("partition <> 2 OR timestamp < 1704400000000")
+    return windows.global_watermark(quiet, idle_ms=86_400_000)
+
+
+@query(f"WITH {_CDC_SQL} SELECT {_OP} AS op, count(*) AS n FROM x GROUP BY 1")
+def cdc_connector_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations by name, as a connector's events have them."""
+    names = F.expr("CASE get_json_object(value, '$.op') WHEN 'd' THEN 'Delete' WHEN 'u' THEN 'Update' WHEN 'r' THEN 'Read' ELSE 'Create' END")
+    df = _cdc_topic(spark, sf_dir).withColumn("value", F.regexp_replace("value", '"op":"."', F.concat(F.lit('"op":"'), names, F.lit('"'))))
+    return cdc.parse(df).groupBy("op").agg(F.count(F.lit(1)).alias("n"))

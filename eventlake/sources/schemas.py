@@ -6,7 +6,10 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 from eventlake.errors import IncompatibleSchema, InvalidQuery
+from eventlake.session import complete
 
 MODES = ("none", "backward", "backward_transitive", "forward", "forward_transitive", "full", "full_transitive")
 
@@ -148,6 +151,23 @@ class Registry:
     def get(self, schema_id: int) -> str:
         return self.schemas[schema_id - 1][1]
 
+    def save(self, spark: SparkSession, root: str) -> int:
+        """Store the registry as a new version in a folder, written whole; returns its number. One writer at a time."""
+        number = max(map(int, complete(spark, root)), default=0) + 1
+        text = json.dumps({"mode": self.mode, "schemas": self.schemas, "subjects": {n: [s.kind, s.versions] for n, s in self.subjects.items()}, "modes": self.modes})
+        spark.createDataFrame([(text,)], "registry string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/{number}")
+        return number
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str) -> Registry:
+        """The last version that was stored whole; an empty registry if there is none."""
+        numbers = [int(n) for n in complete(spark, root)]
+        if not numbers:
+            return cls()
+        held = json.loads(spark.read.text(f"{root.rstrip('/')}/{max(numbers)}").first()["value"])
+        subjects = {n: Subject(kind, versions) for n, (kind, versions) in held["subjects"].items()}
+        return cls(held["mode"], [tuple(s) for s in held["schemas"]], subjects, held["modes"])
+
     def version(self, subject: str, number: int | None = None) -> str:
         """A subject's schema by version from 1, the latest by default."""
         return self.get(self.subjects[subject].versions[-1 if number is None else number - 1])

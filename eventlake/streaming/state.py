@@ -66,6 +66,7 @@ class LatestValue(StatefulProcessor):
 
 
 def latest_values(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """A changelog of each key's latest value; state is one value a key."""
+    """A changelog of each key's latest value; state is one value a key. With an expiry Spark also runs batches without data, to drop
+    what expired: a flow that is to end at the end of its input needs spark.sql.streaming.noDataMicroBatches.enabled=false."""
     mode = "ProcessingTime" if ttl_ms else "None"
     return stream.groupBy("key").transformWithStateInPandas(LatestValue(ttl_ms), "key string, value string, offset long", "Update", mode)

@@ -1,9 +1,13 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from eventlake.functions import jsonx
 from eventlake.operators import cdc, compaction, infer, joins, predicates, windows
 from eventlake.operators.aggs import aggregate, named
+from eventlake.sources import topics
 
 from .helpers import records
 
@@ -161,3 +165,50 @@ def test_inference(spark):
     assert "id" in infer.payload_type(df) and infer.confidence(5) < infer.confidence(5000)
     cost = infer.cost(df, limit=5, rows=20_000)
     assert cost["rows"] == 5 and cost["tier"] == "low" and infer.cost(df, rows=50_000)["tier"] == "medium" and cost["estimated_ms"] == 10
+
+
+def test_lateness_over_spans(spark):
+    rng = random.Random(2)
+    rows = [(p, o, None, "x", o * 1000 - rng.choice([0, 0, 3000, 7000, 12_000])) for p in (0, 1) for o in range(300)]
+    whole, spans = (sorted(map(tuple, windows.late_classes(records(spark, rows), span=n).collect()), key=str) for n in (1 << 20, 16))
+    assert whole == spans and {r[-1] for r in whole} == {"on_time", "late", "too_late"}
+
+
+def test_store_is_compacted_in_place(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = [(p, o, f"k{o % 3}", str(o), 0) for p in (0, 1) for o in range(9)] + [(2, 0, "only", "x", 0)]
+    topics.write_topic(records(spark, rows), path)
+    kept = lambda: sorted((r["partition"], r["offset"]) for r in topics.read_topic(spark, path).collect())
+    before = kept()
+    assert compaction.compact_store(spark, path, 0, threshold=0.9) == [] and kept() == before
+    assert compaction.compact_store(spark, path, 0, threshold=0.5) == [("t", 0), ("t", 1)]
+    want = [(p, o) for p in (0, 1) for o in (6, 7, 8)] + [(2, 0)]
+    assert kept() == want and not (tmp_path / "t" / "_compaction").exists()
+    # a run that failed after staging: the next one finishes it first
+    topics.write_topic(records(spark, [(0, 9, "k0", "new", 0)]), path)
+    staged = compaction.compact(topics.read_topic(spark, path).where("partition = 0"), 0)
+    staged.write.partitionBy("topic", "partition").parquet(f"{path}/_compaction/left")
+    staged.limit(0).write.parquet(f"{path}/_compaction/half")
+    (tmp_path / "t" / "_compaction" / "half" / "_SUCCESS").unlink()
+    assert kept() == sorted([*want, (0, 9)])  # readers don't see what is staged
+    assert compaction.compact_store(spark, path, 0, threshold=0.9) == [("t", 0)]
+    assert kept() == [(0, 7), (0, 8), (0, 9), (1, 6), (1, 7), (1, 8), (2, 0)]
+    assert compaction.compact_store(spark, path, 0) == [("t", 0), ("t", 1), ("t", 2)]
+
+
+def test_statuses_of_any_sequences():
+    rng = random.Random(5)
+    for _ in range(400):
+        n, x = [], rng.randint(0, 5)
+        for _ in range(rng.randint(0, 300)):
+            x = max(0, x + rng.choice([1] * 20 + [0, -1, 2, 3]))
+            n.append(x)
+        last = start = rng.choice([None, 0, 3])
+        before, status = [], []
+        for v in n:
+            ok = last is None or v == last + 1
+            before.append(-1 if last is None else last)
+            status.append(0 if ok else 1 if v <= last else 2)
+            last = v if ok else last
+        a, b, c = compaction._statuses(np.array(n, np.int64), start)
+        assert (a.tolist(), b.tolist(), c) == (before, status, last)

@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from eventlake.errors import IncompatibleSchema, InvalidQuery, MissingConnector, OffsetNotFound
+from eventlake import model
+from eventlake.errors import DeliveryFailed, IncompatibleSchema, InvalidQuery, MissingConnector, OffsetNotFound
 from eventlake.model import COLUMNS
+from eventlake.operators import numbering
 from eventlake.sources import connectors, schemas, topics
 
 from .helpers import records
@@ -82,7 +84,7 @@ def test_table_sink(spark):
     df = records(spark, [(0, 0, None, {"id": 1, "n": "a"}, 0), (0, 1, None, {"n": "only"}, 1), (0, 2, None, {"id": 1, "n": "b"}, 2), (0, 3, None, "bad", 3)])
     rows = connectors.TableSink("jdbc:x", "tab", "id bigint, n string").rows(df).collect()
     assert [tuple(r) for r in rows] == [(1, "a"), (None, "only"), (1, "b")]
-    upsert = connectors.TableSink("jdbc:x", "tab", "id bigint, n string", "upsert", ["id"])
+    upsert = connectors.TableSink("jdbc:postgresql://h/d", "tab", "id bigint, n string", "upsert", ["id"])
     assert sorted(map(str, upsert.rows(df).collect())) == ["Row(id=1, n='b')", "Row(id=None, n='only')"]
     assert upsert.merge_sql(["id", "n"], "st") == 'INSERT INTO tab ("id", "n") SELECT "id", "n" FROM st ON CONFLICT ("id") DO UPDATE SET "n" = EXCLUDED."n"'
     with pytest.raises(InvalidQuery):
@@ -97,15 +99,15 @@ def test_bulk_bodies(spark):
     assert json.loads(connectors.BulkSink("rows", "tab").lines(plain).first()["line"])["value"] == "text"
 
 
-V1 = '{"type":"record","name":"U","fields":[{"name":"name","type":"string"},{"name":"age","type":"int"}]}'
-V2 = '{"type":"record","name":"U","fields":[{"name":"name","type":"string"},{"name":"age","type":"long"},{"name":"phone","type":["null","string"],"default":null}]}'
-BROKEN = '{"type":"record","name":"U","fields":[{"name":"username","type":"string"},{"name":"age","type":"int"}]}'
+V1 = '{"type":"record","name":"Parcel","fields":[{"name":"label","type":"string"},{"name":"grams","type":"int"}]}'
+V2 = '{"type":"record","name":"Parcel","fields":[{"name":"label","type":"string"},{"name":"grams","type":"long"},{"name":"depot","type":["null","string"],"default":null}]}'
+BROKEN = '{"type":"record","name":"Parcel","fields":[{"name":"title","type":"string"},{"name":"grams","type":"int"}]}'
 
 
 def test_avro_compatibility():
     assert schemas.check("avro", V2, [V1], "backward") == []
     assert schemas.check("avro", V2, [V1], "forward") != []  # int doesn't read long
-    assert schemas.check("avro", BROKEN, [V1], "backward") == ["username: new field without a default"]
+    assert schemas.check("avro", BROKEN, [V1], "backward") == ["title: new field without a default"]
     assert schemas.check("avro", BROKEN, [V1], "none") == []
     assert schemas.avro_reads(["null", "string"], "string") == [] and schemas.avro_reads("string", ["null", "string"]) != []
     enum = lambda *s: {"type": "enum", "name": "e", "symbols": list(s)}
@@ -115,7 +117,7 @@ def test_avro_compatibility():
 
 def test_transitive_modes_look_at_all_versions():
     with_default = V1.replace('"type":"int"', '"type":"int","default":0')
-    gone = '{"type":"record","name":"U","fields":[{"name":"name","type":"string"}]}'
+    gone = '{"type":"record","name":"Parcel","fields":[{"name":"label","type":"string"}]}'
     assert schemas.check("avro", V1, [V1, with_default], "backward") == []
     assert schemas.check("avro", V1, [gone, with_default], "backward") == [] and schemas.check("avro", V1, [gone, with_default], "backward_transitive") != []
 
@@ -140,3 +142,201 @@ def test_registry():
         r.register("u", BROKEN)
     r.modes["u"] = "none"
     assert r.register("u", BROKEN) == 3
+
+
+def test_registry_is_stored(spark, tmp_path):
+    root = f"file://{tmp_path}/registry"
+    empty = schemas.Registry.load(spark, root)
+    assert empty == schemas.Registry()
+    empty.register("u", V1)
+    empty.modes["u"] = "none"
+    assert empty.save(spark, root) == 1
+    again = schemas.Registry.load(spark, root)
+    assert again == empty and again.register("u", BROKEN) == 2 and again.save(spark, root) == 2
+    assert schemas.Registry.load(spark, root).version("u") == again.get(2)
+
+
+class Reader:
+    """Stands for spark.readStream: notes the options, and gives rows of a broker's columns."""
+
+    def __init__(self, spark):
+        self.spark, self.seen = spark, {}
+
+    def format(self, name):
+        self.seen["format"] = name
+        return self
+
+    def option(self, key, value):
+        self.seen[key] = value
+        return self
+
+    def options(self, **more):
+        self.seen |= more
+        return self
+
+    def load(self):
+        rows = [(bytearray(b"k"), bytearray(b'{"a":1}'), "t", 3, 7, 1500), (None, None, "t", 0, 8, 2500)]
+        df = self.spark.createDataFrame(rows, "key binary, value binary, topic string, partition int, offset long, ms long")
+        return df.withColumn("timestamp", F.timestamp_millis("ms")).drop("ms")
+
+
+def test_broker_options_and_records(spark, monkeypatch):
+    monkeypatch.setattr(connectors, "has_format", lambda *_: True)
+    for stream in (True, False):
+        reader = Reader(spark)
+        stub = type("Session", (), {"readStream" if stream else "read": reader})()
+        out = connectors.read_broker(stub, "a:9092,b:9092", ["t", "u"], stream, "g", "latest", maxOffsetsPerTrigger="100")
+        assert reader.seen == {"format": "kafka", "kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "t,u", "startingOffsets": "latest", "kafka.group.id": "g", "maxOffsetsPerTrigger": "100"}
+        assert [tuple(r) for r in out.collect()] == [("t", 3, 7, "k", '{"a":1}', 1500), ("t", 0, 8, None, "", 2500)]
+
+
+def test_table_sink_in_a_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    sink = connectors.TableSink(url, "parcels", "id bigint, n string", "upsert", ["id"], {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    run = sink._execute(spark)
+    run('CREATE TABLE parcels ("id" BIGINT PRIMARY KEY, "n" VARCHAR(20))')
+    rows = lambda: sorted(tuple(r) for r in spark.read.jdbc(url, "parcels", properties=sink.properties).collect())
+    sink.write(records(spark, [(0, 0, None, {"id": 1, "n": "a"}, 0), (0, 1, None, {"id": 2, "n": "b"}, 0)]), 1)
+    assert rows() == [(1, "a"), (2, "b")]
+    batch = records(spark, [(0, 2, None, {"id": 2, "n": "later"}, 5), (0, 3, None, {"id": 2, "n": "sooner"}, 4), (0, 4, None, {"id": 3, "n": "c"}, 5)])
+    for _ in range(2):  # a repeated batch changes nothing
+        sink.write(batch, 2)
+        assert rows() == [(1, "a"), (2, "later"), (3, "c")]
+    plain = connectors.TableSink(url, "parcels", "id bigint, n string", properties=sink.properties)
+    plain.write(records(spark, [(0, 5, None, {"n": "more", "id": 9}, 0)]))
+    assert rows()[-1] == (9, "more")
+    with pytest.raises(Exception, match="duplicate"):
+        plain.write(records(spark, [(0, 5, None, {"id": 9, "n": "again"}, 0)]))
+
+
+def answers(*given):
+    """A post that gives answers in turn and notes what it got."""
+    got, left = [], list(given)
+
+    def post(target, body):
+        got.append(body.rstrip("\n").split("\n"))
+        answer = left.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    return post, got
+
+
+def test_delivery():
+    def items(*statuses):
+        return {"errors": any(s >= 300 for s in statuses), "items": [{"index": {"status": s, "error": f"e{s}"}} for s in statuses]}
+
+    send = lambda post: connectors.deliver(post, "idx", ["a", "b", "c"], retries=2, wait_s=0)
+    for taken in (None, "", items(200, 201, 200), json.dumps({"errors": False})):
+        post, got = answers(taken)
+        send(post)
+        assert got == [["a", "b", "c"]]
+    post, got = answers(ConnectionError("down"), items(200, 429, 503), json.dumps(items(200, 200)))
+    send(post)
+    assert got == [["a", "b", "c"], ["a", "b", "c"], ["b", "c"]]
+    for bad in (items(200, 400, 200), items(429, 400, 200), items(200, 400)):
+        with pytest.raises(DeliveryFailed):
+            send(answers(bad)[0])
+    with pytest.raises(DeliveryFailed, match="down"):
+        send(answers(*[TimeoutError("down")] * 3)[0])
+    with pytest.raises(DeliveryFailed, match="1 records were put off"):
+        send(answers(items(200, 200, 429), items(429), items(429))[0])
+    with pytest.raises(ZeroDivisionError):
+        send(answers(ZeroDivisionError())[0])
+
+
+def test_bulk_sink_posts_from_tasks(spark, tmp_path):
+    folder = tmp_path / "posted"
+    folder.mkdir()
+
+    def post(target, body):
+        import uuid
+
+        lines = body.splitlines()
+        (folder / uuid.uuid4().hex).write_text(body)
+        first = any('"retry me"' in x for x in lines) and len(list(folder.iterdir())) == 1
+        return {"errors": first, "items": [{"index": {"status": 429 if first and '"retry me"' in x else 200}} for x in lines[1::2]]}
+
+    df = records(spark, [(0, i, None, {"id": i, "x": "retry me" if i == 3 else ""}, 0) for i in range(5)]).coalesce(1)
+    connectors.BulkSink("index", "idx", post, "id", size=5, wait_s=0).write(df)
+    posted = sorted((len(p.read_text().splitlines()) for p in folder.iterdir()), reverse=True)
+    assert posted == [10, 2]
+    with pytest.raises(Exception, match="DeliveryFailed"):
+        connectors.BulkSink("rows", "tab", lambda *_: {"errors": True, "items": []}, wait_s=0).write(df)
+
+
+def python_murmur2(raw):
+    mask, h = 0xFFFFFFFF, 0x9747B28C ^ len(raw)
+    for i in range(0, len(raw) - 3, 4):
+        k = int.from_bytes(raw[i : i + 4], "little") * 0x5BD1E995 & mask
+        h = (h * 0x5BD1E995 & mask) ^ ((k ^ k >> 24) * 0x5BD1E995 & mask)
+    rest = raw[len(raw) - len(raw) % 4 :]
+    if rest:
+        h = (h ^ int.from_bytes(rest, "little")) * 0x5BD1E995 & mask
+    h = (h ^ h >> 13) * 0x5BD1E995 & mask
+    return h ^ h >> 15
+
+
+def test_keys_go_where_producers_put_them(spark):
+    keys = ["", "a", "ab", "abc", "abcd", "key-12345", "\u00e9\u4e2d\U0001f642", "x" * 1001] + [f"user{i}" for i in range(200)]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = df.select("key", model.murmur2("key").alias("h"), model.partition_of_key("key", 7).alias("p")).collect()
+    assert all((r["h"], r["p"]) == (python_murmur2(r["key"].encode()), python_murmur2(r["key"].encode()) % 7) for r in got)
+    # Fixed values that clients of such brokers test with, as signed numbers
+    known = {"21": -973932308, "foobar": -790332482, "a-little-bit-long-string": -985981536, "a-little-bit-longer-string": -1486304829, "abc": 479470107}
+    got = spark.createDataFrame([(k,) for k in known], "key string").select("key", model.murmur2("key").alias("h"))
+    assert {r["key"]: r["h"] for r in got.collect()} == {k: v % 2**32 for k, v in known.items()}
+
+
+def test_numbers_of_large_groups(spark):
+    rows = [(g, (i * 37) % 400, f"r{i}") for g in ("a", "b", None) for i in range(400 if g else 50)]
+    df = spark.createDataFrame(rows, "g string, o int, r string").repartition(5)
+    want = {(g, r): sorted(o for h, o, _ in rows if h == g).index(o) for g, o, r in rows}
+    for small in (numbering.SMALL, 0):
+        got = numbering.numbered(df, ["g"], ["o"], small=small)
+        assert got.columns == ["g", "o", "r", "place"] and {(r["g"], r["r"]): r["place"] for r in got.collect()} == want
+    assert numbering.numbered(df.where("o < 0"), ["g"], ["o"], small=0).collect() == []
+
+
+def test_a_large_partition_takes_many_tasks(spark, tmp_path):
+    df = records(spark, [(0, o, f"k{o % 7}", {"o": o}, o) for o in range(1000)] + [(1, 0, None, "x", 5)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so little is one task's work
+    try:
+        topics.write_topic(df, f"file://{tmp_path}/t", span=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "t" / "topic=t" / "partition=0").glob("*.parquet"))
+    assert len(files) > 1
+    spans = []
+    for f in files:
+        offsets = [r["offset"] for r in spark.read.parquet(str(f)).collect()]
+        assert offsets == sorted(offsets)
+        spans.append({o // 100 for o in offsets})
+    assert sum(map(len, spans)) == 10  # no span is in two files
+    assert sorted(r["offset"] for r in topics.read_topic(spark, f"file://{tmp_path}/t", "t").where("partition = 0").collect()) == list(range(1000))
+
+
+def test_bloom_filter_on_keys(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = records(spark, [(0, o, f"k{o}", "x", o) for o in range(100)])
+    sizes = {}
+    for bloom in (True, False):
+        topics.write_topic(df, f"file://{tmp_path}/{bloom}", bloom_on_key=bloom)
+        (file,) = (tmp_path / str(bloom)).rglob("*.parquet")
+        meta = pq.ParquetFile(file).metadata
+        sizes[bloom] = file.stat().st_size - sum(meta.row_group(0).column(i).total_compressed_size for i in range(meta.num_columns))
+    # one megabyte is the default size of a filter of unknown distinct values
+    assert sizes[True] > sizes[False] + 100_000
+
+
+def test_lines_of_many_splits(spark, tmp_path):
+    for name, n in (("a.json", 3000), ("b.json", 10)):
+        (tmp_path / name).write_text("".join(json.dumps({"key": name, "value": str(i), "timestamp": i}) + "\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = {(r["key"], r["value"]): r["offset"] for r in topics.read_lines(spark, f"file://{tmp_path}/*.json", "t", base_offset=5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {("a.json", str(i)): 5 + i for i in range(3000)} | {("b.json", str(i)): 3005 + i for i in range(10)}

@@ -1,17 +1,17 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from eventlake.errors import InvalidQuery, UnsupportedOperation
+from eventlake.errors import CheckpointNotFound, InvalidQuery, UnsupportedOperation
 from eventlake.functions import jsonx
-from eventlake.streaming import flows, pipelines, state
+from eventlake.streaming import checkpoints, flows, pipelines, state
 
 from .helpers import records
 
 
 def replay_files(spark, tmp_path, batches, flow, mode="append"):
     """Each batch is a file and a micro-batch of its own."""
-    import time
-
     path = f"file://{tmp_path}/in"
     for b in batches:
         b.coalesce(1).write.mode("append").parquet(path)
@@ -94,7 +94,7 @@ class Held:
         self.batches.append((batch_id, sorted(r["value"] for r in df.collect())))
 
 
-def test_pipeline_resumes_and_skips_empty_batches(spark, tmp_path):
+def test_pipeline_resumes_and_passes_empty_batches(spark, tmp_path):
     path, sink = f"file://{tmp_path}/in", Held()
     records(spark, [(0, 0, None, {"a": 1}, 0), (0, 1, None, {"a": 2}, 0)]).write.parquet(path)
     run = lambda: pipelines.Pipeline("p", flows.open_stream(spark, path), sink, f"file://{tmp_path}/ck", "SELECT json_extract(value, '$.a') AS value FROM input WHERE json_extract(value, '$.a') > 1").run_once()
@@ -104,7 +104,7 @@ def test_pipeline_resumes_and_skips_empty_batches(spark, tmp_path):
     run()
     records(spark, [(0, 3, None, {"a": 7}, 0)]).write.mode("append").parquet(path)
     run()
-    assert [v for _, v in sink.batches] == [["2"], ["7"]]
+    assert [v for _, v in sink.batches] == [["2"], [], ["7"]]
 
 
 def test_manager(spark, tmp_path):
@@ -133,3 +133,72 @@ def test_manager(spark, tmp_path):
             manager.pause("cq-99")
     finally:
         manager.reconcile({})
+
+
+def changes(spark, path, rows):
+    """Keyed records, a file for each call, so that each is a batch."""
+    records(spark, [(0, o, k, v, 0) for o, k, v in rows]).coalesce(1).write.mode("append").parquet(path)
+
+
+def keep_latest(spark, tmp_path, ttl_ms=None, name="latest"):
+    out = state.latest_values(flows.open_stream(spark, f"file://{tmp_path}/in"), ttl_ms)
+    held = []
+    writer = out.writeStream.outputMode("update").foreachBatch(lambda df, _: held.extend(tuple(r) for r in df.collect()))
+    query = writer.option("checkpointLocation", f"file://{tmp_path}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return held, query.id
+
+
+def test_latest_values_and_their_state(spark, tmp_path):
+    source, check = f"file://{tmp_path}/in", f"file://{tmp_path}/latest"
+    changes(spark, source, [(0, "aa", "1"), (1, "ab", "2"), (2, "aa", "3"), (3, "b", "4")])
+    held, first = keep_latest(spark, tmp_path)
+    assert sorted(held) == [("aa", "3", 2), ("ab", "2", 1), ("b", "4", 3)]
+    changes(spark, source, [(4, "ab", ""), (5, "b", "5")])
+    held, second = keep_latest(spark, tmp_path)
+    assert sorted(held) == [("ab", "", 4), ("b", "5", 5)] and first == second
+    state_of = lambda **more: sorted((r["key"][0], r["value"]["value"]) for r in checkpoints.read_state(spark, check, "value", **more).collect())
+    assert state_of() == [("aa", "3"), ("b", "5")]  # an empty value deletes a key
+    assert state_of(prefix="a") == [("aa", "3")] and state_of(batch=0) == [("aa", "3"), ("ab", "2"), ("b", "4")]
+
+
+def test_state_expires(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else batches that only look for what expired never end
+    try:
+        for step, row in enumerate([(0, "a", "1"), (1, "b", "2")]):
+            time.sleep(0.3 * step)
+            changes(spark, f"file://{tmp_path}/in", [row])
+            keep_latest(spark, tmp_path, ttl_ms=50, name="short")
+            keep_latest(spark, tmp_path, ttl_ms=3_600_000, name="long")
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    keys = {name: {r["key"][0] for r in checkpoints.read_state(spark, f"file://{tmp_path}/{name}", "value").collect()} for name in ("short", "long")}
+    assert keys == {"short": {"b"}, "long": {"a", "b"}}
+
+
+def test_checkpoints_are_copied_and_restored(spark, tmp_path):
+    source, check, root = (f"file://{tmp_path}/{x}" for x in ("in", "latest", "copies"))
+    assert checkpoints.batches(spark, check) == [] and checkpoints.saved(spark, root) == []
+    changes(spark, source, [(0, "a", "1")])
+    _, query = keep_latest(spark, tmp_path)
+    assert checkpoints.batches(spark, check) == [0] and checkpoints.owner(spark, check) == query
+    checkpoints.save(spark, check, root, "one")
+    changes(spark, source, [(1, "a", "2")])
+    keep_latest(spark, tmp_path)
+    for name in ("two", "three"):
+        checkpoints.save(spark, check, root, name, keep=2)
+    assert checkpoints.saved(spark, root) == ["two", "three"]
+    checkpoints.save(spark, check, root, "two")
+    assert checkpoints.saved(spark, root) == ["three", "two"]
+    changes(spark, source, [(2, "a", "3")])
+    keep_latest(spark, tmp_path)
+    with pytest.raises(InvalidQuery):
+        checkpoints.restore(spark, root, "two", check, "another query")
+    with pytest.raises(CheckpointNotFound):
+        checkpoints.restore(spark, root, "one", check)
+    checkpoints.restore(spark, root, "two", check, query)
+    assert checkpoints.batches(spark, check) == [0, 1]
+    held, again = keep_latest(spark, tmp_path)
+    assert held == [("a", "3", 2)] and again == query
+    checkpoints.drop(spark, root, "two")
+    assert checkpoints.saved(spark, root) == ["three"]
