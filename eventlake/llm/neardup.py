@@ -195,11 +195,12 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """df without all but one document of each component: that with the smallest id (none counts as the largest) and, of those, the
     smallest hash of the text. Of repeated rows one stays, that with the smallest hash of all columns; texts under one id that are
     in different components stand for one each."""
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
-    keyed = df.withColumn("__key", key)
-    found = near_duplicates(keyed, "__key", text_col, words)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = keyed.join(stay, keyed["__key"] == stay["__stay"], "left_semi")
+    keys = [F.xxhash64(F.lit(k), id_col, text_col).alias(f"__k{k}") for k in range(2)]  # 128 bits that stand for an id and a text
+    keyed = df.select("*", *keys)
+    order = (F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    found = near_duplicates(keyed.withColumn("__key", F.struct(*order, "__k0", "__k1")), "__key", text_col, words)
+    stay = found.where("doc_id = component_id").select("doc_id.__k0", "doc_id.__k1").distinct()
+    kept = keyed.join(stay, ["__k0", "__k1"], "left_semi")
     hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    first = Window.partitionBy("__key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in hashed)))
-    return kept.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first", "__key")
+    first = Window.partitionBy("__k0", "__k1").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in hashed)))
+    return kept.withColumn("__first", F.row_number().over(first)).where("__first = 1").select(*(F.col(f"`{c}`") for c in df.columns))
