@@ -712,3 +712,18 @@ def cdc_connector_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.expr("CASE get_json_object(value, '$.op') WHEN 'd' THEN 'Delete' WHEN 'u' THEN 'Update' WHEN 'r' THEN 'Read' ELSE 'Create' END")
     df = _cdc_topic(spark, sf_dir).withColumn("value", F.regexp_replace("value", '"op":"."', F.concat(F.lit('"op":"'), names, F.lit('"'))))
     return cdc.parse(df).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(E + f""", {_SIDES}, w AS (SELECT least((SELECT max("timestamp") FROM a), (SELECT max("timestamp") FROM b)) - 5000 - {_HOUR} AS upto)
+    SELECT a.event_id AS l_id, b.event_id AS r_id FROM a FULL JOIN b ON a."key" = b."key" AND abs(a."timestamp" - b."timestamp") <= {_HOUR}
+    WHERE a.event_id IS NOT NULL AND b.event_id IS NOT NULL OR coalesce(a."timestamp", b."timestamp") < (SELECT upto FROM w)""")
+def stream_interval_join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a partner come once the watermark shows that none can come any more."""
+    from eventlake.streaming import flows
+
+    def flow(stream: DataFrame) -> DataFrame:
+        kind = jsonx.json_text("$.event_type")
+        out = flows.interval_join(stream.where(kind == "view"), stream.where(kind == "purchase"), _HOUR, "full")
+        return out.select(F.get_json_object("l_value", "$.event_id").cast("bigint").alias("l_id"), F.get_json_object("r_value", "$.event_id").cast("bigint").alias("r_id"))
+
+    return flows.replay(tables.events(spark, sf_dir), flow)

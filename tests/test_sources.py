@@ -58,6 +58,9 @@ def test_change_lines(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"op":"r","source":{"table":"x"},"ts_ms":3}\n{"op":"c","source":{"table":"y"}}\n')
     assert sorted((r["key"], r["timestamp"]) for r in connectors.read_changes(spark, f"file://{tmp_path}").collect()) == [("x", 3), ("y", 0)]
     assert connectors.read_changes(spark, f"file://{tmp_path}", snapshot="never").count() == 1
+    wrapped = records(spark, [(0, 0, "k", {"payload": {"op": "Read", "source": {"table": "z"}, "ts_ms": 9}}, 0), (0, 1, "k", {"op": "u"}, 0)])
+    assert {(r["key"], r["timestamp"]) for r in connectors.read_changes(spark, wrapped).collect()} == {("z", 9), (None, 0)}
+    assert connectors.read_changes(spark, wrapped, snapshot="never").select("key", "timestamp").collect() == [(None, 0)]
 
 
 def test_frames(spark):
