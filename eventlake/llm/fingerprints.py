@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import slices, spill
+from eventlake.llm.common import slices
 
 WINDOW, STRETCH, VOTES = 16, 16, 4
 BITS, HASHES, FULL = 2048, 5, 160
@@ -35,7 +35,7 @@ BLOCK, CHAIN = 1 << 17, 1024
 #: Bits of a window's place among those ranked at once (over BLOCK and the stretches around it), and of the hash above it.
 PLACE, TIE = 18, 36
 #: Rows of adjacent keys that make a part, while there are fewer than MOST_PARTS.
-PART_ROWS, MOST_PARTS = 1024, 200_000
+PART_ROWS, MOST_PARTS = 256, 200_000
 #: Keys that are sampled for each part to place the cuts.
 SAMPLED = 16
 SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -276,25 +276,48 @@ def _sorting(key: tuple) -> tuple:
     return (key[0] is not None, key[0] if key[0] is not None else 0, *key[1:])
 
 
+_LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
+
+
+def _spaced(keys: list, parts: int) -> list:
+    """parts - 1 of the sorted keys, evenly spaced."""
+    return [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+
+
 def in_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS) -> DataFrame:
     """doc_id, text, hash, part, sub, ghost: all rows in parts of adjacent keys (id, hash of the text), part 0 having the largest. Each
     part also has, as a ghost, the first row of the part that follows; the last part has the first row of all.
 
-    Parts are cut at approximate quantiles of the key; the cuts (a few bytes for each part) go through the driver. A row that repeats
-    whole more often than a part has rows is a part of its own, dealt out in subs: each copy is followed by another one, but
-    for the last of sub 0, so that the other subs need no ghost.
+    Parts are cut at approximate quantiles of the id; the cuts (a few bytes for each part) go through the driver. An id with more rows
+    than a part has parts of its own, cut by the hash. A row that repeats whole more often than that is a part of its own, dealt out
+    in subs: each copy is followed by another one, but for the last of sub 0, so that the other subs need no ghost.
     """
     df = _keyed(df, id_col, text_col)
-    keys = spill(df.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")), "order-keys")
-    rows, different = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    parts, most = max(1, min(most_parts, different // part_rows)), max(part_rows, rows // most_parts)
-    share = F.pmod(F.xxhash64("doc_id", "hash", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, SAMPLED * parts / max(1, different)) * (1 << 30))
-    sample = sorted(((r["doc_id"], r["hash"]) for r in keys.where(share).select("doc_id", "hash").collect()), key=_sorting) if parts > 1 else []
-    hot = {(r["doc_id"], r["hash"]): -(-r["n"] // most) for r in keys.where(F.col("n") > most).collect()}
-    # a cut stands right after (1) or before (-1) a key
-    chosen = {(*sample[len(sample) * k // parts], 1) for k in range(1, parts)} if sample else set()
-    cuts = sorted(chosen | {(*key, side) for key in hot for side in (-1, 1)}, key=_sorting)
-    kind = dict(keys.dtypes)["doc_id"]
+    kind = dict(df.dtypes)["doc_id"]
+    # ids alone say where to cut; texts are read only of ids that have more rows than a part
+    ids = df.select("doc_id")
+    rows = ids.count()
+    parts, most = max(1, min(most_parts, rows // part_rows)), max(part_rows, rows // most_parts)
+    bound = int(min(1.0, SAMPLED * parts / max(1, rows)) * (1 << 30))
+
+    def sampled(table: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(*table.columns[:2], F.lit(11)), F.lit(1 << 30)) < bound
+
+    many = [r["doc_id"] for r in ids.groupBy("doc_id").count().where(F.col("count") > most).collect()]
+    found = [r["doc_id"] for r in ids.where(sampled(ids) & F.col("doc_id").isNotNull()).distinct().collect()] if parts > 1 else []
+    chosen = {(i, _HIGHEST, 1) for i in _spaced(sorted(set(found).difference(many)), parts)}
+    hot, keys = {}, None
+    if many:
+        listed = F.broadcast(df.sparkSession.createDataFrame([(i,) for i in many], f"many_id {kind}"))
+        same = df["doc_id"].eqNullSafe(listed["many_id"])
+        keys = df.join(listed, same, "left_semi").groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+        held = keys.where(sampled(keys) | (F.col("n") > most)).collect()
+        hot = {(r["doc_id"], r["hash"]): -(-r["n"] // most) for r in held if r["n"] > most}
+        chosen |= {(*key, 1) for key in _spaced(sorted(((r["doc_id"], r["hash"]) for r in held if r["n"] <= most), key=_sorting), parts)}
+        chosen |= {(i, h, side) for i in many for h, side in ((_LOWEST, -1), (_HIGHEST, 1))} | {(*key, side) for key in hot for side in (-1, 1)}
+        ids = ids.join(listed, ids["doc_id"].eqNullSafe(listed["many_id"]), "left_anti")
+    # a cut stands right after (1) or before (-1) a key; those of other ids stand after all their rows
+    cuts = sorted(chosen, key=_sorting)
     shape, place = f"struct<doc_id:{kind},hash:bigint,side:int>", F.struct("doc_id", "hash", F.lit(0).alias("side"))
     as_json = [{"doc_id": a, "hash": b, "side": c} for a, b, c in cuts]
     # two steps of a search: which run of cuts, and how many cuts of that run are below the key
@@ -306,10 +329,13 @@ def in_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
         below = F.when(F.col("run") > 0, (F.col("run") - 1) * run + F.size(F.filter(F.get(runs, F.col("run") - 1), lambda c: c < place)))
         return table.withColumn("part", (F.lit(len(cuts)) - F.coalesce(below, F.lit(0))).cast("int")).drop("run")
 
-    top = {r["part"]: r["top"] for r in parted(keys).groupBy("part").agg(F.max(F.struct("doc_id", "hash")).alias("top")).collect()}
+    # the largest key of each part; of ids that are not split, the id
+    top = {r["part"]: (r["top"], None) for r in parted(ids.withColumn("hash", F.lit(0).cast("long"))).groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
+    if keys is not None:
+        top |= {r["part"]: tuple(r["top"]) for r in parted(keys).groupBy("part").agg(F.max(F.struct("doc_id", "hash")).alias("top")).collect()}
     held = sorted(top)
     before = {p: held[i - 1] for i, p in enumerate(held)}
-    heads = [top.get(p) and {"doc_id": top[p]["doc_id"], "hash": top[p]["hash"]} for p in range(len(cuts) + 1)]
+    heads = [{"doc_id": top[p][0], "hash": top[p][1]} if p in top else None for p in range(len(cuts) + 1)]
     head = F.get(_literal(heads, f"struct<doc_id:{kind},hash:bigint>"), F.col("part"))
     ahead = F.get(_literal([before.get(p) for p in range(len(cuts) + 1)], "int"), F.col("part"))
     df, sub = parted(df), F.lit(0)
@@ -319,7 +345,7 @@ def in_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
         sub = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "subs"), F.lit(0)).cast("int")
     df = df.select("doc_id", "text", "hash", "part", sub.alias("sub"))
     own, ghost = (F.struct(p.alias("part"), s.alias("sub"), F.lit(g).alias("ghost")) for p, s, g in ((F.col("part"), F.col("sub"), False), (ahead, F.lit(0), True)))
-    first = (F.col("sub") == 0) & F.struct("doc_id", "hash").eqNullSafe(head)
+    first = (F.col("sub") == 0) & head.isNotNull() & F.col("doc_id").eqNullSafe(head["doc_id"]) & (head["hash"].isNull() | (F.col("hash") == head["hash"]))
     places = F.when(first, F.array(own, ghost)).otherwise(F.array(own))
     return df.select("doc_id", "text", "hash", F.explode(places).alias("x")).select("doc_id", "text", "hash", "x.part", "x.sub", "x.ghost")
 
