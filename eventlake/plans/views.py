@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from eventlake.errors import InvalidQuery, ViewAlreadyExists, ViewNotFound
 from eventlake.operators.aggs import ORDER
-from eventlake.session import complete, delete
+from eventlake.session import complete, delete, store_text
 
 MODES = {"continuous": "continuous", "stream": "continuous", "streaming": "continuous", "manual": "manual", "on_demand": "manual", "periodic": "periodic", "scheduled": "periodic"}
 DEFAULT_INTERVAL_MS = 5 * 60 * 1000
@@ -283,9 +283,8 @@ class Views:
 
     def save(self) -> None:
         """Store what a restart needs: a new version of the registry, written whole."""
-        rows = [(json.dumps({f: getattr(v, f) for f in SAVED}),) for v in self.views.values()]
-        number = max(self._saved(), default=0) + 1
-        self.spark.createDataFrame(rows, "view string").coalesce(1).write.text(f"{self.root}/registry/{number}")
+        lines = [json.dumps({f: getattr(v, f) for f in SAVED}) for v in self.views.values()]
+        store_text(self.spark, f"{self.root}/registry/{max(self._saved(), default=0) + 1}", "\n".join(lines))
 
     def saved(self) -> list[View]:
         """The views of the last whole version; their keys and aggregates are to be planned anew."""

@@ -342,11 +342,15 @@ _VIEW = "SELECT key, COUNT(*) AS n, SUM('$.value') AS s, MIN('$.value') AS lo, A
 @query(E + """SELECT ("timestamp" // 86400000) * 86400000 AS window_start, ("timestamp" // 86400000) * 86400000 + 86400000 AS window_end, "key", count(*) AS n, round(sum(value), 2) AS s,
     min(value) AS lo, round(avg(value), 6) AS a, arg_max(event_id, ("timestamp", partition, "offset")) AS last, count(DISTINCT event_type) AS kinds FROM e GROUP BY ALL""")
 def view_incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A view that is refreshed thrice, as its topic grows, equals the query over all records."""
-    engine, whole = tables.engine(spark, sf_dir), tables.events(spark, sf_dir)
-    for limit in (100, 1500, None):
-        engine.catalog.add("events", whole if limit is None else whole.where(F.col("offset") < limit))
-        if limit == 100:
+    """A view that is refreshed thrice, as its stored topic grows, equals the query over all records."""
+    from eventlake.sources.topics import write_topic
+    from eventlake.streaming.flows import work_folder
+
+    engine, whole, path = tables.engine(spark, sf_dir), tables.events(spark, sf_dir), f"{work_folder(spark)}/store"
+    for part in ("offset < 100", "offset >= 100 and offset < 1500", "offset >= 1500"):
+        write_topic(whole.where(part), path)
+        engine.catalog.open("events", path)
+        if part == "offset < 100":
             engine.sql(f"CREATE MATERIALIZED VIEW daily WITH (refresh_mode = 'manual') AS {_VIEW}")
         engine.sql("REFRESH MATERIALIZED VIEW daily")
     out = engine.sql("SELECT * FROM daily")

@@ -66,3 +66,17 @@ def complete(spark: SparkSession, path: str) -> list[str]:
         return []
     found = [s.getPath() for s in fs.listStatus(top)]
     return [p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def store_text(spark: SparkSession, folder: str, text: str) -> None:
+    """Write a small text as a folder of one file, which is complete() once it is whole. No job is run."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.delete(top, True)
+    for name, body in (("part-00000.txt", text.encode()), ("_SUCCESS", b"")):
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(top, name))
+        try:
+            out.write(bytearray(body))
+        finally:
+            out.close()

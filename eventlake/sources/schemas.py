@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 from eventlake.errors import IncompatibleSchema, InvalidQuery
-from eventlake.session import complete
+from eventlake.session import complete, store_text
 
 MODES = ("none", "backward", "backward_transitive", "forward", "forward_transitive", "full", "full_transitive")
 
@@ -155,7 +155,7 @@ class Registry:
         """Store the registry as a new version in a folder, written whole; returns its number. One writer at a time."""
         number = max(map(int, complete(spark, root)), default=0) + 1
         text = json.dumps({"mode": self.mode, "schemas": self.schemas, "subjects": {n: [s.kind, s.versions] for n, s in self.subjects.items()}, "modes": self.modes})
-        spark.createDataFrame([(text,)], "registry string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/{number}")
+        store_text(spark, f"{root.rstrip('/')}/{number}", text)
         return number
 
     @classmethod

@@ -1,7 +1,7 @@
 import pytest
 
 from eventlake.errors import SharedFolderUnset
-from eventlake.session import complete, delete, shared_dir
+from eventlake.session import complete, delete, shared_dir, store_text
 
 
 class Conf(dict):
@@ -31,3 +31,11 @@ def test_complete_and_delete(spark, tmp_path):
     assert complete(spark, top) == ["1"]
     delete(spark, f"{top}/1", f"{top}/none")
     assert complete(spark, top) == []
+
+
+def test_small_texts(spark, tmp_path):
+    folder = f"file://{tmp_path}/x/7"
+    for text in ("one\ntwo \u00e9\u4e2d", ""):
+        store_text(spark, folder, text)
+        assert complete(spark, f"file://{tmp_path}/x") == ["7"]
+        assert [r["value"] for r in spark.read.text(folder).collect()] == text.splitlines()
