@@ -252,11 +252,13 @@ def test_views_grow_by_segments(spark, tmp_path):
     engine, made, seen = engine_of(spark, tmp_path, t=records(spark, [])), [], []
     engine.sql(f"CREATE MATERIALIZED VIEW v WITH (refresh_mode = 'manual') AS {sql}")
     view = engine.views.get("v")
-    for step in range(9):
+    for step in range(6):
         made += [(0, len(made) + i, f"k{i % 3}", {"x": i % 4}, step * 9000) for i in range(6)]
         engine.catalog.add("t", records(spark, made))
         engine.refresh("v")
         seen.append([n for n, _ in view.segments])
+        if step not in (0, 3, 5):
+            continue
         got = sorted(map(str, engine.sql("SELECT * FROM v").collect()))
         want = engine.sql(sql.replace(" FROM", ", COUNT(*) AS again FROM")).drop("again")
         assert got == sorted(map(str, want.select(*engine.sql("SELECT * FROM v").columns).collect()))
