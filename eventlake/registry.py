@@ -677,8 +677,12 @@ def table_sink_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = tables.events(spark, sf_dir).agg(F.expr("percentile_approx(timestamp, 0.5)")).first()[0]
     sink.write(df.where(F.col("timestamp") <= middle), 0)
     sink.write(df.where(F.col("timestamp") > middle), 1)
-    rows = spark.read.jdbc(url, "latest", properties=driver).collect()
-    return spark.createDataFrame([tuple(r) for r in rows], "k long, event_id long")
+    rows = []
+    with sink.connection(spark) as connection:  # executors don't reach the driver's database
+        found = connection.createStatement().executeQuery('SELECT "k", "event_id" FROM latest')
+        while found.next():
+            rows.append((found.getObject(1), found.getObject(2)))
+    return spark.createDataFrame(rows, "k long, event_id long")
 
 
 @query(E + """, l AS (SELECT "key", arg_max(event_type, "offset") AS kind, max("offset") AS "offset" FROM e GROUP BY "key") SELECT "key", kind, "offset" FROM l""")

@@ -1,9 +1,14 @@
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
-from eventlake import model
+from eventlake import model, registry
 from eventlake.errors import DeliveryFailed, IncompatibleSchema, InvalidQuery, MissingConnector, OffsetNotFound
 from eventlake.model import COLUMNS
 from eventlake.operators import numbering
@@ -212,6 +217,44 @@ def test_table_sink_in_a_database(spark, tmp_path):
         plain.write(records(spark, [(0, 5, None, {"id": 9, "n": "again"}, 0)]))
 
 
+def test_embedded_table_sink_types(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    schema = "id int, d date, t timestamp, x double, m decimal(20,3), b boolean, s string"
+    given = {"id": 1, "d": "2024-02-29", "t": "2024-02-29T12:00:00.25", "x": 0.5, "m": 12345678901234.5, "b": True, "s": "ä"}
+    sink = connectors.TableSink(url, "kinds", schema, properties=driver, batch_size=2)
+    df = records(spark, [(0, n, None, given if n else {"id": 0}, 0) for n in range(5)])
+    sink.write(df)
+    assert sorted(map(str, spark.read.jdbc(url, "kinds", properties=driver).collect())) == sorted(map(str, sink.rows(df).collect()))
+    for url, embedded in (("jdbc:derby:memory:x", True), ("jdbc:derby://h:1527/x", False), ("jdbc:h2:mem:x", True), ("jdbc:h2:tcp://h/x", False), ("jdbc:postgresql://h/x", False)):
+        assert connectors.TableSink(url, "t", "id int").embedded == embedded
+
+
+_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from eventlake import registry
+settings = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "600m", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": sys.argv[1]}
+spark = SparkSession.builder.config(map=settings).getOrCreate()
+print(sorted(tuple(r) for r in registry.queries()["table_sink_database"](spark, sys.argv[2]).collect()))
+spark.stop()
+"""
+
+
+def test_database_of_the_driver_on_a_cluster(spark, sf, tmp_path):
+    """Executors in processes of their own don't reach the driver's database."""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors work in Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": os.pathsep.join(sys.path)}
+    for name in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET", "PYSPARK_SUBMIT_ARGS"):
+        env.pop(name, None)
+    run = subprocess.run([sys.executable, "-c", _CLUSTER, f"file://{tmp_path}/shared", sf], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=150)
+    assert run.returncode == 0, run.stderr[-3000:]
+    assert run.stdout.strip() == str(sorted(tuple(r) for r in registry.queries()["table_sink_database"](spark, sf).collect()))
+
+
 def answers(*given):
     """A post that gives answers in turn and notes what it got."""
     got, left = [], list(given)
