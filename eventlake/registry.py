@@ -325,7 +325,7 @@ def describe_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(E + """, p AS (SELECT partition, max("offset") + 1 AS h FROM e GROUP BY partition)
     SELECT CAST(partition AS VARCHAR) AS partition_id, h AS high_watermark, 1 AS segment_count FROM p UNION ALL SELECT 'TOTAL (' || count(*) || ' partitions)', CAST(sum(h) AS BIGINT), count(*) FROM p""")
 def describe_stored_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored topic's segments are its files; partitions of less than a span of offsets have one."""
+    """A stored topic's segments are its writes; one write, of partitions of any size, is one segment of each."""
     from eventlake.sources.topics import write_topic
     from eventlake.streaming.flows import work_folder
 

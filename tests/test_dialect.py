@@ -1,8 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from eventlake.errors import InvalidQuery, ParseError, QueryTimeout, TopicNotFound, UnsupportedOperation, ViewAlreadyExists, ViewNotFound
+from eventlake.plans.catalog import describe
 from eventlake.plans.intervals import text_ms, timestamp_ms
 from eventlake.plans.lexer import statements, tokenize
+from eventlake.sources.topics import write_topic
 
 from .helpers import engine_of, records
 
@@ -161,6 +164,24 @@ def test_topics(engine):
     assert [r[:2] for r in rows(engine, "DESCRIBE t")] == [("0", 10), ("1", 10), ("TOTAL (2 partitions)", 20)]
 
 
+def test_segments_are_writes(spark, tmp_path):
+    """A partition of several spans of offsets has several files, but one segment for each write."""
+    path = f"file://{tmp_path}/store"
+    topic = records(spark, [(p, i, None, {"i": i}, i) for p in (0, 1) for i in range(30)])
+    counts = lambda: [r[:3] for r in describe(spark.read.parquet(path)).collect()]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # so that spans go to files of their own
+    try:
+        write_topic(topic.where("offset < 20"), path, span=4)
+    finally:
+        spark.conf.unset(coalesce)
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() > 2
+    assert counts() == [("0", 20, 1), ("1", 20, 1), ("TOTAL (2 partitions)", 40, 2)]
+    write_topic(topic.where("offset >= 20 and partition = 1"), path, span=4)
+    assert counts() == [("0", 20, 1), ("1", 30, 2), ("TOTAL (2 partitions)", 50, 3)]
+    assert [r[2] for r in describe(topic).collect()] == [1, 1, 2]
+
+
 def test_quoted_names(spark, tmp_path):
     run = engine_of(spark, tmp_path, **{"my-topic": records(spark, [(0, 0, "k", {"a b": 1}, 0)])})
     assert rows(run, """SELECT t.key, json_extract(t.value, '$.a b') AS x FROM "my-topic" t""") == [("k", "1")]
