@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from eventlake.session import delete, shared_dir
 
+T = TypeVar("T")
 #: Bytes of text that an operator holds at once in Python (one longer text is a slice of its own).
 SLICE = 2 << 20
 
@@ -74,8 +77,33 @@ def clean(spark: SparkSession) -> None:
     delete(spark, work_dir(spark))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in order, in slices of limit bytes of text at most, or of one row."""
+#: What a Python worker keeps from task to task, by key.
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """make(), made once by a worker. Workers go on to tasks of other operators, whose slices() let go of it."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Return memory that is free in this process to the system, where the allocator has a way; else it stays the worker's until it ends."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE, keep: object = None) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in order, in slices of limit bytes of text at most, or of one row.
+
+    Of what the worker keeps from earlier tasks, all but ``keep`` goes first. Then and in the end free memory goes back to the system.
+    """
+    for key in [k for k, x in _kept.items() if x is not keep]:
+        del _kept[key]
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -86,3 +114,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import slices, spill
+from eventlake.llm.common import kept, slices, spill
 
 WIDTH = 2048
 END_ID = 1
@@ -105,14 +105,9 @@ class Words(dict):
         return out
 
 
-_words: dict[str, Words] = {}
-
-
 def words(path: str) -> Words:
-    """A worker's table, kept from task to task."""
-    if path not in _words:
-        _words[path] = Words(path)
-    return _words[path]
+    """A worker's table, kept from task to task until the worker goes on to another operator."""
+    return kept(("words", path), lambda: Words(path))
 
 
 def cuts(n: int, width: int = WIDTH) -> list[tuple[int, int]]:
@@ -134,7 +129,7 @@ def pieces(df: DataFrame, tokenizer: str, width: int = WIDTH, end_id: int = END_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ending = words(tokenizer), np.array([end_id], "<u4").tobytes()
         turn = TaskContext.get().partitionId()
-        for batch in slices(batches, limit=SLICE):
+        for batch in slices(batches, limit=SLICE, keep=known):
             rows, start, length, crc, total, held = [], [], [], [], [], []
             for row, ids in enumerate(known.encode(batch.column("text").to_pylist())):
                 ids += ending

@@ -1,13 +1,16 @@
+import gc
 import unicodedata
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from eventlake.llm import packing
+from eventlake.llm import common, packing
 from eventlake.llm.queries import WORD_TOKENIZER, tokenizer_path
 
 PATH = tokenizer_path(WORD_TOKENIZER)
@@ -111,3 +114,14 @@ def test_repeated_rows_are_numbered_apart(spark):
     assert found.groupBy("length", "salt").count().agg({"count": "max"}).first()[0] <= 40
     ids = [r["sequence_id"] for r in packing.number(found).collect()]
     assert sorted(ids) == list(range(found.count()))
+
+
+def test_a_workers_table_goes_once_it_does_other_work():
+    texts = pa.RecordBatch.from_pydict({"text": ["a b", None, "c"]})
+    table = weakref.ref(packing.words(PATH))
+    assert packing.words(PATH) is table()  # kept from task to task
+    assert sum(b.num_rows for b in common.slices(iter([texts]))) == 3  # as any other operator reads its rows
+    gc.collect()
+    assert table() is None
+    again = packing.words(PATH)
+    assert sum(b.num_rows for b in common.slices(iter([texts]), keep=again)) == 3 and packing.words(PATH) is again
